@@ -6,7 +6,11 @@ import atexit
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch; texts are long, so a batch is kept to a few MB.
 BATCH_ROWS = 512
@@ -44,3 +48,42 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def python_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], out: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` as they are (null ids stay integers) and those of `out`, which the
+    function that `make` returns computes from a batch's other columns. Nothing is shuffled.
+    """
+    given = [c for c in df.columns if c not in keep]
+    new = StructType.fromDDL(out)
+    schema = StructType([df.schema[c] for c in keep] + new.fields)
+    names = [f.name for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        fn, kinds = make(), [to_arrow_type(f.dataType) for f in new.fields]
+        for b in batches:
+            got = fn({c: b.column(c).to_pylist() for c in given})
+            arrays = [b.column(c) for c in keep] + [pa.array(got[n], k) for n, k in zip(names, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
+
+    return df.mapInArrow(run, schema)
+
+
+def lookup(df: DataFrame, sets: DataFrame, key: str, value: str, *, bound_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:
+    """df with the column `value` of `sets`, which has one row a key with an array of longs.
+
+    Keys may be null (they match null) and very uneven: where the arrays take at most
+    `bound_bytes` altogether the sets are broadcast, else the rows of a key are dealt over
+    `salts` parts and the sets are repeated for each.
+    """
+    from pyspark.sql import functions as F
+
+    size = sets.agg(F.sum(F.size(value) * 8 + 64)).first()[0] or 0
+    if size <= bound_bytes:
+        right = F.broadcast(sets.withColumnRenamed(key, "_key"))
+        return df.join(right, df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+    right = sets.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return left.join(right, left[key].eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_part", "_salt")

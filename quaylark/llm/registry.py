@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaylark.llm.common import table
+from quaylark.llm.pages import extract_main_text
+from quaylark.llm.pii import pii_report
+from quaylark.llm.secrets import secret_report
 from quaylark.llm.tokens import token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from pyspark.sql import functions as F
-
     n = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return n.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_pii": op9_pii,
+    "op10_html_text": op10_html_text,
+}
 ORACLES: dict[str, str] = {}

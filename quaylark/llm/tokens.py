@@ -17,12 +17,12 @@ count.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaylark.llm.common import python_map
+
 SPACE = "▁"
 #: Characters of a chunk; longer texts are dealt out over tasks.
 CHUNK = 1 << 16
@@ -204,37 +204,37 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     in chunks, dealt out, and their maps put together again by row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idt = rows.schema["doc_id"].dataType.simpleString()
     sized = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole():
         t = compiled(model_path)
-        for b in batches:
-            yield b[["doc_id", "n_bytes"]].assign(n_tokens=[t.count(x) for x in b["text"]])
+        return lambda b: {"n_tokens": [t.count(x) for x in b["text"]]}
 
-    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mapped():
         t = compiled(model_path)
-        for b in batches:
-            m = [t.chunk((SPACE if i == 0 else "") + x.replace(" ", SPACE)) for i, x in zip(b["part"], b["piece"])]
-            yield b[["row", "doc_id", "n_bytes", "part"]].assign(head=[x[0] for x in m], n=[x[1] for x in m], tail=[x[2] for x in m])
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(b):
+            m = [t.chunk((SPACE if i == 0 else "") + x.replace(" ", SPACE)) for i, x in zip(b["at"], b["piece"])]
+            return {"head": [x[0] for x in m], "n": [x[1] for x in m], "tail": [x[2] for x in m]}
+
+        return run
+
+    def joined():
         t = compiled(model_path)
-        for b in batches:
-            yield b[["doc_id", "n_bytes"]].assign(n_tokens=[t.compose([(m["head"], m["n"], m["tail"]) for m in maps]) for maps in b["maps"]])
+        return lambda b: {"n_tokens": [t.compose([(m["head"], m["n"], m["tail"]) for m in maps]) for maps in b["maps"]]}
 
-    out = f"doc_id {idt}, n_bytes long, n_tokens long"
     long_ = F.char_length("text") > chunk
-    short = sized.where(~long_).mapInPandas(whole, out)
-    parts = (
+    short = python_map(sized.where(~long_), whole, "n_tokens long", ["doc_id", "n_bytes"])
+    pieces = (
         sized.where(long_)
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / chunk).cast("int"))))
-        .select("row", "doc_id", "n_bytes", "part", F.substring("text", F.col("part") * chunk + 1, F.lit(chunk)).alias("piece"))
+        .select("row", "doc_id", "n_bytes", "part", F.col("part").alias("at"), F.substring("text", F.col("part") * chunk + 1, F.lit(chunk)).alias("piece"))
         .repartition("row", "part")
-        .mapInPandas(mapped, f"row long, doc_id {idt}, n_bytes long, part int, head string, n long, tail string")
+    )
+    maps = (
+        python_map(pieces, mapped, "head string, n long, tail string", ["row", "doc_id", "n_bytes", "part"])
         .groupBy("row", "doc_id", "n_bytes")
         .agg(F.sort_array(F.collect_list(F.struct("part", "head", "n", "tail"))).alias("maps"))
-        .mapInPandas(joined, out)
     )
-    return short.unionByName(parts)
+    return short.unionByName(python_map(maps.drop("row"), joined, "n_tokens long", ["doc_id", "n_bytes"]))
