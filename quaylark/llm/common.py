@@ -50,11 +50,12 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def python_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], out: str, keep: list[str]) -> DataFrame:
+def python_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], out: str, keep: list[str], use: list[str] | None = None) -> DataFrame:
     """Columns `keep` as they are (null ids stay integers) and those of `out`, which the
-    function that `make` returns computes from a batch's other columns. Nothing is shuffled.
+    function that `make` returns computes from a batch's columns `use` (the others, unless
+    given). Nothing is shuffled.
     """
-    given = [c for c in df.columns if c not in keep]
+    given = use if use is not None else [c for c in df.columns if c not in keep]
     new = StructType.fromDDL(out)
     schema = StructType([df.schema[c] for c in keep] + new.fields)
     names = [f.name for f in new.fields]

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaylark.llm import decontaminate
 from quaylark.llm.common import table
+from quaylark.llm.decontaminate import contamination_report
+from quaylark.llm.neardup import near_duplicates
 from quaylark.llm.pages import extract_main_text
 from quaylark.llm.pii import pii_report
 from quaylark.llm.secrets import secret_report
+from quaylark.llm.simhash import fingerprint_report
 from quaylark.llm.tokens import token_counts
 
 
@@ -18,10 +22,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -32,8 +48,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_simhash": op5_simhash,
     "op6_secret_scan": op6_secret_scan,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
