@@ -72,7 +72,7 @@ def python_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     return df.mapInArrow(run, schema)
 
 
-def lookup(df: DataFrame, sets: DataFrame, key: str, value: str, *, bound_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:
+def lookup(df: DataFrame, sets: DataFrame, key: str, value: str, *, left_key: str | None = None, bound_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:
     """df with the column `value` of `sets`, which has one row a key with an array of longs.
 
     Keys may be null (they match null) and very uneven: where the arrays take at most
@@ -81,10 +81,11 @@ def lookup(df: DataFrame, sets: DataFrame, key: str, value: str, *, bound_bytes:
     """
     from pyspark.sql import functions as F
 
+    own = df[left_key or key]
     size = sets.agg(F.sum(F.size(value) * 8 + 64)).first()[0] or 0
     if size <= bound_bytes:
         right = F.broadcast(sets.withColumnRenamed(key, "_key"))
-        return df.join(right, df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+        return df.join(right, own.eqNullSafe(F.col("_key")), "left").drop("_key")
     right = sets.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return left.join(right, left[key].eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_part", "_salt")
+    return left.join(right, left[left_key or key].eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_part", "_salt")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.llm import decontaminate
+from quaylark.llm import decontaminate, linededup
 from quaylark.llm.common import table
 from quaylark.llm.decontaminate import contamination_report
+from quaylark.llm.linededup import line_report
+from quaylark.llm.mixing import mix_report
 from quaylark.llm.neardup import near_duplicates
 from quaylark.llm.pages import extract_main_text
 from quaylark.llm.pii import pii_report
 from quaylark.llm.secrets import secret_report
 from quaylark.llm.simhash import fingerprint_report
 from quaylark.llm.tokens import token_counts
+from quaylark.llm.toxicity import toxicity_report
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +50,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -48,11 +64,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_secret_scan": op6_secret_scan,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op8_line_dedup": linededup.ORACLE}
