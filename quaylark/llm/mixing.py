@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaylark.llm.common import stash
@@ -123,20 +123,27 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, total: int | None = None, seed: int = 1) -> DataFrame:
-    """docs' row ids with what the mix takes: _row, _id, _size, _pattern, _copies.
-
-    `source_col` is a string, or an array of strings for documents in several sources (a
-    null array or one without elements is the source null). A null text has no words and
-    is taken 0 times, like any text without words. Documents are chosen by a hash of seed,
-    id and size, so reruns agree; rows that agree in all of these are interchangeable.
-    """
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """docs with _size, _pattern (array), _p (the same as text) and _h."""
     kind = docs.schema[source_col].dataType.simpleString()
-    one = F.col(source_col).cast("string")
-    pattern = F.array(one) if not kind.startswith("array") else F.when(F.size(source_col) > 0, F.array_sort(F.array_distinct(F.col(source_col)))).otherwise(F.array(F.lit(None).cast("string")))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), pattern.alias("_pattern"))
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
-    rows = stash(rows.select("*", F.to_json("_pattern").alias("_p")))
+    none = F.array(F.lit(None).cast("string"))
+    pattern = F.array(F.col(source_col).cast("string"))
+    if kind.startswith("array"):
+        pattern = F.when(F.size(source_col) > 0, F.array_sort(F.array_distinct(F.col(source_col)))).otherwise(none)
+    out = docs.withColumns({"_size": word_count(F.col(text_col)), "_pattern": pattern})
+    return out.withColumns({"_p": F.to_json("_pattern"), "_h": F.xxhash64(F.lit(seed), F.col(id_col), "_size")})
+
+
+def _copies() -> Column:
+    """How often the plan takes a row: a function of its pattern and hash."""
+    extra = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False)) | F.coalesce(F.array_contains("_picks", F.col("_h")), F.lit(False))
+    return F.when(F.col("_size") > 0, F.col("_passes") + extra.cast("long")).otherwise(0)
+
+
+def plan_mix(rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, total: int | None = None) -> tuple[DataFrame, dict, dict]:
+    """(plan, sizes, targets) for stored rows(_size, _pattern, _p, _h). The plan has a row a
+    pattern: _passes over all of its documents; _cut, up to which hash one pass more; _picks,
+    hashes of single documents beyond that, which fill what is left best."""
     stats = rows.groupBy("_p").agg(F.first("_pattern").alias("pattern"), F.sum("_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(stats) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -148,48 +155,54 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             sizes[s] += n
     goal = targets(dict(sizes), weights, repeats, total if total is not None else sum(capacity.values()))
     flow = route(capacity, {s: round(t) for s, t in goal.items()}, repeats)
-    plan = [(name[p], *divmod(flow[p], capacity[p])) if capacity[p] else (name[p], 0, 0) for p in capacity]
-    spark = docs.sparkSession
-    return _choose(spark, rows, plan), dict(sizes), goal
-
-
-def _choose(spark: SparkSession, rows: DataFrame, plan: list[tuple[str, int, int]]) -> DataFrame:
-    """rows with _copies: each pattern's whole passes, and one more for the documents that
-    its part of a pass takes: first in hash order, then what fills the rest best."""
-    plans = F.broadcast(spark.createDataFrame(plan, "_p string, _passes long, _rest long"))
-    # Where each bucket of a pattern begins; a pattern has BUCKETS rows here.
-    sums = rows.groupBy("_p", "_bucket").agg(F.sum("_size").alias("n"))
+    passes = [(name[p], *divmod(flow[p], capacity[p])) if capacity[p] else (name[p], 0, 0) for p in capacity]
+    plan = F.broadcast(rows.sparkSession.createDataFrame(passes, "_p string, _passes long, _rest long"))
+    # Where each range of hashes of a pattern begins; a pattern has BUCKETS ranges.
+    width = (1 << 64) // BUCKETS
+    placed = rows.select("_p", "_h", "_size", F.floor(F.col("_h") / width).cast("int").alias("_bucket"))
+    sums = placed.groupBy("_p", "_bucket").agg(F.sum("_size").alias("n"))
     start = sums.select("_p", "_bucket", (F.sum("n").over(Window.partitionBy("_p").orderBy("_bucket")) - F.col("n")).alias("_start"))
-    inside = Window.partitionBy("_p", "_bucket").orderBy("_h", "_id", "_size", "_row")
-    placed = rows.join(start, ["_p", "_bucket"]).withColumn("_end", F.col("_start") + F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = stash(placed.join(plans, "_p").select("_row", "_id", "_size", "_pattern", "_p", "_h", "_passes", "_rest", (F.col("_end") <= F.col("_rest")).alias("_first")))
-    gap = placed.groupBy("_p").agg((F.first("_rest") - F.sum(F.when(F.col("_first"), F.col("_size")).otherwise(0))).alias("gap"))
+    # Rows of equal hash are taken or left together.
+    inside = Window.partitionBy("_p", "_bucket").orderBy("_h").rangeBetween(Window.unboundedPreceding, 0)
+    placed = placed.join(start, ["_p", "_bucket"]).join(plan, "_p").withColumn("_first", F.col("_start") + F.sum("_size").over(inside) <= F.col("_rest"))
+    placed = stash(placed.select("_p", "_h", "_size", "_rest", "_first"))
+    got = F.sum(F.when(F.col("_first"), F.col("_size")).otherwise(0))
+    cut = stash(placed.groupBy("_p").agg(F.max(F.when(F.col("_first"), F.col("_h"))).alias("_cut"), (F.first("_rest") - got).alias("gap")))
     # Of each size up to the gap one document; the largest that fits is taken, and again.
-    fits = placed.join(gap, "_p").where("not _first and _size > 0 and _size <= gap")
-    one = fits.groupBy("_p", "gap", "_size").agg(F.min(F.struct("_h", "_id", "_row")).alias("d"))
-    sizes = one.groupBy("_p", "gap").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_size", F.col("d._row").alias("row"))))).alias("c"))
-    zero = F.struct(F.col("gap"), F.array().cast("array<bigint>").alias("rows"))
-    pick = lambda acc, x: F.when(x["_size"] <= acc["gap"], F.struct((acc["gap"] - x["_size"]).alias("gap"), F.concat(acc["rows"], F.array(x["row"])).alias("rows"))).otherwise(acc)
-    more = sizes.select(F.explode(F.aggregate("c", zero, pick, lambda acc: acc["rows"])).alias("_picked"))
-    out = placed.join(more, placed["_row"] == more["_picked"], "left")
-    extra = (F.col("_first") | F.col("_picked").isNotNull()).cast("long")
-    return out.select("_row", "_id", "_size", "_pattern", F.when(F.col("_size") > 0, F.col("_passes") + extra).otherwise(0).alias("_copies"))
-
-
-def mix_report(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    fits = placed.join(F.broadcast(cut), "_p").where("not _first and _size > 0 and _size <= gap")
+    one = fits.groupBy("_p", "gap", "_size").agg(F.min("_h").alias("h"))
+    ranked = one.groupBy("_p", "gap").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_size", "h")))).alias("c"))
+    zero = F.struct(F.col("gap"), F.array().cast("array<bigint>").alias("h"))
+    pick = lambda acc, x: F.when(x["_size"] <= acc["gap"], F.struct((acc["gap"] - x["_size"]).alias("gap"), F.concat(acc["h"], F.array(x["h"])).alias("h"))).otherwise(acc)
+    picks = ranked.select("_p", F.aggregate("c", zero, pick, lambda acc: acc["h"]).alias("_picks"))
+    whole = plan.join(cut.select("_p", "_cut"), "_p", "left").join(picks, "_p", "left").select("_p", "_passes", "_cut", "_picks")
+    return stash(whole), dict(sizes), goal
+
+
+def mix_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **options) -> DataFrame:
     """Per document: its size, its source's size and target, and the words that the mix
-    takes of it, repeats counted. For documents with one source each."""
-    chosen, sizes, goal = mix(docs, id_col=id_col, source_col=source_col, **options)
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame([(s, int(n), goal[s]) for s, n in sizes.items()], "_source string, source_size long, target double"))
-    out = chosen.join(table, F.col("_pattern")[0].eqNullSafe(F.col("_source")), "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents that the mix takes, with `copies`, how often. Rows are matched by id,
-    words and source; rows that agree in these share the count of any one of them."""
-    chosen, _, _ = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    taken = chosen.where("_copies > 0").select(F.col("_id").alias("_k"), F.col("_size").alias("_n"), F.col("_copies").alias("copies")).groupBy("_k", "_n").agg(F.max("copies").alias("copies"))
-    held = docs.join(taken, docs[id_col].eqNullSafe(F.col("_k")) & (word_count(F.col(text_col)) == F.col("_n")))
-    return held.select(*docs.columns, "copies")
+    takes of it, repeats counted.
+
+    `source_col` is a string here. A null text has no words; a text without words is taken
+    0 times. Documents are chosen by a hash of seed, id and size, so reruns agree; rows
+    that agree in these are taken alike. An empty table gives none.
+    """
+    rows = stash(_rows(docs, id_col, text_col, source_col, seed).select(F.col(id_col).alias("_id"), "_size", "_pattern", "_p", "_h"))
+    plan, sizes, goal = plan_mix(rows, **options)
+    # Both tables have a row a pattern, of which there are at most MAX_PATTERNS.
+    known = docs.sparkSession.createDataFrame([(s, int(n), goal[s]) for s, n in sizes.items()], "_source string, source_size long, target double")
+    out = rows.join(F.broadcast(plan), "_p", "left").join(F.broadcast(known), F.col("_pattern")[0].eqNullSafe(F.col("_source")), "left")
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * _copies()).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **options) -> DataFrame:
+    """The documents that the mix takes, in their own columns, with `copies`, how often.
+
+    `source_col` is a string, or an array of strings for documents in several sources (a
+    null array or one without elements is the source null). Texts stay where they are: the
+    plan, one row a pattern, comes to them.
+    """
+    rows = _rows(docs, id_col, text_col, source_col, seed)
+    plan, _, _ = plan_mix(stash(rows.select("_size", "_pattern", "_p", "_h")), **options)
+    out = rows.join(F.broadcast(plan), "_p", "left").withColumn("copies", _copies()).where("copies > 0")
+    return out.select(*docs.columns, "copies")
