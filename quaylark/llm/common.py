@@ -89,3 +89,17 @@ def lookup(df: DataFrame, sets: DataFrame, key: str, value: str, *, left_key: st
     right = sets.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return left.join(right, left[left_key or key].eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_part", "_salt")
+
+
+#: Ids of 64 bits that are broadcast at most: some 100 MB on each executor.
+BROADCAST_IDS = 2_000_000
+
+
+def filter_ids(df: DataFrame, key: str, ids: DataFrame, *, keep: bool) -> DataFrame:
+    """The rows of df whose `key` is in ids(_id), or with keep=False those whose isn't. Up to
+    BROADCAST_IDS ids are broadcast, so that df's rows stay where they are; beyond that both
+    sides are shuffled. `ids` is counted first and should be a stored table."""
+    from pyspark.sql import functions as F
+
+    own = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.join(own, df[key] == own["_id"], "left_semi" if keep else "left_anti")

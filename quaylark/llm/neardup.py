@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import python_map, stash
+from quaylark.llm.common import filter_ids, python_map, stash
 from quaylark.llm.decontaminate import lower_ascii
 from quaylark.llm.graph import components
 
@@ -246,14 +246,14 @@ def _class_components(rows: DataFrame, classes: DataFrame, k: int, threshold: fl
     sized = star.join(known.toDF("x", "nx", "regs_x"), "x").join(known.toDF("h", "nh", "regs_h"), "h")
     near = python_map(sized, _far(threshold), "near boolean", ["x", "h", "nx", "nh"]).where("near").drop("near")
     near = stash(near)
-    needed = near.select(F.col("x").alias("id")).union(near.select("h")).distinct()
+    needed = stash(near.select(F.col("x").alias("_id")).union(near.select("h")).distinct())
 
     def shingled():
         shingle = Shingler(k)
         return lambda b: {"set": [shingle(t).view(np.int64) for t in b["text"]]}
 
     # Of rows with the same id any one whose set is of the class's size and hash will do.
-    sets = python_map(rows.join(needed, "id", "left_semi"), shingled, "set array<long>", ["id"])
+    sets = python_map(filter_ids(rows, "id", needed, keep=True), shingled, "set array<long>", ["id"])
     sets = stash(sets)
     pairs = near.join(sets.toDF("x", "set_x"), "x").join(sets.toDF("h", "set_h"), "h").where((F.size("set_x") == F.col("nx")) & (F.size("set_h") == F.col("nh")))
     exact = stash(python_map(pairs, _differences(percent), "linked boolean, diff array<long>, removed long", ["x", "h", "nx", "nh"], ["set_x", "set_h"]))
@@ -282,5 +282,5 @@ def _links_below_hubs(exact: DataFrame, first: DataFrame, percent: int) -> DataF
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that are the first of their group, in their own columns. Rows
     without id and rows of equal id stay."""
-    found = near_duplicates(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(found, docs[id_col] == found["_gone"], "left_anti")
+    found = near_duplicates(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_id")).distinct()
+    return filter_ids(docs, id_col, stash(found), keep=False)
