@@ -21,6 +21,9 @@ from quaylark.llm.common import lookup, python_map, stash
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are deleted inside an article when they recur: not single cells or items, whose
+#: words may be common, nor headings. Inline elements always stay with their block.
+UNITS = BLOCK - HEADING - frozenset("li td th tr tbody thead tfoot dt dd body html main article summary legend caption figcaption hgroup hr".split())
 FURNITURE = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form note".split())
 #: Parts of class names and ids that mark furniture.
@@ -123,7 +126,7 @@ def is_furniture(n: Node) -> bool:
 
 
 def prune(root: Node, template: frozenset[int]) -> None:
-    """Delete template subtrees and furniture. A heading block inside the article stays."""
+    """Delete template subtrees and furniture. Of an article's header its headings stay."""
     todo = [(root, False)]
     while todo:
         n, inside = todo.pop()
@@ -138,7 +141,7 @@ def prune(root: Node, template: frozenset[int]) -> None:
                     c.children = [x for x in nodes(c) if x.tag in HEADING]
                 elif is_furniture(c):
                     continue
-                if c.hash in template and c.tag not in HEADING and c.tag not in ("br", "html", "body"):
+                if c.hash in template and c.tag in (UNITS if inside else BLOCK):
                     continue
             kept.append(c)
         n.children = kept

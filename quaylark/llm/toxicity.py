@@ -179,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(order, "_id").limit(sample_rows)
         picked = some if picked is None else picked.union(some)
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), docs[id_col] == F.col("_id")).select(order.alias("o"), "_id", F.substring(F.col(text_col), 1, sample_chars).alias("t"), "_y")
+    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, sample_chars).alias("t")).where("t is not null")
+    rows = texts.join(F.broadcast(picked), "_id").select(order.alias("o"), "_id", "t", "_y")
     got = sorted(rows.collect(), key=lambda r: (r["o"], r["_id"], r["t"]))
     return fit([r["t"] for r in got], [r["_y"] for r in got])
 
