@@ -28,8 +28,8 @@ def non_empty(name: str, df: DataFrame) -> DataFrame:
 
 
 def unique(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return _named(name, n.agg(F.count_if(F.col("n") > 1).alias("violations")))
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return _named(name, n.agg(F.count_if(F.col("_n") > 1).alias("violations")))
 
 
 def refers(name: str, df: DataFrame, to: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,8 +46,8 @@ def same_keys(name: str, a: DataFrame, b: DataFrame, keys: list[str]) -> DataFra
 def ranked(name: str, df: DataFrame, rank: str, group: list[str]) -> DataFrame:
     """Groups whose rank isn't 1 to n without repeats."""
     g = df.groupBy(*group) if group else df.groupBy()
-    per = g.agg(F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count_distinct(rank).alias("d"), F.count(rank).alias("n"))
-    return _named(name, per.agg(F.count_if((F.col("n") > 0) & ((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("d") != F.col("n")))).alias("violations")))
+    per = g.agg(F.min(rank).alias("_lo"), F.max(rank).alias("_hi"), F.count_distinct(rank).alias("_d"), F.count(rank).alias("_n"))
+    return _named(name, per.agg(F.count_if((F.col("_n") > 0) & ((F.col("_lo") != 1) | (F.col("_hi") != F.col("_n")) | (F.col("_d") != F.col("_n")))).alias("violations")))
 
 
 def rate(name: str, df: DataFrame, hit: Column, low: float, high: float) -> DataFrame:
