@@ -284,3 +284,21 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFra
     without id and rows of equal id stay."""
     found = near_duplicates(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_id")).distinct()
     return filter_ids(docs, id_col, stash(found), keep=False)
+
+
+#: DuckDB twin of the report with three words and 0.85; pairs by an inverted index, so only
+#: for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 3) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3 + 1, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, comp.c AS component_id, doc_id = comp.c AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""

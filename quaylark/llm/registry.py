@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.llm import decontaminate, linededup
+from quaylark.llm import decontaminate, linededup, neardup
 from quaylark.llm.common import table
 from quaylark.llm.decontaminate import contamination_report
 from quaylark.llm.linededup import line_report
@@ -75,4 +75,4 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op8_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE}
