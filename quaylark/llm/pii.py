@@ -32,10 +32,15 @@ DIGIT_WORDS = {w: str(i) for i, w in enumerate(("zero", "one", "two", "three", "
 
 _ODD = re.compile(f"[{''.join(LOOK_ALIKES)}{INVISIBLE}٠-٩۰-۹०-९！-～①-⑨\U0001d7ce-\U0001d7ff]")
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?<![a-z])(?:plus[ ,-]+)?{_WORD}(?:[ ,-]+{_WORD}){{6,}}(?![a-z])", re.IGNORECASE | re.ASCII)
-_SPELLED_PART = re.compile(rf"{_WORD}|plus", re.IGNORECASE | re.ASCII)
+#: A run of digits with three spelled ones at least; the words stand by themselves.
+_ITEM = rf"(?:{_WORD}(?![a-z])|[0-9]+(?![a-z]))"
+_SPELLED = re.compile(rf"(?<![a-z0-9])(?:plus[ ,-]+|\+[ ,-]*)?{_ITEM}(?:[ ,-]+{_ITEM}){{2,}}", re.IGNORECASE | re.ASCII)
+_SPELLED_PART = re.compile(rf"({_WORD}|plus)|[0-9]+|\+", re.IGNORECASE | re.ASCII)
+_GAP = re.compile(r"[ ,-]+")
 _SIGN = re.compile(r"\s?[\[({<]\s?(at|dot)\s?[\])}>]\s?", re.IGNORECASE | re.ASCII)
 _SAID = re.compile(r"(?<=[A-Za-z0-9_%+-]) at (?=[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+)", re.IGNORECASE | re.ASCII)
+_SPACED = re.compile(r"(?<=[A-Za-z0-9_%+-]) ?@ ?(?=[A-Za-z0-9-]{1,63}(?:(?: \. |\.)[A-Za-z0-9-]{1,63})+)")
+_SPACED_TAIL = re.compile(r"[A-Za-z0-9-]+(?:(?: \. |\.)[A-Za-z0-9-]+)+")
 _SAID_DOT = re.compile(r"(?<=[A-Za-z0-9-]) dot (?=[A-Za-z0-9-])", re.IGNORECASE | re.ASCII)
 
 
@@ -117,10 +122,13 @@ def plain(text: str) -> Plain | None:
     p.replace([(m.start(), m.end(), plain_char(m[0])) for m in _ODD.finditer(text)])
     spelled = []
     for m in _SPELLED.finditer(p.text):
-        for w in _SPELLED_PART.finditer(p.text, m.start(), m.end()):
-            spelled.append((w.start(), w.end(), DIGIT_WORDS.get(w[0].lower(), "+")))
-            gap = re.compile(r"[ ,-]+").match(p.text, w.end(), m.end())
-            if gap:
+        parts = list(_SPELLED_PART.finditer(p.text, m.start(), m.end()))
+        if sum(bool(w[1]) for w in parts) < 3:
+            continue
+        for w, after in zip(parts, [*parts[1:], None]):
+            if w[1]:
+                spelled.append((w.start(), w.end(), DIGIT_WORDS.get(w[0].lower(), "+")))
+            if after and (w[1] or after[1] or w[0] == "+") and (gap := _GAP.match(p.text, w.end(), after.start())):
                 spelled.append((gap.start(), gap.end(), ""))
     p.replace(spelled)
     p.replace([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _SIGN.finditer(p.text)])
@@ -129,6 +137,13 @@ def plain(text: str) -> Plain | None:
         tails = [re.compile(r"[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+", re.IGNORECASE | re.ASCII).match(p.text, b) for _, b in said]
         dots = [(m.start(), m.end(), ".") for t in tails if t for m in _SAID_DOT.finditer(p.text, t.start(), t.end())]
         p.replace(sorted({*[(a, b, "@") for a, b in said], *dots}))
+    if "@" in p.text:
+        spaced = []
+        for m in _SPACED.finditer(p.text):
+            tail = _SPACED_TAIL.match(p.text, m.end())
+            spaced.append((m.start(), m.end(), "@"))
+            spaced += [(tail.start() + x.start(), tail.start() + x.end(), ".") for x in re.finditer(r" \. ", tail[0])]
+        p.replace(sorted(spaced))
     return None if p.text == text else p
 
 

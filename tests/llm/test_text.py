@@ -77,7 +77,8 @@ def test_personal_data(spark):
     cases = {
         "mail joe.b@mail.example.com now": "email:5:27", "ip 10.0.0.255 and 300.1.1.1": "ip:3:13", "card 4111 1111 1111 1111.": "card:5:24", "card 4111111111111112": "",
         "call +1 (415) 555-0100 ok": "phone:5:22", "a@b.c_x@y.z": "email:0:5,email:5:11", "joe [at] mail [dot] com": "email:0:23", "joe at mail dot example dot com": "email:0:31",
-        "ｊoe＠mail．com": "email:0:12", "call plus one four one five five five five zero one zero zero please": "phone:5:61", "we met at the dot": "", "1.2.3.4.5.6.7.8": "ip:0:7,ip:8:15",
+        "ｊoe＠mail．com": "email:0:12", "call plus one four one five five five five zero one zero zero please": "phone:5:61", "we met at the dot": "", "joe @ mail . example . com": "email:0:26", "ring + 1 four one five 555 zero one zero zero now": "phone:5:45",
+        "4111 one 1 one 1111 one one 1 1 1": "card:0:33", "one two three four items": "", "аlice@mаil.com": "email:0:14", "see you at 5 . ok @ noon. Bye": "", "1.2.3.4.5.6.7.8": "ip:0:7,ip:8:15",
     }
     df = docs(spark, list(cases))
     assert by_text(pii.pii_report(df), "spans") == sorted([(v,) for v in cases.values()], key=str)
