@@ -16,6 +16,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaylark.llm.common import stash
+
 #: Bits of a fingerprint and the longs that hold them.
 BITS, HALVES = 128, 2
 #: A term weighs as much as it has letters, up to this: pairs of common short words, which
@@ -143,10 +145,19 @@ def _range_of(k: Column, cuts: list[int]) -> Column:
     return pick(0, len(cuts))
 
 
-def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def neighbours(fps: DataFrame, radius: int, *, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
+    """(fp, n_near): fingerprints that have others within `radius`, and how many different ones."""
+    classes = fps.where(F.col(id_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("class_id"))
+    _, pairs = near_pairs(fps, radius, id_col=id_col, fp_col=fp_col)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_near"))
+    return classes.join(ends, "class_id").select("fp", "n_near")
+
+
+def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, radius: int = 3) -> DataFrame:
     """Per document: its fingerprint, that of its edited text (the second half replaced by
-    the start of the next document), and the likeness of its own to that and to the next
-    document's fingerprint.
+    the start of the next document), the likeness of its own to that and to the next
+    document's fingerprint, and n_near, how many other fingerprints of documents with an id
+    lie within `radius` bits of its own.
 
     Null texts are empty. A single document is its own next. Rows of equal id or text are
     all returned. The one shuffle is that of `with_next`; votes are summed and neighbours
@@ -164,7 +175,11 @@ def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # In a range's order come a text, its edited text, the next text.
     w = Window.partitionBy("bucket").orderBy("n", "edit")
     ahead = fps.select("*", F.lead("sha").over(w).alias("edited_sha256"), F.lead("fp").over(w).alias("edited_fp"), F.lead("fp", 2).over(w).alias("next_fp"))
-    return ahead.where("last = 0 and edit = 0").select(
+    out = ahead.where("last = 0 and edit = 0").select("id", "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    out = stash(out)
+    # Only fingerprints with neighbours come to the join; copies on the other side can be split.
+    out = out.join(neighbours(out, radius, id_col="id"), "fp", "left")
+    return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "near_edited", "near_next", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
