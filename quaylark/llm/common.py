@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch; texts are long, so a batch is kept to a few MB.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch: texts may be very long, so both are bounded.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set. Long texts go to Python in small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the data set."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +54,8 @@ def python_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     function that `make` returns computes from a batch's columns `use` (the others, unless
     given). Nothing is shuffled.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     given = use if use is not None else [c for c in df.columns if c not in keep]
     new = StructType.fromDDL(out)
     schema = StructType([df.schema[c] for c in keep] + new.fields)
