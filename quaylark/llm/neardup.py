@@ -276,7 +276,9 @@ def _links_below_hubs(exact: DataFrame, first: DataFrame, percent: int) -> DataF
     own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
     dealt = member.join(open_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "blocks")
-    return dealt.groupBy("h", "bi", "bj").applyInPandas(_link_blocks(percent), "a long, b long").distinct()
+    # Dealt by block pair: by hub alone, which the grouping would settle for, all blocks of a
+    # large group would be one task's.
+    return dealt.repartition("h", "bi", "bj").groupBy("h", "bi", "bj").applyInPandas(_link_blocks(percent), "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
