@@ -4,8 +4,10 @@ Each text's distinct word shingles are hashed once; the hash chooses one of 128
 and each register keeps its smallest hash as a leading-zero count with ten mantissa bits.
 Texts with equal shingle sets are one class, whose smallest id stands for it. Bands of
 registers are the buckets in which classes meet. The work on a bucket is linear in its
-size: its members are tied to one hub, the estimate from the registers, corrected for
+size where its members are near one hub: the estimate from the registers, corrected for
 chance collisions, drops pairs that are far apart, and the rest are verified on full sets.
+Members far from their bucket's hub are compared with the bucket's others and become hubs
+of those near to them, so that every pair that meets in a band is estimated or shares a hub.
 
 Members of one hub may be similar to each other without being similar to the hub. With
 the exact difference of each member to its hub at hand, the overlap of any two members
@@ -138,16 +140,63 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return python_map(docs, make, "n long, digest binary, regs binary, keys array<long>", ["id"])
 
 
+def _unequal_at_most(threshold: float) -> np.ndarray:
+    """For each number of registers in use, the most unequal ones that a near pair has."""
+    used = np.arange(1, REGISTERS + 1)
+    least = threshold - SLACK * (threshold * (1 - threshold) / used) ** 0.5
+    # (used - d - d / 3 / 2^mantissa) / used >= least, as in `estimate`, solved for d.
+    most = np.floor(used * (1 - least) / (1 + 1 / 3 / (1 << MANTISSA)) + 1e-9)
+    return np.concatenate([[-1], np.minimum(most, used)]).astype(np.int64)
+
+
 def _far(threshold: float):
-    """The pairs (regs_x, regs_h) whose estimate is too far below the threshold."""
+    """Unequal registers of the pairs (regs_x, regs_h), and whether they are few enough."""
 
     def make():
+        most = _unequal_at_most(threshold)
+
         def run(b):
-            near = []
+            out: dict[str, list] = {"dist": [], "near": []}
             for x, h in zip(b["regs_x"], b["regs_h"]):
-                e, n = estimate(np.frombuffer(x, np.uint16), np.frombuffer(h, np.uint16))
-                near.append(e >= threshold - SLACK * (threshold * (1 - threshold) / max(n, 1)) ** 0.5)
-            return {"near": near}
+                x, h = np.frombuffer(x, np.uint16), np.frombuffer(h, np.uint16)
+                d = int((x != h).sum())
+                out["dist"].append(d)
+                out["near"].append(bool(d <= most[int(((x != EMPTY) | (h != EMPTY)).sum())]))
+            return out
+
+        return run
+
+    return make
+
+
+def _scan(threshold: float):
+    """Further hubs of buckets: `scan` are members far from the bucket's hub, `rest` those they
+    are compared with. A near pair is given out unless both are with a hub already."""
+
+    def make():
+        most = _unequal_at_most(threshold)
+
+        def run(b):
+            out: list[list[dict]] = []
+            for scan, rest in zip(b["scan"], b["rest"]):
+                scan.sort(key=lambda r: (-r["copies"], r["x"]))
+                own = {r["x"] for r in scan}
+                every = scan + [r for r in rest if r["x"] not in own]
+                ids = [r["x"] for r in every]
+                regs = np.frombuffer(b"".join(r["regs"] for r in every), np.uint16).reshape(-1, REGISTERS)
+                used, groups, pairs = regs != EMPTY, [], []
+                for c in range(len(scan)):
+                    near = (regs != regs[c]).sum(axis=1) <= most[(used | used[c]).sum(axis=1)]
+                    near[c] = False
+                    for g in groups:
+                        if g[c]:
+                            near &= ~g
+                    if near.any():
+                        pairs += [{"x": ids[i], "h": ids[c]} for i in np.flatnonzero(near)]
+                        near[c] = True
+                        groups.append(near)
+                out.append(pairs)
+            return {"pairs": out}
 
         return run
 
@@ -241,11 +290,14 @@ def _class_components(rows: DataFrame, classes: DataFrame, k: int, threshold: fl
     banded = classes.select("rid", "copies", F.explode("keys").alias("key"))
     hubs = banded.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("c"), "rid")).alias("hub"), F.count(F.lit(1)).alias("size"))
     hubs = hubs.where("size > 1").select("key", F.col("hub.rid").alias("h"))
-    star = banded.join(hubs, "key").where("rid <> h").select(F.col("rid").alias("x"), "h").distinct()
+    star = stash(banded.join(hubs, "key").where("rid <> h").select("key", F.col("rid").alias("x"), "h"))
     known = classes.select("rid", "n", "regs")
-    sized = star.join(known.toDF("x", "nx", "regs_x"), "x").join(known.toDF("h", "nh", "regs_h"), "h")
-    near = python_map(sized, _far(threshold), "near boolean", ["x", "h", "nx", "nh"]).where("near").drop("near")
-    near = stash(near)
+    both = lambda pairs: pairs.join(known.toDF("x", "nx", "regs_x"), "x").join(known.toDF("h", "nh", "regs_h"), "h")
+    met = stash(python_map(both(star.select("x", "h").distinct()), _far(threshold), "dist int, near boolean", ["x", "h", "nx", "nh"]))
+    more = _pairs_beside_hubs(star, met, classes, threshold)
+    size = classes.select("rid", "n")
+    near = met.where("near").select("x", "h", "nx", "nh").union(more.join(size.toDF("x", "nx"), "x").join(size.toDF("h", "nh"), "h").select("x", "h", "nx", "nh"))
+    near = stash(near.distinct())
     needed = stash(near.select(F.col("x").alias("_id")).union(near.select("h")).distinct())
 
     def shingled():
@@ -269,6 +321,29 @@ def _class_components(rows: DataFrame, classes: DataFrame, k: int, threshold: fl
     return merged.unionByName(alone).distinct()
 
 
+def _pairs_beside_hubs(star: DataFrame, met: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Near pairs (x, h) of bucket members of which one at least is far from the bucket's hub.
+
+    Unequal registers are a metric: a member so close to the hub that none of those far from
+    it can be near needs no comparison. The others are compared block by block.
+    """
+    reach = int(_unequal_at_most(threshold).max())
+    held = star.join(met.select("x", "h", "dist", "near"), ["x", "h"]).select("key", "x", "dist", "near")
+    first = held.groupBy("key").agg(F.min(F.when(~F.col("near"), F.col("dist"))).alias("m"), F.count(F.lit(1)).alias("all")).where("m is not null and all > 1").drop("all")
+    left = held.join(first, "key").where(~F.col("near") | (F.col("dist") + reach >= F.col("m"))).select("key", "x", "near")
+    size = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_far")).where("n > 1")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    left = stash(left.join(size.select("key", blocks("n").alias("ms"), blocks("n_far").alias("fs")), "key"))
+    rows = left.join(classes.select(F.col("rid").alias("x"), "copies", "regs"), "x")
+    hashed, each = F.xxhash64("x"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = F.struct("x", "copies", "regs")
+    scan = rows.where(~F.col("near")).select("key", F.pmod(hashed, F.col("fs")).cast("int").alias("bf"), each("ms").alias("bm"), one.alias("s"), F.lit(None).cast(one_type := "struct<x:bigint,copies:bigint,regs:binary>").alias("r"))
+    rest = rows.select("key", each("fs").alias("bf"), F.pmod(hashed, F.col("ms")).cast("int").alias("bm"), F.lit(None).cast(one_type).alias("s"), one.alias("r"))
+    dealt = scan.union(rest).groupBy("key", "bf", "bm").agg(F.collect_list("s").alias("scan"), F.collect_list("r").alias("rest"))
+    found = python_map(dealt, _scan(threshold), "pairs array<struct<x:bigint,h:bigint>>", [], ["scan", "rest"])
+    return found.select(F.explode("pairs").alias("p")).select("p.x", "p.h").distinct()
+
+
 def _links_below_hubs(exact: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one hub which are in different components."""
     member = exact.join(first.select(F.col("id").alias("x"), "component"), "x", "left").select("x", "h", "nx", "nh", "diff", "removed", F.coalesce("component", "x").alias("comp"))

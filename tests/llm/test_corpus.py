@@ -95,6 +95,23 @@ def test_links_below_a_hub(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_links_beside_a_hub(spark, monkeypatch):
+    """Texts of passages that many share: in each shared band of a near pair the hub is a third, far text."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng, rows = random.Random(12), []
+    for i in range(2):
+        own = [" ".join(words(rng, 12)) for _ in range(24)]
+        rows += [(5000 + 2 * i, " ".join(own)), (5001 + 2 * i, " ".join([*own[:-1], *words(rng, 12)]))]
+        for h in range(120):
+            part = list(own)
+            for j in rng.sample(range(24), 8):
+                part[j] = " ".join(words(rng, 12))
+            rows += [(1000 * (i + 10) + 2 * h + c, " ".join(part)) for c in range(2)]
+    df = table(spark, [(i, t, "s") for i, t in rows])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, k=3, threshold=0.85).collect()}
+    assert got[5001][1] == 5000 and got == brute(rows, 3, 85)
+
+
 def test_null_and_repeated_ids(spark):
     t = " ".join(words(random.Random(1), 30))
     df = table(spark, [(None, t, "s"), (5, t, "s"), (3, t, None), (3, "else where", "s"), (None, "lonely words here", "s")])
