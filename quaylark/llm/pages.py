@@ -24,6 +24,8 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that are deleted inside an article when they recur: not single cells or items, whose
 #: words may be common, nor headings. Inline elements always stay with their block.
 UNITS = BLOCK - HEADING - frozenset("li td th tr tbody thead tfoot dt dd body html main article summary legend caption figcaption hgroup hr".split())
+#: Elements that hold a page's content and never go as template.
+WHOLE = frozenset("html body main article".split())
 FURNITURE = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form note".split())
 #: Parts of class names and ids that mark furniture.
@@ -141,7 +143,7 @@ def prune(root: Node, template: frozenset[int]) -> None:
                     c.children = [x for x in nodes(c) if x.tag in HEADING]
                 elif is_furniture(c):
                     continue
-                if c.hash in template and c.tag in (UNITS if inside else BLOCK):
+                if c.hash in template and c.tag in (UNITS if inside else BLOCK - WHOLE):
                     continue
             kept.append(c)
         n.children = kept
@@ -199,17 +201,20 @@ def site_templates(pages: DataFrame, *, ratio: float = 0.5, min_pages: int = 8)
     """(host, template): hashes of subtrees on at least `ratio` of a host's pages and on at
     least `min_pages`. `pages` has host and html.
 
-    A page sends one row for each of its different subtrees; they are counted before the
-    shuffle, so a host with very many pages sends each hash once from each task. A host's
-    template has at most 1 / ratio times the subtrees of its average page.
+    Whole copies of a page count as one page. A page sends one row for each of its
+    different subtrees; pages are made different, and subtrees counted, with partial
+    aggregates ahead of each shuffle, so a host with very many pages sends each hash once
+    from each task. A host's template has at most 1 / ratio times the subtrees of its
+    average page.
     """
 
     def make():
         return lambda b: {"hashes": [list({n.hash for n in hash_subtrees(parse(h))[1:] if n.tag != "br"}) for h in b["html"]]}
 
-    held = python_map(pages.select("host", "html"), make, "hashes array<long>", ["host"])
+    held = python_map(pages.select("host", F.xxhash64("html", F.lit(1)).alias("page"), "html"), make, "hashes array<long>", ["host", "page"])
+    once = held.groupBy("host", "page").agg(F.first("hashes").alias("hashes"))
     # A page's own total travels as the hash null: one pass counts both.
-    counts = held.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counts = once.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where(F.col("hash").isNull()).select(F.col("host").alias("h"), F.col("n").alias("total"))
     often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages))
     return often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") >= ratio * F.col("total")).groupBy("host").agg(F.collect_list("hash").alias("template"))

@@ -115,6 +115,17 @@ def test_template_without_class_names_goes(spark):
     assert got[5] == "Unique 5 words" and got[101] == "Best site ever\nRare 1"
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    same = "<body><article><p>Shared words of one page</p><p>Its second part</p></article></body>"
+    bare = "<body><div><p>Shared words of one page</p></div></body>"
+    own = [(i, "https://a.example.com/x", f"<html>{same}</html>") for i in range(20)]
+    own += [(20 + i, None, f"<html>{bare}</html>") for i in range(20)]
+    own += [(50 + i, "https://a.example.com/y", f"<html><body><div><p>Shared words of one page</p></div><p>Quoted by {i}</p></body></html>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_main_text(spark.createDataFrame(own, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[19] == "Shared words of one page\nIts second part" and got[20] == got[39] == "Shared words of one page"
+    assert got[51] == "Shared words of one page\nQuoted by 1"
+
+
 def test_fingerprints(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
