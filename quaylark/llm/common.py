@@ -9,11 +9,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and bytes in one Arrow batch: texts may be very long, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+_local: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +24,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where unset (tests), a new local one."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session (tests)
+    gets a new folder of this machine; a cluster, whose machines can't share one, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="/tmp/spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    global _local
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="/tmp/spark-")
+    return _local
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, or longer ones where df has a column of that name already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def cols(df: DataFrame) -> list[Column]:
+    return [col(c) for c in df.columns]
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -73,23 +100,21 @@ def python_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     return df.mapInArrow(run, schema)
 
 
-def lookup(df: DataFrame, sets: DataFrame, key: str, value: str, *, left_key: str | None = None, bound_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:
-    """df with the column `value` of `sets`, which has one row a key with an array of longs.
+def with_set(df: DataFrame, sets: DataFrame, key: Column, value: str, *, bound_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:
+    """df and the column `value` of `sets(key, value)`: one row a key with an array.
 
     Keys may be null (they match null) and very uneven: where the arrays take at most
     `bound_bytes` altogether the sets are broadcast, else the rows of a key are dealt over
-    `salts` parts and the sets are repeated for each.
+    `salts` parts and the sets are repeated for each. df must have no column `value`.
     """
-    from pyspark.sql import functions as F
-
-    own = df[left_key or key]
-    size = sets.agg(F.sum(F.size(value) * 8 + 64)).first()[0] or 0
+    k, part, salt = fresh(df, "set_key", "set_part", "set_salt")
+    right = sets.toDF(k, value)
+    size = right.agg(F.sum(F.size(value) * 8 + 64)).first()[0] or 0
     if size <= bound_bytes:
-        right = F.broadcast(sets.withColumnRenamed(key, "_key"))
-        return df.join(right, own.eqNullSafe(F.col("_key")), "left").drop("_key")
-    right = sets.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return left.join(right, left[left_key or key].eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_part", "_salt")
+        return df.join(F.broadcast(right), key.eqNullSafe(F.col(k)), "left").drop(k)
+    right = right.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return left.join(right, key.eqNullSafe(F.col(k)) & (F.col(salt) == F.col(part)), "left").drop(k, part, salt)
 
 
 #: Ids of 64 bits that are broadcast at most: some 100 MB on each executor.
@@ -97,10 +122,10 @@ BROADCAST_IDS = 2_000_000
 
 
 def filter_ids(df: DataFrame, key: str, ids: DataFrame, *, keep: bool) -> DataFrame:
-    """The rows of df whose `key` is in ids(_id), or with keep=False those whose isn't. Up to
-    BROADCAST_IDS ids are broadcast, so that df's rows stay where they are; beyond that both
-    sides are shuffled. `ids` is counted first and should be a stored table."""
-    from pyspark.sql import functions as F
-
-    own = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return df.join(own, df[key] == own["_id"], "left_semi" if keep else "left_anti")
+    """The rows of df whose `key` is in the one column of ids, or with keep=False those whose
+    isn't. Up to BROADCAST_IDS ids are broadcast, so that df's rows stay where they are;
+    beyond that both sides are shuffled. `ids` is counted first and should be a stored table."""
+    name = fresh(df, "own_id")[0]
+    own = ids.toDF(name)
+    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    return df.join(own, col(key) == F.col(name), "left_semi" if keep else "left_anti")

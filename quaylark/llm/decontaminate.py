@@ -6,8 +6,8 @@ words that follow. Every suffix of every benchmark item is looked up in it by bi
 search, which gives the places of its first words; places that follow each other in item
 and document alike are one longest verbatim match.
 
-The benchmark goes to the tasks in blocks of bounded size; with more than one block, the
-documents pass through one lookup after the other, without a shuffle.
+The benchmark goes to the tasks in blocks of bounded size, one at a time; with more than one
+block, the documents pass through one lookup after the other, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import python_map
+from quaylark.llm.common import col, cols, fresh, python_map, stash
 
 #: Words of a window, and bytes of benchmark text in one block.
 WINDOW, BLOCK_BYTES = 10, 16 << 20
@@ -142,44 +142,54 @@ class Searcher:
         return counts, found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple]]:
-    """The items with words, on the driver block by block; each block's size is bounded by
-    the choice of their number, whatever the benchmark's."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
+def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """(stored items(part, i, t), parts): the different items that have a text, dealt by hash
+    over as many parts as keep each at about `block_bytes`."""
+    items = benchmark.select(col(item_col).cast("string").alias("i"), col(text_col).alias("t")).where("t is not null").distinct()
+    items = stash(items)
     total = items.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [[tuple(r) for r in items.collect()]]
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[tuple(r) for r in items.where(part == k).collect()] for k in range(n)]
+    return items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n))), n
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with two more columns: _n_words, and _matches, the longest verbatim matches with
-    benchmark items: (item_id, item_start, start, words), places counted in words.
+def find_matches(docs: DataFrame, benchmark: DataFrame, n_words: str = "n_words", matches: str = "matches", *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with two more columns of the names given: the number of words, and the longest
+    verbatim matches with benchmark items: (item_id, item_start, start, words), places
+    counted in words. docs must have no columns of these names.
 
     A match has at least `window` words, or is a whole shorter item. Null texts have no
     words; items without words match nothing; equal items count once; an item without id
-    is matched under a null id. Nothing is shuffled.
+    is matched under a null id; repeated rows are read one by one. Nothing is shuffled.
+
+    A benchmark of several blocks is searched block by block: the driver and the executors
+    hold one block at a time, and what was found so far is written to the shared folder
+    before the next block goes out.
     """
-    cols, names = docs.columns, []
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        spark = docs.sparkSession
-        sent = spark.sparkContext.broadcast(items)
+    items, n = _items(benchmark, item_col, item_text_col, block_bytes)
+    text, count, found, so_far = fresh(docs, "match_text", "match_count", "match_found", "match_so_far")
+    spark, out = docs.sparkSession, docs
+    for k in range(n):
+        sent = spark.sparkContext.broadcast([tuple(r) for r in items.where(F.col("part") == k).select("i", "t").collect()])
 
-        def make(sent=sent, k=k):
+        def make(sent=sent):
             s = Searcher(sent.value, window)
 
             def run(b):
-                counts, found = s.shard(b["_text"])
-                return {f"_n{k}": counts, f"_m{k}": found}
+                counts, got = s.shard(b[text])
+                return {count: counts, found: got}
 
             return run
 
-        out = python_map(out, make, f"_n{k} long, _m{k} {_MATCH}", out.columns, ["_text"])
-        names.append(f"_m{k}")
-    return out.select(*cols, F.col("_n0").alias("_n_words"), F.concat(*names).alias("_matches"))
+        read = out.withColumn(text, F.coalesce(col(text_col), F.lit("")))
+        read = python_map(read, make, f"`{count}` long, `{found}` {_MATCH}", out.columns, [text])
+        all_ = F.concat(col(so_far), col(found)) if k else col(found)
+        out = read.select(*cols(docs), col(count), all_.alias(so_far))
+        if n > 1:
+            out = stash(out)
+            sent.unpersist()
+            if k < n - 1:
+                out = out.drop(count)
+    return out.select(*cols(docs), col(count).alias(n_words), col(so_far).alias(matches))
 
 
 def covered(matches: Column) -> Column:
@@ -190,18 +200,25 @@ def covered(matches: Column) -> Column:
     return F.aggregate(spans, zero, merge, lambda acc: acc["n"].cast("long"))
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Per document: words, words inside matches, and the items matched."""
-    slim = docs.select(F.col(id_col), F.col(options.get("text_col", "text")))
-    m = find_matches(slim, benchmark, **options)
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("_matches", lambda x: x["item_id"]), lambda i: i.isNotNull())))
-    m = m.select(id_col, F.col("_n_words").alias("n_words"), covered(F.col("_matches")).alias("n_hit"), items.alias("_items"))
-    return m.select(id_col, "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+def contamination_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: words, words inside matches, and the items matched.
+
+    Nulls, empty texts, repeated rows and empty tables as in `find_matches`; columns other
+    than the two named are ignored.
+    """
+    slim = docs.select(col(id_col).alias("i"), col(text_col).alias("t"))
+    m = find_matches(slim, benchmark, text_col="t", **options)
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda x: x["item_id"]), lambda i: i.isNotNull())))
+    m = m.select("i", "n_words", covered(F.col("matches")).alias("n_hit"), items.alias("items"))
+    return m.select(F.col("i").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any match, in their own columns."""
-    return find_matches(docs, benchmark, **options).where(F.size("_matches") == 0).select(*docs.columns)
+    """The documents without any match, in their own columns, whatever their names. Null and
+    empty texts match nothing and stay; of repeated rows all stay or go; an empty table
+    stays empty."""
+    n_words, matches = fresh(docs, "n_words", "matches")
+    return find_matches(docs, benchmark, n_words, matches, **options).where(F.size(col(matches)) == 0).select(*cols(docs))
 
 
 #: DuckDB twin of the report.

@@ -1,8 +1,8 @@
 """Boilerplate lines by their frequency inside a site.
 
 Per host, the pages that contain a line are divided by the host's pages; lines above a
-ratio are boilerplate of that host and go from all of its pages. Whole copies of a page
-count as one page, so that copying a text doesn't make its lines boilerplate.
+ratio are boilerplate of that host and go from all of its pages. Copies of a page, whole or
+near, count as one page, so that copying a text doesn't make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import lookup, stash
+from quaylark.llm.common import col, cols, fresh, stash, with_set
 
-RATIO, MIN_PAGES = 0.05, 5
+#: Least share and number of a host's pages; words of the runs by which near copies are known.
+RATIO, MIN_PAGES, SHINGLE = 0.05, 5, 3
 
 
 def _keys(text: Column) -> Column:
@@ -20,6 +21,15 @@ def _keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
+def page_key(text: Column) -> Column:
+    """What near copies of a page have in common: the first and the last in the order of
+    MD5 of its word runs. Two pages agree with about the square of their similarity; the
+    runs of a boilerplate line alone are seldom both."""
+    w = F.split(F.regexp_replace(text, r"[\t\n\x0B\f\r ]+", " "), " ")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.md5(F.array_join(F.slice(w, i + 1, SHINGLE), " ").cast("binary")))
+    return F.concat(F.array_min(runs), F.array_max(runs))
+
+
 def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): hashes of lines on at least `ratio` of a host's different pages and on
     at least `min_pages` of them.
@@ -28,44 +38,61 @@ def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float =
     shuffle, so a very large host is spread over its texts and lines. A host has at most
     1 / ratio times the lines of its average page.
     """
-    pages = docs.where(F.col(text_col).isNotNull()).select(F.col(host_col).alias("host"), F.xxhash64(text_col, F.lit(1)).alias("t"), F.array_distinct(F.filter(_keys(F.col(text_col)), lambda x: x.isNotNull())).alias("k"))
-    once = pages.groupBy("host", "t").agg(F.first("k").alias("k"))
-    # A page's own total travels as the line null: one pass counts both.
-    counts = once.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "k")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    pages = docs.where(col(text_col).isNotNull()).select(col(host_col).alias("host"), col(text_col).alias("t"))
+    pages = pages.select("host", F.xxhash64(page_key(F.col("t"))).alias("page"), F.array_distinct(F.filter(_keys(F.col("t")), lambda x: x.isNotNull())).alias("k"))
+    # A page itself travels as the line null: one pass counts both.
+    held = pages.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "k")).alias("line")).distinct()
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("total"))
     often = counts.where(F.col("line").isNotNull() & (F.col("n") >= min_pages))
     return often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") >= ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with boilerplate lines taken out of `text_col`, and two more columns: _n_lines,
-    _n_dropped.
+def drop_boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with boilerplate lines taken out of `text_col`; with `counts`, two more columns
+    of these names: a row's lines, and those of them that were dropped.
 
     Every row stays. A null text stays null and has no lines; an empty one has one blank
     line, and blank lines stay. Rows without host share one group. Repeated rows all stay.
+    Other columns are untouched, whatever their names; an empty table stays empty.
     """
     lines = stash(boilerplate(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages))
-    held = lookup(docs, lines.toDF("_host", "_lines"), "_host", "_lines", left_key=host_col)
-    parts = F.arrays_zip(F.split(F.col(text_col), "\n").alias("x"), _keys(F.col(text_col)).alias("k"))
-    kept = F.filter(parts, lambda p: F.coalesce(~F.array_contains(F.col("_lines"), p["k"]), F.lit(True)))
-    held = held.withColumn("_kept", F.when(F.col("_lines").isNull(), F.lit(None)).otherwise(F.transform(kept, lambda p: p["x"])))
-    n = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long")
-    dropped = F.when(F.col("_kept").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("_kept"))
-    held = held.withColumns({"_n_lines": n, "_n_dropped": dropped})
-    text = F.when(F.col("_n_dropped") > 0, F.concat_ws("\n", "_kept")).otherwise(F.col(text_col))
-    return held.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
-
-
-def line_report(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    out = drop_boilerplate(docs, **options)
-    return out.select(id_col, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), options.get("text_col", "text"))
+    sets, kept, n_lines, n_dropped = fresh(docs, "line_set", "line_kept", "line_n", "line_n_dropped")
+    held = with_set(docs, lines, col(host_col), sets)
+    text = col(text_col)
+    # The intersection goes through a hash set; what is left to search has a page's own lines.
+    hits = F.array_intersect(_keys(text), col(sets))
+    parts = F.arrays_zip(F.split(text, "\n").alias("x"), _keys(text).alias("k"))
+    held = held.withColumn(sets, F.when(F.size(hits) > 0, hits))
+    left = F.filter(parts, lambda p: F.coalesce(~F.array_contains(col(sets), p["k"]), F.lit(True)))
+    held = held.withColumn(kept, F.when(col(sets).isNotNull(), F.transform(left, lambda p: p["x"])))
+    n = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
+    held = held.withColumn(n_lines, n).withColumn(n_dropped, F.coalesce(col(n_lines) - F.size(kept), F.lit(0)).cast("long"))
+    new = F.when(col(n_dropped) > 0, F.concat_ws("\n", kept)).otherwise(text)
+    own = [new.alias(c) if c == text_col else col(c) for c in docs.columns]
+    return held.select(*own, *([col(n_lines).alias(counts[0]), col(n_dropped).alias(counts[1])] if counts else []))
+
+
+def line_report(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """id, n_lines, n_dropped and the text left of every row of docs.
+
+    Nulls, empty texts, repeated rows and empty tables as in `drop_boilerplate`; columns
+    other than the three named are ignored.
+    """
+    rows = docs.select(col(id_col).alias("i"), col(host_col).alias("h"), col(text_col).alias("text"))
+    out = drop_boilerplate(rows, host_col="h", text_col="text", counts=("n_lines", "n_dropped"), **options)
+    return out.select(F.col("i").alias(id_col), "n_lines", "n_dropped", "text")
 
 
 #: DuckDB twin of the report with its default settings.
-ORACLE = f"""
-WITH page AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
-held AS (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM page),
-total AS (SELECT source, count(*) AS total FROM page GROUP BY source),
+ORACLE = rf"""
+WITH word AS (
+  SELECT DISTINCT source, text, string_split(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS w FROM documents WHERE text IS NOT NULL),
+run AS (
+  SELECT source, text, list_transform(range(0, greatest(len(w) - {SHINGLE}, 0) + 1), lambda i: md5(array_to_string(w[i + 1:i + {SHINGLE}], ' '))) AS r FROM word),
+page AS (SELECT source, text, list_min(r) || list_max(r) AS page FROM run),
+held AS (SELECT DISTINCT source, page, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM page),
+total AS (SELECT source, count(DISTINCT page) AS total FROM page GROUP BY source),
 often AS (
   SELECT held.source, line FROM held JOIN total ON held.source IS NOT DISTINCT FROM total.source
   WHERE line <> '' GROUP BY held.source, line, total HAVING count(*) >= {MIN_PAGES} AND count(*) >= {RATIO} * total),

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import lookup, python_map, stash
+from quaylark.llm.common import python_map, stash, with_set
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -228,7 +228,7 @@ def extract_main_text(pages: DataFrame, *, ratio: float = 0.5, min_pages: int =
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     sets = stash(site_templates(rows, ratio=ratio, min_pages=min_pages))
-    held = lookup(rows, sets, "host", "template").drop("host")
+    held = with_set(rows, sets, F.col("host"), "template").drop("host")
 
     def make():
         last: list = [None, frozenset()]
