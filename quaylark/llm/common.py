@@ -86,18 +86,19 @@ def python_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     given = use if use is not None else [c for c in df.columns if c not in keep]
     new = StructType.fromDDL(out)
     schema = StructType([df.schema[c] for c in keep] + new.fields)
-    names = [f.name for f in new.fields]
+    names, at = [f.name for f in new.fields], {c: i for i, c in enumerate(df.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         fn, kinds = make(), [to_arrow_type(f.dataType) for f in new.fields]
         for b in batches:
-            got = fn({c: b.column(c).to_pylist() for c in given})
-            arrays = [b.column(c) for c in keep] + [pa.array(got[n], k) for n, k in zip(names, kinds)]
+            got = fn({c: b.column(at[c]).to_pylist() for c in given})
+            arrays = [b.column(at[c]) for c in keep] + [pa.array(got[n], k) for n, k in zip(names, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return df.mapInArrow(run, schema)
+    # By place, as names may have dots.
+    return df.toDF(*(f"c{i}" for i in range(len(at)))).mapInArrow(run, schema)
 
 
 def with_set(df: DataFrame, sets: DataFrame, key: Column, value: str, *, bound_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:

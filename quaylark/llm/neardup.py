@@ -1,19 +1,23 @@
 """Near-duplicate groups with HyperMinHash registers.
 
-Each text's distinct word shingles are hashed once; the hash chooses one of 128 registers
+Each text's distinct word shingles are hashed once; the hash chooses one of 256 registers
 and each register keeps its smallest hash as a leading-zero count with ten mantissa bits.
-Texts with equal shingle sets are one class, whose smallest id stands for it. Bands of
-registers are the buckets in which classes meet. The work on a bucket is linear in its
-size where its members are near one hub: the estimate from the registers, corrected for
-chance collisions, drops pairs that are far apart, and the rest are verified on full sets.
-Members far from their bucket's hub are compared with the bucket's others and become hubs
-of those near to them, so that every pair that meets in a band is estimated or shares a hub.
+Texts with equal shingle sets are one class, named by the smallest number of its rows. Bands
+of six registers are the buckets in which classes meet; for the bands alone, an empty
+register takes the value of the first full one in its own fixed order, so that short texts
+meet as seldom by chance as long ones do.
+
+The work on a bucket is linear in its size where its members are near one hub: the estimate
+from the registers, corrected for chance collisions, drops pairs that are far apart, and
+the rest are verified on full sets. Members far from their bucket's hub are compared with
+the bucket's others and become hubs of those near to them, so that every pair that meets in
+a band is estimated or shares a hub.
 
 Members of one hub may be similar to each other without being similar to the hub. With
 the exact difference of each member to its hub at hand, the overlap of any two members
 follows from the overlap of their differences. It is computed block against block for
-hubs whose members are in more than one component so far; a block returns no pairs but a
-spanning forest of what it links.
+the members of a hub that aren't in its main component so far, against all; a block returns
+no pairs but a spanning forest of what it links.
 """
 
 from __future__ import annotations
@@ -22,23 +26,22 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import filter_ids, python_map, stash
+from quaylark.llm.common import BROADCAST_IDS, col, filter_ids, python_map, stash
 from quaylark.llm.decontaminate import lower_ascii
 from quaylark.llm.graph import components
 
-#: Registers, registers of a band, mantissa bits. Texts at the threshold of 0.85 miss all 32
-#: bands with a probability of 5e-11 (0.8: 5e-8), less where they have few shingles.
-REGISTER_BITS, BAND, MANTISSA = 7, 4, 10
+#: Registers, registers of a band, mantissa bits. Texts at the threshold of 0.85 miss all 42
+#: bands with a probability of 2e-9 (0.8: 3e-6).
+REGISTER_BITS, BAND, MANTISSA = 8, 6, 10
 REGISTERS, EMPTY = 1 << REGISTER_BITS, 0xFFFF
 #: Standard errors below the threshold at which an estimate drops a pair.
-SLACK = 6.0
-#: Members in one block of a hub's group.
-BLOCK = 1024
+SLACK = 5.0
+#: Members in one block of a bucket's or a hub's group.
+BLOCK = 512
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CACHE = 300_000
 
@@ -91,15 +94,25 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: For each register the order in which it looks for a full one: fixed, by rule.
+_STAND_INS = _mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1)).reshape(REGISTERS, REGISTERS).argsort(axis=1)
+
+
 def band_keys(regs: np.ndarray) -> list[int]:
-    """One key a band that isn't all empty."""
-    packed = regs.reshape(-1, BAND).astype(np.uint64)
-    key = np.zeros(len(packed), np.uint64)
+    """One key a band; none where all registers are empty."""
+    full = regs != EMPTY
+    if not full.any():
+        return []
+    if not full.all():
+        gaps = np.flatnonzero(~full)
+        order = _STAND_INS[gaps]
+        regs = regs.copy()
+        regs[gaps] = regs[order[np.arange(len(gaps)), full[order].argmax(axis=1)]]
+    packed = regs[: REGISTERS // BAND * BAND].reshape(-1, BAND).astype(np.uint64)
+    key = np.arange(len(packed), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(BAND):
-        key = (key << np.uint64(16)) | packed[:, i]
-    used = (packed != EMPTY).any(axis=1)
-    keys = _mix(_mix(key) + np.arange(len(key), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys[used].view(np.int64).tolist()
+        key = _mix(key + packed[:, i] + np.uint64(1))
+    return key.view(np.int64).tolist()
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
@@ -118,6 +131,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     return max(0.0, (equal - chance) / either), either
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, digest, regs, keys) of docs(id, text)."""
 
@@ -130,7 +147,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 s = shingle(text)
                 r = registers(s)
                 out["n"].append(len(s))
-                out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                out["digest"].append(_digest(s))
                 out["regs"].append(r.tobytes())
                 out["keys"].append(band_keys(r))
             return out
@@ -221,46 +238,49 @@ def _differences(percent: int):
 
 
 def _link_blocks(percent: int):
-    """Edges between members of two blocks of one hub: a forest that joins their components."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("x").reset_index(drop=True)
-        left = rows[rows["own"] == rows["bi"]]
-        right = rows[rows["own"] == rows["bj"]]
-        values, inverse, counts = np.unique(np.concatenate([np.asarray(d, np.int64) for d in rows["diff"]] or [np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-        at = np.repeat(np.arange(len(rows)), [len(d) for d in rows["diff"]])
-        shared = counts > 1
-        column = np.cumsum(shared) - 1
-        keep = shared[inverse]
-        at, col = at[keep], column[inverse[keep]]
-        i, j = left.index.to_numpy(), right.index.to_numpy()
-        overlap = np.zeros((len(i), len(j)), np.float32)
-        for c in range(0, int(shared.sum()), 2048):
-            m = np.zeros((len(rows), 2048), np.float32)
-            part = (col >= c) & (col < c + 2048)
-            m[at[part], col[part] - c] = 1
-            overlap += m[i] @ m[j].T
-        n, removed = rows["nx"].to_numpy(), rows["removed"].to_numpy()
-        same = rows["nh"].iloc[0] - removed[i][:, None] - removed[j][None, :] + overlap.astype(np.int64)
-        comp = rows["comp"].to_numpy()
-        linked = (100 * same >= percent * (n[i][:, None] + n[j][None, :] - same)) & (comp[i][:, None] != comp[j][None, :])
-        parent: dict = {}
-
-        def root(c):
-            while parent.get(c, c) != c:
-                parent[c] = parent.get(parent[c], parent[c])
-                c = parent[c]
-            return c
-
-        edges = []
-        for a, b in zip(*np.nonzero(linked)):
-            ca, cb = root(comp[i[a]]), root(comp[j[b]])
-            if ca != cb:
-                parent[max(ca, cb)] = min(ca, cb)
-                edges.append((rows["x"].iloc[i[a]], rows["x"].iloc[j[b]]))
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
-
-    return run
+    """Links between members of one hub, those of `some` with those of `every`: pairs that
+    join their components."""
+
+    def make():
+        def run(b):
+            return {"pairs": [links(s, e, n) for s, e, n in zip(b["some"], b["every"], b["nh"])]}
+
+        def links(some: list[dict], every: list[dict], nh: int) -> list[dict]:
+            rows = some + every
+            diffs = [np.array(r["diff"], np.int64) for r in rows]
+            _, inverse, counts = np.unique(np.concatenate(diffs) if rows else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+            at = np.repeat(np.arange(len(rows)), [len(d) for d in diffs])
+            shared = counts > 1
+            keep, column = shared[inverse], np.cumsum(shared) - 1
+            at, place, cut = at[keep], column[inverse[keep]], len(some)
+            overlap = np.zeros((cut, len(every)), np.float32)
+            for c in range(0, int(shared.sum()), 2048):
+                m = np.zeros((len(rows), 2048), np.float32)
+                part = (place >= c) & (place < c + 2048)
+                m[at[part], place[part] - c] = 1
+                overlap += m[:cut] @ m[cut:].T
+            n, removed, comp = (np.array([r[k] for r in rows], np.int64) for k in ("nx", "removed", "comp"))
+            same = nh - removed[:cut, None] - removed[None, cut:] + overlap.astype(np.int64)
+            linked = (100 * same >= percent * (n[:cut, None] + n[None, cut:] - same)) & (comp[:cut, None] != comp[None, cut:])
+            parent: dict = {}
+
+            def root(c):
+                while parent.get(c, c) != c:
+                    parent[c] = parent.get(parent[c], parent[c])
+                    c = parent[c]
+                return c
+
+            out = []
+            for i, j in zip(*np.nonzero(linked)):
+                ca, cb = root(int(comp[i])), root(int(comp[cut + j]))
+                if ca != cb:
+                    parent[max(ca, cb)] = min(ca, cb)
+                    out.append({"a": int(comp[i]), "b": int(comp[cut + j])})
+            return out
+
+        return run
+
+    return make
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,51 +291,60 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_c
     their smallest id. A text of fewer words is one shingle; a null text or one without
     words is empty and linked with nothing. Ids are integers. Of rows of equal id each gets
     its own text's component; a row without id joins its class's component if others
-    have an id, else its component is null; such rows are never `kept`.
+    have an id, else its component is null; such rows are never `kept`. Other columns are
+    ignored; an empty table gives none.
     """
     percent = round(100 * threshold)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = stash(signatures(rows, k))
+    rows = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    signed = stash(signatures(rows, k).withColumn("row", F.monotonically_increasing_id()))
     full = signed.where("n > 0 and id is not null")
-    classes = stash(full.groupBy("digest").agg(F.min("id").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys")))
-    labels = _class_components(rows, classes, k, threshold, percent)
-    named = classes.select("digest", "rid").join(labels.withColumnRenamed("id", "rid"), "rid", "left").select("digest", F.coalesce("component", "rid").alias("c"))
+    # A class has the number of its first row, which no other class has, and an id, which another may have.
+    classes = full.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+    classes = stash(classes.select("digest", F.col("first.row").alias("cid"), F.col("first.id").alias("id"), "copies", "n", "regs", "keys"))
+    labels = stash(_class_components(rows, classes, k, threshold, percent))
+    ids = classes.select("cid", "digest", "id", "copies").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
+    names = ids.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    named = ids.where("component is not null or copies > 1").join(names, "component", "left").select("digest", F.coalesce("least", "id").alias("c"))
+    # Only classes of several rows or with links have a name to look up.
     out = signed.select("id", "n", "digest").join(named, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id"))
+    component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def _class_components(rows: DataFrame, classes: DataFrame, k: int, threshold: float, percent: int) -> DataFrame:
-    """(id, component) of the classes that have links, by their smallest ids."""
-    banded = classes.select("rid", "copies", F.explode("keys").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("c"), "rid")).alias("hub"), F.count(F.lit(1)).alias("size"))
-    hubs = hubs.where("size > 1").select("key", F.col("hub.rid").alias("h"))
-    star = stash(banded.join(hubs, "key").where("rid <> h").select("key", F.col("rid").alias("x"), "h"))
-    known = classes.select("rid", "n", "regs")
+    """(id, component) of the classes that have links, by their numbers."""
+    banded = classes.select("cid", "copies", F.explode("keys").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("c"), "cid")).alias("hub"), F.count(F.lit(1)).alias("size"))
+    hubs = hubs.where("size > 1").select("key", F.col("hub.cid").alias("h"))
+    star = stash(banded.join(hubs, "key").where("cid <> h").select("key", F.col("cid").alias("x"), "h"))
+    known = classes.select("cid", "n", "regs")
     both = lambda pairs: pairs.join(known.toDF("x", "nx", "regs_x"), "x").join(known.toDF("h", "nh", "regs_h"), "h")
     met = stash(python_map(both(star.select("x", "h").distinct()), _far(threshold), "dist int, near boolean", ["x", "h", "nx", "nh"]))
     more = _pairs_beside_hubs(star, met, classes, threshold)
-    size = classes.select("rid", "n")
+    size = classes.select("cid", "n")
     near = met.where("near").select("x", "h", "nx", "nh").union(more.join(size.toDF("x", "nx"), "x").join(size.toDF("h", "nh"), "h").select("x", "h", "nx", "nh"))
     near = stash(near.distinct())
-    needed = stash(near.select(F.col("x").alias("_id")).union(near.select("h")).distinct())
+    needed = near.select(F.col("x").alias("cid")).union(near.select("h")).distinct()
+    needed = stash(needed.join(classes.select("cid", F.col("id").alias("of"), F.col("digest").alias("held")), "cid"))
 
     def shingled():
         shingle = Shingler(k)
-        return lambda b: {"set": [shingle(t).view(np.int64) for t in b["text"]]}
 
-    # Of rows with the same id any one whose set is of the class's size and hash will do.
-    sets = python_map(filter_ids(rows, "id", needed, keep=True), shingled, "set array<long>", ["id"])
-    sets = stash(sets)
-    pairs = near.join(sets.toDF("x", "set_x"), "x").join(sets.toDF("h", "set_h"), "h").where((F.size("set_x") == F.col("nx")) & (F.size("set_h") == F.col("nh")))
+        def run(b):
+            sets = [shingle(t) for t in b["text"]]
+            return {"set": [s.view(np.int64) for s in sets], "digest": [_digest(s) for s in sets]}
+
+        return run
+
+    sets = python_map(filter_ids(rows, "id", needed.select("of").distinct(), keep=True), shingled, "set array<long>, digest binary", ["id"])
+    own = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    # Rows may repeat an id: a class's set is that of a row with its id and its digest.
+    sets = stash(sets.join(own, (F.col("id") == F.col("of")) & (F.col("digest") == F.col("held"))).groupBy("cid").agg(F.first("set").alias("set")))
+    pairs = near.join(sets.toDF("x", "set_x"), "x").join(sets.toDF("h", "set_h"), "h")
     exact = stash(python_map(pairs, _differences(percent), "linked boolean, diff array<long>, removed long", ["x", "h", "nx", "nh"], ["set_x", "set_h"]))
     links = exact.where("linked").select(F.col("x").alias("a"), F.col("h").alias("b"))
     first = stash(components(links))
-    more = _links_below_hubs(exact, first, percent)
-    # Of the first components only the names matter from here.
-    name = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(between).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    second = components(_links_below_hubs(exact, first, percent)).select(F.col("id").alias("component"), F.col("component").alias("top"))
     alone = second.select(F.col("component").alias("id"), F.col("top").alias("component"))
     merged = first.join(second, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
     return merged.unionByName(alone).distinct()
@@ -334,7 +363,7 @@ def _pairs_beside_hubs(star: DataFrame, met: DataFrame, classes: DataFrame, thre
     size = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_far")).where("n > 1")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     left = stash(left.join(size.select("key", blocks("n").alias("ms"), blocks("n_far").alias("fs")), "key"))
-    rows = left.join(classes.select(F.col("rid").alias("x"), "copies", "regs"), "x")
+    rows = left.join(classes.select(F.col("cid").alias("x"), "copies", "regs"), "x")
     hashed, each = F.xxhash64("x"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one = F.struct("x", "copies", "regs")
     scan = rows.where(~F.col("near")).select("key", F.pmod(hashed, F.col("fs")).cast("int").alias("bf"), each("ms").alias("bm"), one.alias("s"), F.lit(None).cast(one_type := "struct<x:bigint,copies:bigint,regs:binary>").alias("r"))
@@ -345,21 +374,31 @@ def _pairs_beside_hubs(star: DataFrame, met: DataFrame, classes: DataFrame, thre
 
 
 def _links_below_hubs(exact: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one hub which are in different components."""
+    """Links (a, b) of components, between members of one hub: those outside the component
+    that most of them are in are compared with all, block by block. Two members in that
+    component need no comparison."""
     member = exact.join(first.select(F.col("id").alias("x"), "component"), "x", "left").select("x", "h", "nx", "nh", "diff", "removed", F.coalesce("component", "x").alias("comp"))
-    open_ = member.groupBy("h").agg(F.count(F.lit(1)).alias("size"), (F.min("comp") != F.max("comp")).alias("open")).where("open").select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
-    dealt = member.join(open_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "blocks")
-    # Dealt by block pair: by hub alone, which the grouping would settle for, all blocks of a
-    # large group would be one task's.
-    return dealt.repartition("h", "bi", "bj").groupBy("h", "bi", "bj").applyInPandas(_link_blocks(percent), "a long, b long").distinct()
+    counts = member.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    open_ = counts.groupBy("h").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    open_ = open_.select("h", F.col("most.comp").alias("main"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most.n")).alias("some_blocks"))
+    held = member.join(open_, "h").withColumn("one", F.struct("x", "nx", "removed", "comp", "diff"))
+    none = F.lit(None).cast(held.schema["one"].dataType)
+    each, hashed = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)), F.xxhash64("x")
+    some = held.where("comp <> main").select("h", "nh", F.pmod(hashed, "some_blocks").cast("int").alias("bs"), each("all_blocks").alias("ba"), F.col("one").alias("s"), none.alias("e"))
+    every = held.select("h", "nh", each("some_blocks").alias("bs"), F.pmod(hashed, "all_blocks").cast("int").alias("ba"), none.alias("s"), F.col("one").alias("e"))
+    # Grouped by hub and both blocks, so that no task holds more of a hub than two blocks at a time.
+    dealt = some.union(every).groupBy("h", "nh", "bs", "ba").agg(F.collect_list("s").alias("some"), F.collect_list("e").alias("every"))
+    found = python_map(dealt, _link_blocks(percent), "pairs array<struct<a:bigint,b:bigint>>", [], ["nh", "some", "every"])
+    return found.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that are the first of their group, in their own columns. Rows
-    without id and rows of equal id stay."""
-    found = near_duplicates(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_id")).distinct()
+    """The rows of docs that are the first of their group, in their own columns, whatever
+    their names. Rows without id stay, and so do rows of equal id if one of them is a first.
+    Null and empty texts are in no group and stay; an empty table stays empty."""
+    found = near_duplicates(docs, id_col=id_col, **options).where(col(id_col).isNotNull())
+    found = found.groupBy(col(id_col).alias("own")).agg(F.max("kept").alias("kept")).where("not kept").select("own")
     return filter_ids(docs, id_col, stash(found), keep=False)
 
 

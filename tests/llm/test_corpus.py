@@ -1,7 +1,8 @@
 """Operators over whole corpora, against brute force."""
 
 import random
-from itertools import combinations
+from collections import defaultdict
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,68 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(None, 3, False), (5, 3, False), (3, 3, True), (3, 3, True), (None, None, False)], key=str)
 
 
+def test_families_of_shared_paragraphs(spark):
+    """300 texts of 10 of 20 shared paragraphs, and a near pair whose hubs are third texts."""
+    rng = random.Random(31)
+    pool = [" ".join(words(rng, 25)) for _ in range(20)]
+    rows = [(i, " ".join(rng.sample(pool, 10))) for i in range(300)]
+    own = rng.sample(pool, 10)
+    rows += [(1000, " ".join(own)), (1001, " ".join([*own[:-1], own[-1].rpartition(" ")[0] + " other"]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, [(i, t, "s") for i, t in rows]), k=3, threshold=0.85).collect()}
+    assert got[1001][1] == got[1000][1] and got == brute(rows, 3, 85)
+
+
+def test_short_texts_that_share_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(32)
+    passage = " ".join(words(rng, 40))
+    rows = []
+    for i in range(150):
+        t = passage + " " + " ".join(words(rng, 30))
+        rows += [(2 * i, t)] + ([(2 * i + 1, t + " more")] if i % 3 == 0 else [])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, [(i, t, "s") for i, t in rows]), k=3, threshold=0.85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    rng = random.Random(33)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (1, " ".join([*a, "x"])), (2, " ".join([*b, "y"])), (5, " ".join(a))]
+    df = table(spark, [(i, t, "s") for i, t in rows])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, k=3, threshold=0.85).collect())
+    assert sorted((i, c) for i, _, c in got) == [(1, 1), (2, 2), (5, 1), (5, 1), (5, 2)]
+    assert sorted(r["doc_id"] for r in neardup.keep_first(df, k=3, threshold=0.85).collect()) == [1, 2]
+
+
+def clashing(spark, rows):
+    """Documents with columns of the names that the operators use themselves."""
+    names = ["doc_id long", "text string", "source string", *(f"`{c}` string" for c in (
+        "score", "_score", "set_key", "line_set", "line_kept", "line_n", "line_n_dropped", "own_id", "match_text", "match_count", "match_found", "match_so_far", "n_words", "matches",
+        "size", "own", "t", "h", "pattern", "copies", "passes", "id", "component_id", "kept", "a.b", "n_lines"))]
+    return spark.createDataFrame([(*r, *(f"{c}!" for c in range(len(names) - 3))) for r in rows], ", ".join(names))
+
+
+def test_columns_of_clashing_names_are_kept(spark):
+    rng = random.Random(34)
+    rows = [(i, "\n".join([" ".join(words(rng, 12)), "all pages", str(i)]), f"s{i % 2}") for i in range(30)] + [(40, None, None), (41, "", "s1"), (41, "", "s1")]
+    df = clashing(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([("a", rows[3][1].split("\n")[0])], "item_id string, text string")
+    from quaylark.llm import toxicity
+
+    for out in (
+        toxicity.drop_toxic(df, labels, threshold=1.1), linededup.drop_boilerplate(df), neardup.keep_first(df), decontaminate.remove_contaminated(df, bench),
+        decontaminate.remove_contaminated(df, bench, block_bytes=10), mixing.mixed_documents(df),
+    ):
+        own = [f"`{c}`" for c in df.columns]
+        assert out.columns[: len(df.columns)] == df.columns and out.select(*own).count() <= len(rows)
+        assert {tuple(r)[3:] for r in out.select(*own).collect()} == {tuple(f"{c}!" for c in range(len(df.columns) - 3))}
+        assert out.limit(0).count() == 0
+    assert mixing.mixed_documents(df).columns[-1] == "copies_"
+    assert linededup.drop_boilerplate(df).where("text like '%all pages%'").count() == 0
+    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()) == sorted(i for i, _, _ in rows if i != 3)
+
+
 def test_contamination(spark):
     rng = random.Random(3)
     items = [(f"i{j}", " ".join(words(rng, 25))) for j in range(8)] + [("short", "Rare tiny item"), ("none", "... !"), ("null", None), ("i0", None)]
@@ -130,7 +193,7 @@ def test_contamination(spark):
     for size in (100, 1 << 20):
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination_report(df, bench, block_bytes=size).collect()}
         assert got == {1: (60, 0, 0), 2: (111, 50, 2), 3: (12, 12, 1), 4: (9, 0, 0), 5: (4, 3, 1), 6: (0, 0, 0), 7: (0, 0, 0), 8: (75, 75, 1)}
-    m = decontaminate.find_matches(df.where("doc_id = 3"), bench).first()["_matches"]
+    m = decontaminate.find_matches(df.where("doc_id = 3"), bench).first()["matches"]
     assert [(x["item_id"], x["item_start"], x["start"], x["words"]) for x in m] == [("i2", 5, 0, 12)]
     assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()) == [1, 4, 6, 7]
     assert decontaminate.contamination_report(df, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -141,6 +204,11 @@ def test_line_dedup(spark):
     rows += [(60 + i, "copied\ntext", "a") for i in range(30)]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in linededup.line_report(table(spark, rows), ratio=0.3).collect()}
     assert got[3] == ("body 3 text\n", 2) and got[50] == (rows_text, 0) and got[51] == (None, 0) and got[52] == ("", 0) and got[60] == ("copied\ntext", 0)
+    rng = random.Random(3)
+    body = [" ".join(words(rng, 30)) for _ in range(4)]
+    near = [(500 + i, "\n".join([*body[:3], f"{body[3]} edit{i}", "foot line"]), "c") for i in range(30)] + [(600 + i, f"{' '.join(words(rng, 20))}\nfoot line", "c") for i in range(170)]
+    kept = {r["doc_id"]: r["text"] for r in linededup.line_report(table(spark, near)).collect()}
+    assert all(kept[i] == t.removesuffix("\nfoot line") for i, t, _ in near)
     assert len(got) == len(rows) and linededup.line_report(table(spark, rows).limit(0)).count() == 0
 
 
@@ -150,11 +218,71 @@ def test_targets():
     assert got["a"] == 30 and got["b"] == pytest.approx(170 * 2 / 3) and sum(got.values()) == pytest.approx(200)
 
 
+def cheapest(groups, wanted, repeats):
+    """Words served and cost of the best flow, over all ways to give words to sources."""
+    arcs = [(p, o, s) for p, o in groups for s in o]
+    best = (0, 0)
+    for give in product(*(range(repeats * groups[p, o] + 1) for p, o, _ in arcs)):
+        to, of, by = defaultdict(int), defaultdict(int), defaultdict(int)
+        for (p, o, s), n in zip(arcs, give):
+            to[s] += n
+            of[p, o] += n
+            by[p] += n
+        mass = defaultdict(int)
+        for (p, _), n in groups.items():
+            mass[p] += n
+        if any(to[s] > wanted[s] for s in to) or any(of[g] > repeats * n for g, n in groups.items()):
+            continue
+        cost = sum(k * min(max(0, by[p] - k * mass[p]), mass[p]) for p in by for k in range(repeats))
+        best = max(best, (sum(give), -cost))
+    return best
+
+
+def cost_of(flow, groups, repeats):
+    mass, by = defaultdict(int), defaultdict(int)
+    for (p, o), n in groups.items():
+        mass[p] += n
+        by[p] += flow[p, o]
+    return -sum(k * min(max(0, by[p] - k * mass[p]), mass[p]) for p in by for k in range(repeats))
+
+
+def test_flow_is_the_cheapest():
+    rng = random.Random(5)
+    for _ in range(12):
+        groups = {}
+        for p in (("a",), ("a", "b"), ("b", "c")):
+            for o in [(s,) for s in p] if rng.random() < 0.5 else [p]:
+                groups[p, o] = rng.randint(0, 2)
+        if sum(len(o) for _, o in groups) > 4:
+            groups.popitem()
+        wanted = {s: rng.randint(0, 6) for s in "abc"}
+        flow = mixing.route(groups, wanted, 2)
+        assert (sum(flow.values()), cost_of(flow, groups, 2)) == cheapest(groups, wanted, 2)
+
+
 def test_flow_serves_overlapping_sources():
-    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 15, "b": 15}, 3)
+    ab = ("a", "b")
+    flow = mixing.route({(("a",), ("a",)): 10, (ab, ab): 10, (("b",), ("b",)): 10}, {"a": 15, "b": 15}, 3)
     assert sum(flow.values()) == 30 and max(flow.values()) == 10  # no repetition is needed
-    flow = mixing.route({("a",): 10, ("a", "b"): 10}, {"a": 30, "b": 20}, 3)
-    assert sum(flow.values()) == 50 and abs(flow[("a",)] - 20) <= 10
+    # The text that both hold is repeated for neither while either has words of its own.
+    flow = mixing.route({(("a",), ("a",)): 10, (ab, ("a",)): 10, (ab, ("b",)): 10, (("b",), ("b",)): 20}, {"a": 20, "b": 30}, 3)
+    assert flow[("a",), ("a",)] == 10 and flow[("b",), ("b",)] == 20 and flow[ab, ("a",)] == flow[ab, ("b",)] == 10
+
+
+def test_mix_of_texts_in_several_sources(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join(words(rng, 20)), f"s{i % 3}") for i in range(90)]
+    rows += [(100 + i, rows[i % 6][1], f"s{i % 3}") for i in range(60)] + [(None, "no id", "s1"), (None, "no id", "s1")]
+    df = table(spark, rows)
+    got, by = mixing.mix_report(df).collect(), {}
+    for r in got:
+        t = by.setdefault("s1" if r["doc_id"] is None else f"s{(r['doc_id'] - (100 if r['doc_id'] >= 100 else 0)) % 3}", [0, r["target"]])
+        t[0] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(got) == len(rows) and all(abs(t - goal) <= 20 for t, goal in by.values())
+    arrays = df.select("doc_id", "text", F.when(F.col("doc_id") % 5 > 0, F.array("source", F.lit("s9"))).alias("source"))
+    out = mixing.mixed_documents(arrays)
+    assert out.columns == ["doc_id", "text", "source", "copies"] and 0 < out.count() <= len(rows) and out.agg(F.max("copies")).first()[0] <= 3
 
 
 def test_mix(spark):
