@@ -1,9 +1,11 @@
 """Main text of web pages: site templates and page furniture are removed.
 
-Every element's subtree is hashed. Per host, Spark counts the pages that hold each hash;
-subtrees on many pages of a host are its template and go. What is left is cleared of
-navigation, forms, notices, comments and the like, which their tags, roles and class names
-tell, and the main element's text is taken block by block.
+Every element's subtree is hashed. Per host, Spark counts the different pages that hold
+each hash; subtrees on many pages of a host are its template and go first. Outside a
+page's article a small share of the pages tells a template, as sites change their
+menus, adverts and footers; inside it, where passages may be quoted, it takes half of them.
+What is left is cleared of navigation, forms, notices, comments and the like, which their
+tags, roles and class names tell, and the text of the articles is taken block by block.
 """
 
 from __future__ import annotations
@@ -28,10 +30,18 @@ UNITS = BLOCK - HEADING - frozenset("li td th tr tbody thead tfoot dt dd body ht
 WHOLE = frozenset("html body main article".split())
 FURNITURE = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form note".split())
-#: Parts of class names and ids that mark furniture.
-HINTS = re.compile(
-    r"(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|outbrain|overlay|pager|pagination|popup|promo|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|taboola|toc|toolbar|widget)"
+#: Parts of class names and ids that mark furniture, and those that may stand beside them: a
+#: name counts only if it has no other parts.
+HINTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr header login masthead menu modal"
+    " nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo related replies respond share sharing sidebar signup skip social sponsor sponsored"
+    " subscribe taboola toc toolbar widget".split()
 )
+BESIDE = frozenset("area bar block bottom box buttons col column container content group holder icons inner items left links list main number page post posts primary right secondary section site slot top wrap wrapper".split())
+#: Containers that class names can mark; text elements keep their words whatever their class.
+CONTAINERS = frozenset("div section ul ol dl table header".split())
+#: Share and number of a host's pages that make a subtree its template outside of articles; and inside.
+RATIO, MIN_PAGES, INNER_RATIO, INNER_MIN = 0.05, 3, 0.5, 8
 #: Start tags that end an open paragraph.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div main body html td th blockquote form nav aside header footer".split())
@@ -117,37 +127,53 @@ def has_text(n: Node) -> bool:
     return any(isinstance(c, str) and not c.isspace() for x in nodes(n) for c in x.children)
 
 
+def _parts(n: Node) -> list[list[str]]:
+    return [[x for x in re.split(r"[^a-z]+", name) if x] for name in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower().split()]
+
+
+def marked(n: Node) -> bool:
+    """Whether a class name or id says furniture."""
+    return any(any(x in HINTS for x in p) and all(x in HINTS or x in BESIDE for x in p) for p in _parts(n))
+
+
+def is_main(n: Node) -> bool:
+    return n.tag in ("article", "main") or n.attrs.get("role") == "main"
+
+
 def is_furniture(n: Node) -> bool:
     if n.tag in FURNITURE or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or n.attrs.get("role", "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none", n.attrs.get("style", "")):
         return True
-    if n.tag in ("html", "body", "main"):
-        return False
-    return any(HINTS.fullmatch(x) for x in re.split(r"[^a-z]+", f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower()))
+    if n.tag == "article":  # readers' comments may be articles themselves
+        return ["comment"] in _parts(n)
+    return n.tag in CONTAINERS and marked(n) and not any(is_main(x) or x.tag == "h1" for x in nodes(n))
 
 
-def prune(root: Node, template: frozenset[int]) -> None:
-    """Delete template subtrees and furniture. Of an article's header its headings stay."""
-    todo = [(root, False)]
+def prune(root: Node, template: frozenset[int], common: frozenset[int], rules: bool = True) -> None:
+    """Delete template subtrees, then furniture. Outside of a page's articles `template`
+    tells, inside, and on pages without any, `common`. Of an article's header its
+    headings stay."""
+    inside = not any(is_main(n) for n in nodes(root))
+    todo = [(root, inside, False)]
     while todo:
-        n, inside = todo.pop()
-        inside = inside or n.tag in ("article", "main")
+        n, inside, article = todo.pop()
         kept = []
         for c in n.children:
             if isinstance(c, Node):
-                header = c.tag == "header" or "header" in re.split(r"[^a-z]+", c.attrs.get("class", "").lower())
-                if c.tag == "header" and not inside:
+                within = inside or is_main(c)
+                if c.tag not in WHOLE and (c.hash in common and (not article or c.tag in UNITS) if within else c.hash in template):
                     continue
-                if header and inside:
-                    c.children = [x for x in nodes(c) if x.tag in HEADING]
-                elif is_furniture(c):
-                    continue
-                if c.hash in template and c.tag in (UNITS if inside else BLOCK - WHOLE):
+                if rules and c.tag == "header":
+                    if not article and not any(is_main(x) for x in nodes(c)):
+                        continue
+                    if article:
+                        c.children = [x for x in nodes(c) if x.tag in HEADING]
+                elif rules and is_furniture(c):
                     continue
             kept.append(c)
         n.children = kept
-        todo += [(c, inside) for c in kept if isinstance(c, Node)]
+        todo += [(c, inside or is_main(c), article or is_main(c)) for c in kept if isinstance(c, Node)]
 
 
 def blocks(root: Node) -> list[str]:
@@ -177,18 +203,24 @@ def blocks(root: Node) -> list[str]:
     return out
 
 
-def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by line feeds; empty if there is none."""
+def main_text(html: str, template: frozenset[int] = frozenset(), common: frozenset[int] = frozenset(), rules: bool = True) -> str:
+    """The articles' blocks in page order, joined by line feeds; where there is no article,
+    the main element's, or the body's; empty if there are none. Without `rules` only the
+    templates go."""
     root = parse(html)
-    if template:
+    if template or common:
         hash_subtrees(root)
-    prune(root, template)
-    all_ = nodes(root)
+    prune(root, template, common, rules)
     for tag in ("article", "main", "body"):
-        found = [n for n in all_ if n.tag == tag or tag == "main" and n.attrs.get("role") == "main"]
-        texts = [t for t in ("\n".join(blocks(n)) for n in found) if t]
-        if texts:
-            return max(texts, key=len)
+        texts, todo = [], [root]
+        while todo:  # outermost ones: an article inside another is part of its text
+            n = todo.pop()
+            if n.tag == tag or tag == "main" and n.attrs.get("role") == "main":
+                texts.append("\n".join(blocks(n)))
+            else:
+                todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+        if any(texts):
+            return "\n".join(t for t in texts if t)
     return "\n".join(blocks(root))
 
 
@@ -197,9 +229,10 @@ def host_of(url):
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, *, ratio: float = 0.5, min_pages: int = 8) -> DataFrame:
-    """(host, template): hashes of subtrees on at least `ratio` of a host's pages and on at
-    least `min_pages`. `pages` has host and html.
+def site_templates(pages: DataFrame, *, ratio: float = RATIO, min_pages: int = MIN_PAGES, inner_ratio: float = INNER_RATIO, inner_min: int = INNER_MIN) -> DataFrame:
+    """(host, template, common): hashes of subtrees on at least `ratio` of a host's pages and
+    on at least `min_pages`; and those on at least `inner_ratio` and `inner_min` of them.
+    `pages` has host and html.
 
     Whole copies of a page count as one page. A page sends one row for each of its
     different subtrees; pages are made different, and subtrees counted, with partial
@@ -216,31 +249,46 @@ def site_templates(pages: DataFrame, *, ratio: float = 0.5, min_pages: int = 8)
     # A page's own total travels as the hash null: one pass counts both.
     counts = once.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.where(F.col("hash").isNull()).select(F.col("host").alias("h"), F.col("n").alias("total"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages))
-    return often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") >= ratio * F.col("total")).groupBy("host").agg(F.collect_list("hash").alias("template"))
+    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min(min_pages, inner_min)))
+    share = lambda r, m: (F.col("n") >= r * F.col("total")) & (F.col("n") >= m)
+    outer, inner = share(ratio, min_pages), share(inner_ratio, inner_min)
+    found = often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(outer | inner)
+    return found.groupBy("host").agg(F.collect_list(F.when(outer, F.col("hash"))).alias("template"), F.collect_list(F.when(inner, F.col("hash"))).alias("common"))
 
 
-def extract_main_text(pages: DataFrame, *, ratio: float = 0.5, min_pages: int = 8) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, bound_bytes: int = 16 << 20, **options) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages(page_id, url, html).
 
     A null or empty html gives an empty text. Pages without a host share one group. Rows
-    may repeat; each is read by itself. Other columns are ignored.
+    may repeat; each is read by itself. Other columns are ignored, whatever their names; an
+    empty table gives none. Templates of at most `bound_bytes` altogether are sent to the
+    tasks once; beyond that each page gets its host's by a join.
     """
+    spark = pages.sparkSession
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    sets = stash(site_templates(rows, ratio=ratio, min_pages=min_pages))
-    held = with_set(rows, sets, F.col("host"), "template").drop("host")
+    sets = stash(site_templates(rows, **options))
+    size = sets.agg(F.sum((F.size("template") + F.size("common")) * 8 + 64)).first()[0] or 0
+    if size <= bound_bytes:
+        sent = spark.sparkContext.broadcast({r["host"]: (frozenset(r["template"]), frozenset(r["common"])) for r in sets.collect()})
 
-    def make():
-        last: list = [None, frozenset()]
+        def make():
+            none = (frozenset(), frozenset())
+            return lambda b: {"text": [main_text(html, *sent.value.get(host, none)) for host, html in zip(b["host"], b["html"])]}
+
+    else:
+        rows = with_set(rows, sets.select("host", F.array(F.struct("template", "common"))), F.col("host"), "sets")
+
+        def make():
+            last: list = [None, ()]
 
-        def texts(b):
-            out = []
-            for html, t in zip(b["html"], b["template"]):
-                if t != last[0]:
-                    last[:] = t, frozenset(t or ())
-                out.append(main_text(html, last[1]))
-            return {"text": out}
+            def texts(b):
+                out = []
+                for html, t in zip(b["html"], b["sets"]):
+                    if t != last[0]:
+                        last[:] = t, tuple(frozenset(t[0][k]) for k in ("template", "common")) if t else ()
+                    out.append(main_text(html, *last[1]))
+                return {"text": out}
 
-        return texts
+            return texts
 
-    return python_map(held, make, "text string", ["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    return python_map(rows, make, "text string", ["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -8,24 +8,31 @@ token count. States are finite in number and made on first use (lazy determinisa
 
 No piece has a space mark after another character, so the state before a space that
 follows something else is always the one after which a new word starts: the transducer is
-synchronised there. A long text is cut in chunks which tasks map one by one; a chunk's map
-is (characters before its first synchronising cut, tokens between, characters after its
-last one). Such maps compose associatively, and a scan over a document's maps gives its
-count.
+synchronised there.
+
+A long text is cut in chunks, which tasks map one by one. A chunk's map takes the states in
+which the text before may leave the transducer to the state after the chunk and the tokens
+in it; it is given for the states that reading some text ahead of the chunk leads to.
+Maps compose associatively: a tree of joins puts neighbours together, level by level, and
+the map of the whole text at the first state is its count. A text whose chunks enter in
+other states is counted in one piece.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import python_map
+from quaylark.llm.common import col, python_map, stash
 
 SPACE = "▁"
 #: Characters of a chunk; longer texts are dealt out over tasks.
 CHUNK = 1 << 16
+#: Characters ahead of a chunk from which its entering states are found.
+AHEAD = (256, 4096)
 #: Limits of the memo tables of one worker; a full table is emptied and grows again.
 MAX_WORDS, MAX_STATES = 300_000, 200_000
 
@@ -150,23 +157,55 @@ class Transducer:
     def count(self, text: str) -> int:
         return self.between(SPACE + text.replace(" ", SPACE)) if text else 0
 
-    def chunk(self, text: str) -> tuple[str, int, str | None]:
-        """A chunk's map: (head, tokens between, tail); tail is None if nothing synchronises."""
+    def advance(self, text: str, state: str) -> tuple[str, int]:
+        """The state after the text, from a state before it, and the tokens in between.
+        States go by their content, so that every worker knows them."""
+        before, suffix, cuts = json.loads(state)
+        key = (suffix, tuple(None if c is None else tuple(c) for c in cuts))
+        now, n = self._number(key), 0
+        for i, c in enumerate(text):
+            if c == SPACE != before and before:
+                now = 0
+            if len(self.states) > MAX_STATES:
+                key = self.states[now]
+                self.reset()
+                now = self._number(key)
+            arc = self.arcs[now].get(c) or self.step(now, c)
+            now, n, before = arc[0], n + arc[1], c
+        suffix, cuts = self.states[now]
+        return json.dumps([before, suffix, cuts]), n
+
+    def _number(self, key: tuple) -> int:
+        if key not in self.ids:
+            self.ids[key] = len(self.states)
+            self.states.append(key)
+            self.arcs.append({})
+        return self.ids[key]
+
+    def chunk(self, text: str, entering: list[str]) -> list[tuple[str, str, int]]:
+        """A chunk's map: (state before, state after, tokens) for each entering state."""
         first = next((i for i in range(1, len(text)) if text[i] == SPACE != text[i - 1]), 0)
         if not first:
-            return text, 0, None
+            return [(e, *self.advance(text, e)) for e in entering]
         words = cut(text[first:])
-        return text[:first], sum(map(self.word, words[:-1])), words[-1]
+        after, last = self.advance(words[-1], START)
+        n = sum(map(self.word, words[:-1])) + last
+        out = []
+        for e in entering:
+            state, head = self.advance(text[:first], e)
+            out.append((e, after, head + n))
+        return out
 
-    def compose(self, maps: list[tuple[str, int, str | None]]) -> int:
-        """Tokens of a text from its chunks' maps, left to right."""
-        total, open_ = 0, []
-        for head, n, tail in maps:
-            open_.append(head)
-            if tail is not None:
-                total += self.between("".join(open_)) + n
-                open_ = [tail]
-        return total + self.between("".join(open_))
+
+#: The state in which nothing has been read.
+START = json.dumps(["", "", [["", 0]]])
+
+
+def composed(left: list[tuple[str, str, int]], right: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """The map of two neighbours: through the states that the left one leads to and that
+    the right one knows."""
+    known = {a: (b, n) for a, b, n in right}
+    return [(a, known[b][0], n + known[b][1]) for a, b, n in left if b in known]
 
 
 def cut(text: str) -> list[str]:
@@ -195,16 +234,41 @@ def compiled(path: str) -> Transducer:
     return _compiled[path]
 
 
+_MAP = "array<struct<before:string,after:string,n:bigint>>"
+
+
+def _named(maps: list[tuple[str, str, int]]) -> list[dict]:
+    return [dict(zip(("before", "after", "n"), m)) for m in maps]
+
+
+def _tree(maps: DataFrame) -> DataFrame:
+    """(row, map) of the whole texts, from stored maps(row, part, map) of their chunks: on each
+    level every second part is joined with its right neighbour."""
+    last = maps.agg(F.max("part")).first()[0] or 0
+    while last:
+        left = maps.where(F.col("part") % 2 == 0).select("row", F.expr("part div 2").cast("int").alias("part"), "map")
+        right = maps.where(F.col("part") % 2 == 1).select("row", F.expr("part div 2").cast("int").alias("part"), F.col("map").alias("next"))
+
+        def make():
+            plain = lambda m: [(x["before"], x["after"], x["n"]) for x in m]
+            return lambda b: {"both": [m if n is None else _named(composed(plain(m), plain(n))) for m, n in zip(b["map"], b["next"])]}
+
+        both = python_map(left.join(right, ["row", "part"], "left"), make, f"both {_MAP}", ["row", "part"], ["map", "next"])
+        maps, last = stash(both.withColumnRenamed("both", "map")), last // 2
+    return maps.select("row", "map")
+
+
 def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row a document: id, n_bytes and n_tokens of its whole text.
 
     A null text counts as empty: 0 bytes, 0 tokens. Ids may be null or repeat; each row is
-    counted by itself. Other columns are ignored, whatever their names. Texts up to `chunk`
-    characters are counted where they are read, without a shuffle; only longer ones are cut
-    in chunks, dealt out, and their maps put together again by row.
+    counted by itself. Other columns are ignored, whatever their names; an empty table gives
+    none. Texts up to `chunk` characters are counted where they are read, without a shuffle;
+    only longer ones are cut in chunks, dealt out, and their maps composed by row.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     sized = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    ahead = max(AHEAD)
 
     def whole():
         t = compiled(model_path)
@@ -213,28 +277,31 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     def mapped():
         t = compiled(model_path)
 
+        def states(part: int, before: str) -> list[str]:
+            if part == 0:
+                return [START]
+            at_start = part * chunk <= ahead
+            before = (SPACE if at_start else "") + before.replace(" ", SPACE)
+            return list(dict.fromkeys(t.advance(before if at_start else before[-n:], START)[0] for n in AHEAD))
+
         def run(b):
-            m = [t.chunk((SPACE if i == 0 else "") + x.replace(" ", SPACE)) for i, x in zip(b["at"], b["piece"])]
-            return {"head": [x[0] for x in m], "n": [x[1] for x in m], "tail": [x[2] for x in m]}
+            texts = [(SPACE if i == 0 else "") + x.replace(" ", SPACE) for i, x in zip(b["part"], b["piece"])]
+            return {"map": [_named(t.chunk(x, states(i, a))) for i, a, x in zip(b["part"], b["before"], texts)]}
 
         return run
 
-    def joined():
-        t = compiled(model_path)
-        return lambda b: {"n_tokens": [t.compose([(m["head"], m["n"], m["tail"]) for m in maps]) for maps in b["maps"]]}
-
     long_ = F.char_length("text") > chunk
     short = python_map(sized.where(~long_), whole, "n_tokens long", ["doc_id", "n_bytes"])
+    held = stash(sized.where(long_).withColumn("row", F.monotonically_increasing_id()))
+    start = F.col("part") * chunk
     pieces = (
-        sized.where(long_)
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / chunk).cast("int"))))
-        .select("row", "doc_id", "n_bytes", "part", F.col("part").alias("at"), F.substring("text", F.col("part") * chunk + 1, F.lit(chunk)).alias("piece"))
+        held.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / chunk).cast("int"))))
+        .select("row", "part", F.substring("text", F.greatest(start - ahead, F.lit(0)) + 1, F.least(start, F.lit(ahead))).alias("before"), F.substring("text", start + 1, F.lit(chunk)).alias("piece"))
         .repartition("row", "part")
     )
-    maps = (
-        python_map(pieces, mapped, "head string, n long, tail string", ["row", "doc_id", "n_bytes", "part"])
-        .groupBy("row", "doc_id", "n_bytes")
-        .agg(F.sort_array(F.collect_list(F.struct("part", "head", "n", "tail"))).alias("maps"))
-    )
-    return short.unionByName(python_map(maps.drop("row"), joined, "n_tokens long", ["doc_id", "n_bytes"]))
+    maps = _tree(stash(python_map(pieces, mapped, f"map {_MAP}", ["row", "part"], ["part", "before", "piece"])))
+    found = maps.select("row", F.get(F.filter("map", lambda m: m["before"] == START), F.lit(0))["n"].alias("n_tokens"))
+    joined = held.join(found, "row", "left")
+    done = joined.where("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens")
+    rest = python_map(joined.where("n_tokens is null").select("doc_id", "n_bytes", "text"), whole, "n_tokens long", ["doc_id", "n_bytes"])
+    return short.unionByName(done).unionByName(rest)
