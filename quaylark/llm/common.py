@@ -66,13 +66,18 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def keep_for_run(spark: SparkSession, path: str) -> str:
+    """The path, whose files go when the driver ends."""
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost
     executors. The files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+    path = keep_for_run(spark, f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

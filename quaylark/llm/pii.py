@@ -14,7 +14,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import python_map
+from quaylark.llm.common import col, python_map
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -172,7 +172,7 @@ def pii_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     A null text is empty and has none. Ids may be null or repeat; every row is read by
     itself and nothing is shuffled. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
 
     def make():
         def scan(b):

@@ -43,7 +43,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_report(table(spark, sf_dir, "documents"))
+    # A ledger that outlives the run may be named in the session.
+    return secret_report(table(spark, sf_dir, "documents"), spark.conf.get("quaylark.secrets.ledger", None))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,13 @@ pairs that it lacks and joins the findings back to all paths.
 from __future__ import annotations
 
 import re
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import python_map
+from quaylark.llm.common import BROADCAST_IDS, col, keep_for_run, python_map, shared_folder
 
 #: Fixed rules. The first three are the base; kinds count in this order.
 BASE_KINDS = ("assign", "access", "hex")
@@ -27,6 +30,7 @@ _RULES = {
 }
 
 _FOUND = "array<struct<kind:string,start:int,stop:int>>"
+LEDGER = f"blob string, rule_version string, found {_FOUND}"
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -37,7 +41,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
 
 def address(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
     """(path, text, blob): blob is the SHA-256 of the text's UTF-8 bytes; null is empty."""
-    v = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    v = versions.select(col(path_col).alias("path"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     return v.withColumn("blob", F.sha2("text", 256))
 
 
@@ -45,12 +49,15 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, path_
     """The rows to add to the ledger: (blob, rule_version, found), one for each blob of
     `versions` that `ledger` lacks under this rule version.
 
-    Copies of a text are one blob whatever their paths; they meet after a partial
-    aggregate, so that a group of copies sends one row from each task.
+    What the ledger has goes before any text moves. Copies of a text are one blob whatever
+    their paths; they meet after a partial aggregate, so that a group of copies sends one
+    row from each task.
     """
-    blobs = address(versions, path_col, text_col).groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = address(versions, path_col, text_col).select("blob", "text")
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        known = ledger.where(F.col("rule_version") == rule_version).select("blob")
+        blobs = blobs.join(F.broadcast(known) if known.count() <= BROADCAST_IDS else known, "blob", "left_anti")
+    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
 
     def make():
         names = ("kind", "start", "stop")
@@ -60,6 +67,19 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, path_
     return found.select("blob", F.lit(rule_version).alias("rule_version"), "found")
 
 
+def stored_ledger(versions: DataFrame, path: str, **options) -> DataFrame:
+    """The ledger at `path`, a folder that all executors reach, after the blobs of `versions`
+    that it lacks were scanned and added to it. It only grows; a run that fails adds nothing,
+    and a second run over the same versions scans nothing."""
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException:  # there is none yet
+        ledger = None
+    update_ledger(versions, ledger, **options).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def findings(versions: DataFrame, ledger: DataFrame, *, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, found) for every row of `versions`; found is empty where nothing was.
 
@@ -82,14 +102,16 @@ def count_of(kind: str):
     return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
 
 
-def secret_report(docs: DataFrame, ledger: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_report(docs: DataFrame, ledger_path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: counts of the base kinds and the spans found.
 
-    Null texts and ids, repeated ids and copies are all defined: each row gets its own
-    text's findings. An empty table gives none. Columns other than these two are ignored.
+    The ledger at `ledger_path` is read, extended by what it lacks and joined back to all
+    documents; without a path it is kept for this run in the shared folder. Null texts and
+    ids, repeated ids and copies are all defined: each row gets its own text's findings. An
+    empty table gives none. Columns other than these two are ignored.
     """
-    new = update_ledger(docs, ledger, path_col=id_col, text_col=text_col)
-    known = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    rows = findings(docs, known, path_col=id_col, text_col=text_col)
+    if ledger_path is None:
+        ledger_path = keep_for_run(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/ledger-{uuid.uuid4().hex}")
+    rows = findings(docs, stored_ledger(docs, ledger_path, path_col=id_col, text_col=text_col), path_col=id_col, text_col=text_col)
     counts = [count_of(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return rows.select(F.col("path").alias(id_col), *counts, F.sha2(digest(F.col("found"), BASE_KINDS), 256).alias("base_sha256"), digest(F.col("found")).alias("spans"))

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import stash
+from quaylark.llm.common import col, stash
 
 #: Bits of a fingerprint and the longs that hold them.
 BITS, HALVES = 128, 2
@@ -34,7 +34,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> D
     where the rows are already dealt by some of them, nothing is shuffled. Equal texts have
     equal fingerprints; null counts as empty.
     """
-    plain = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\t\n\x0b\x0c\r", " " * 5)
+    plain = F.translate(F.lower(F.coalesce(col(text_col), F.lit(""))), "\t\n\x0b\x0c\r", " " * 5)
     t = texts.select(*keys, F.filter(F.split(plain, " "), lambda w: w != "").alias("w"))
     t = t.select(*keys, F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit(""))).alias("w"))
     following = F.slice("w", F.lit(2), F.size("w"))
@@ -91,7 +91,7 @@ def near_pairs(fps: DataFrame, radius: int, *, blocks: int | None = None, id_col
     blocks = blocks or radius + 2
     if not 0 <= radius < blocks <= BITS:
         raise ValueError("radius must be below the number of blocks")
-    own = fps.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp")).where("id is not null and fp is not null")
+    own = fps.select(col(id_col).alias("id"), F.col(fp_col).alias("fp")).where("id is not null and fp is not null")
     classes = own.groupBy("fp").agg(F.min("id").alias("class_id"))
     members = own.join(classes, "fp").select("id", "class_id")
     bits = F.concat(*[F.lpad(F.bin(F.col("fp")[i]), 64, "0") for i in range(HALVES)])
@@ -115,7 +115,7 @@ def with_next(docs: DataFrame, buckets: int, *, id_col: str = "doc_id", text_col
     rows of equal id follow each other by their text's hash.
     """
     lowest = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("id", lowest))
     found = rows.agg(F.min("k").alias("lo"), F.percentile_approx("k", [i / buckets for i in range(1, buckets)], F.lit(100 * buckets)).alias("q")).first()
     cuts = sorted({found["lo"], *found["q"]}) if found["lo"] is not None else [0]
@@ -147,7 +147,7 @@ def _range_of(k: Column, cuts: list[int]) -> Column:
 
 def neighbours(fps: DataFrame, radius: int, *, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
     """(fp, n_near): fingerprints that have others within `radius`, and how many different ones."""
-    classes = fps.where(F.col(id_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("class_id"))
+    classes = fps.where(col(id_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("class_id"))
     _, pairs = near_pairs(fps, radius, id_col=id_col, fp_col=fp_col)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_near"))
     return classes.join(ends, "class_id").select("fp", "n_near")

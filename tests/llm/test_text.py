@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from quaylark.llm import pages, pii, secrets, simhash, tokens, toxicity
@@ -90,7 +91,20 @@ def test_ledger_scans_only_what_is_new(spark):
     new = secrets.update_ledger(both, ledger)
     assert new.count() == 2
     assert secrets.update_ledger(both, ledger, rule_version="other").count() == 6
-    assert by_text(secrets.secret_report(both, ledger), "spans") == by_text(secrets.secret_report(both), "spans")
+
+
+def test_stored_ledger_grows_only_by_what_is_new(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    first, both = docs(spark, SECRETS[:4] + ODD), docs(spark, SECRETS + ODD + ODD)
+    secrets.secret_report(first, path).count()
+    n = spark.read.parquet(path).count()
+    assert by_text(secrets.secret_report(both, path), "spans", "base_sha256") == by_text(secrets.secret_report(both), "spans", "base_sha256")
+    grown = spark.read.parquet(path).count()
+    secrets.secret_report(both, path).count()
+    assert n == len({x or "" for x in SECRETS[:4] + ODD}) and grown == len({x or "" for x in SECRETS + ODD}) == spark.read.parquet(path).count()
+    assert secrets.secret_report(both.limit(0), path).count() == 0
+    counts = {r["spans"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in secrets.secret_report(docs(spark, SECRETS)).collect()}
+    assert all(c == tuple(sum(x.startswith(k + ":") for x in spans.split(",")) for k in ("assign", "access", "hex")) for spans, c in counts.items())
 
 
 def test_personal_data(spark):
@@ -107,6 +121,32 @@ def test_personal_data(spark):
     assert pii.pii_report(docs(spark, ODD)).where("spans <> ''").count() == 0
 
 
+def pii_brute(t):
+    """The base patterns as they stand."""
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda x: [c for c in x if c in "0123456789"]
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    ]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, rx, ok in kinds for m in re.finditer(rx, t) if ok(m[0]))
+
+
+def test_base_kinds_equal_the_patterns(spark):
+    rng = random.Random(21)
+    bits = ["+1", "(415)", " 555", "-", ".", " ", "0", "10.0.0.1", "255", "256.", "4111 1111 1111 1111", "4111-1111-1111-1112", "378282246310005", "a@b.co", "x@y", "@", "%", "é", "00", "+", "٣", "1234567", "\n", ")"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(1500)] + ODD
+    got = pii.pii_report(docs(spark, texts)).select("base_sha256", "n_email", "n_ip", "n_card", "n_phone").collect()
+    want = [pii_brute(t or "") for t in texts]
+    counts = lambda w: tuple(sum(x.startswith(k + ":") for x in w.split(",")) for k in pii.KINDS)
+    assert sorted(tuple(r) for r in got) == sorted((hashlib.sha256(w.encode()).hexdigest(), *counts(w)) for w in want)
+    assert all(any(k in w for w in want) for k in pii.KINDS)
+
+
 def test_email_search_equals_the_pattern():
     rng = random.Random(5)
     rx = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -212,6 +252,43 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def simhash_brute(t):
+    """Votes counted bit by bit."""
+    words = re.sub(r"[\t\n\x0b\x0c\r]", " ", t.lower()).split(" ")
+    words = [w for w in words if w] or [""]
+    votes, total = [0] * 128, 0
+    for a, b in zip(words, [*words[1:], None]):
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h0 = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+        h1 = xxhash.xxh64_intdigest(h0.to_bytes(8, "little"), 42)
+        n = max(1, min(16, len(a) + len(b or "")))
+        total += n
+        for i in range(128):
+            votes[i] += n * ((h0, h1)[i // 64] >> (i % 64) & 1)
+    return [sum(1 << i for i in range(64) if 2 * votes[64 * half + i] > total) for half in range(2)]
+
+
+def test_fingerprints_equal_votes_counted_by_hand(spark):
+    rng = random.Random(19)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(30)] + ["", None, "\n\t", "One\nTwo"] + ["same text of copies"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hexed = lambda fp: "".join(f"{x:016x}" for x in fp)
+    apart = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(a, b))
+    plain = [t or "" for t in texts]
+    fps = [simhash_brute(t) for t in plain]
+    for r in simhash.fingerprint_report(df, buckets=4).collect():
+        i = r["doc_id"]
+        j = (i + 1) % len(plain)
+        t, half = plain[i], len(plain[i]) // 2
+        edited = t[: len(t) - half] + plain[j][:half]
+        fp = simhash_brute(edited)
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hexed(fps[i]), hexed(fp))
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == max(0, 1 - apart(fps[i], fp) / 64) and r["near_next"] == max(0, 1 - apart(fps[i], fps[j]) / 64)
+        assert r["n_near"] == sum(0 < apart(fps[i], x) <= 3 for x in map(list, set(map(tuple, fps))))
+
+
 def test_all_fingerprints_within_a_radius_are_found(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(128) for _ in range(30)]
