@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import shared_folder, table
+from quaylark.llm.common import cols, keep_for_run, shared_folder, table
 from quaylark.llm.decontaminate import remove_contaminated
 from quaylark.llm.linededup import drop_boilerplate
 from quaylark.llm.mixing import mixed_documents
@@ -23,8 +23,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate of their source."""
-    out = drop_boilerplate(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = drop_boilerplate(docs)
+    if "n_chars" in docs.columns:  # it is the length of what is left
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*cols(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with the number of copies."""
+    """Documents of the mix, with the number of copies of each."""
     return mixed_documents(docs)
 
 
@@ -55,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. Each stage's table stays in the shared folder, for the
+    next one and for lost executors, until the driver ends. Nulls, empty texts, repeated
+    rows, empty tables and further columns are as each operator states; rows may repeat."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = keep_for_run(spark, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
