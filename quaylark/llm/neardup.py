@@ -382,7 +382,9 @@ def _links_below_hubs(exact: DataFrame, first: DataFrame, percent: int) -> DataF
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     open_ = counts.groupBy("h").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     open_ = open_.select("h", F.col("most.comp").alias("main"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most.n")).alias("some_blocks"))
-    held = member.join(open_, "h").withColumn("one", F.struct("x", "nx", "removed", "comp", "diff"))
+    open_ = stash(open_)
+    few = F.broadcast(open_) if open_.count() <= BROADCAST_IDS else open_
+    held = member.join(few, "h").withColumn("one", F.struct("x", "nx", "removed", "comp", "diff"))
     none = F.lit(None).cast(held.schema["one"].dataType)
     each, hashed = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)), F.xxhash64("x")
     some = held.where("comp <> main").select("h", "nh", F.pmod(hashed, "some_blocks").cast("int").alias("bs"), each("all_blocks").alias("ba"), F.col("one").alias("s"), none.alias("e"))
