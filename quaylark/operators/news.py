@@ -33,6 +33,16 @@ def clean_news(raw: DataFrame) -> DataFrame:
     return df.withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_t", "_i")
 
 
+def duplicate_profile(news: DataFrame, keys: tuple[str, ...] = ("article_id", "requested_ticker"), *, top: int = 20) -> DataFrame:
+    """One row: rows, different ids, different keys, and the `top` most repeated keys with
+    their counts. Unknown parts of a key are a value of their own."""
+    per = news.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sums = per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.count_distinct(keys[0]).alias("n_ids"), F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"))
+    often = per.where("n > 1").orderBy(F.col("n").desc(), *keys).limit(top)
+    # At most `top` rows in one list.
+    return sums.crossJoin(often.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), *keys))).alias("most")))
+
+
 def first_insight(insights: Column, ticker: Column) -> Column:
     return F.get(F.filter(insights, lambda x: x["ticker"] == ticker), F.lit(0))
 

@@ -14,16 +14,18 @@ WEIGHTS = {"return_7": 0.20, "return_30": 0.20, "return_90": 0.20, "momentum": 0
 CATEGORY = ((75.0, "STRONG"), (55.0, "POSITIVE"), (40.0, "NEUTRAL"), (25.0, "WEAK"))
 
 
-def percent_ranks(df: DataFrame, columns: Mapping[str, tuple[str, bool]]) -> DataFrame:
+def percent_ranks(df: DataFrame, columns: Mapping[str, tuple[str, bool]], *, key: str | None = None) -> DataFrame:
     """Per output column, percent_rank times 100 of a value over all rows with one, ascending
-    or descending. Ranks come from counts of each value, which are few rows to sort."""
-    for out, (col, ascending) in columns.items():
-        counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        order = Window.orderBy(F.col("_v").asc() if ascending else F.col("_v").desc())
-        total = F.sum("_n").over(Window.partitionBy())
-        ranks = counts.select("_v", F.when(total > 1, 100.0 * (F.sum("_n").over(order) - F.col("_n")) / F.when(total > 1, total - 1)).otherwise(0.0).alias(out))
-        df = df.join(ranks, df[col] == ranks["_v"], "left").drop("_v")
-    return df
+    or descending. df, one row a key (its first column unless given), is read once: its rows go out as one row a ranked
+    value, ranked by column, and come together again by key."""
+    own = F.struct(*[F.col(c) for c in df.columns])
+    pairs = F.array(*[F.struct(F.lit(out).alias("out"), F.when(F.isnan(F.col(c).cast("double")), F.lit(None)).otherwise(F.col(c).cast("double") * (1 if up else -1)).alias("v")) for out, (c, up) in columns.items()])
+    long = df.select(F.col(key or df.columns[0]).alias("_key"), own.alias("_own"), F.explode(pairs).alias("_p")).select("_key", "_own", "_p.out", "_p.v")
+    known = F.col("v").isNotNull()
+    rank = F.percent_rank().over(Window.partitionBy("out", known).orderBy("v"))
+    ranked = long.withColumn("_rank", F.when(known, 100.0 * rank))
+    wide = ranked.groupBy("_key").agg(F.first("_own").alias("_own"), *[F.max(F.when(F.col("out") == out, F.col("_rank"))).alias(out) for out in columns])
+    return wide.select("_own.*", *columns)
 
 
 def lookbacks(bars: DataFrame, lags: tuple[int, ...] = (7, 30, 90, 252), year: int = 252, *, key: str = "ticker", ts: str = "date") -> DataFrame:
@@ -52,7 +54,7 @@ def performance(metrics: DataFrame, indicators: DataFrame, companies: DataFrame,
     tech = latest(indicators, key, [F.col(ts).desc()]).select(key, F.col(ts).alias("technical_date"), "rsi_14", "momentum_10_pct", "trend_signal", "rsi_signal", "macd_state")
     df = market.join(tech, key, "left").join(companies.select(key, F.trim("name").alias("company_name")), key, "left")
     df = df.withColumn("dates_agree", flag(F.col(ts) == F.col("technical_date")))
-    df = percent_ranks(df, {"score_return_7": ("return_7d", True), "score_return_30": ("return_30d", True), "score_return_90": ("return_90d", True), "score_momentum": ("momentum_10_pct", True), "score_volatility": ("volatility", False)})
+    df = percent_ranks(df, {"score_return_7": ("return_7d", True), "score_return_30": ("return_30d", True), "score_return_90": ("return_90d", True), "score_momentum": ("momentum_10_pct", True), "score_volatility": ("volatility", False)}, key=key)
     df = df.withColumns({c: F.coalesce(c, F.lit(50.0)) for c in ("score_return_7", "score_return_30", "score_return_90", "score_momentum", "score_volatility")})
     df = df.withColumns({
         "score_trend": _points("trend_signal", {"BULLISH": 100.0, "BEARISH": 0.0}),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DateType, NumericType, StringType, StructType, TimestampType
 
 from quaylark.functions.columns import flag, latest
 
@@ -11,6 +12,10 @@ from quaylark.functions.columns import flag, latest
 STANCES = ("SUPPORTED", "PARTIALLY_SUPPORTED", "NOT_SUPPORTED", "INSUFFICIENT_DATA")
 PERIODS = (1, 7, 10, 14, 20, 30, 50, 52, 90, 365)
 UNITS = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
+# Words that say a decline.
+DECLINE = ("below", "decline", "declined", "declining", "decrease", "decreased", "decreasing", "down", "drop", "dropped", "fall", "fallen", "fell", "loss", "lost", "lower", "negative", "under")
+#: Characters on either side of a claim that are its context.
+CONTEXT = 45
 REPORT = "struct<ticker:string,stance:string,summary:string,risks:array<string>,disclaimer:string,data_as_of:string>"
 _NUMBER = r"(?<![A-Za-z0-9_.#])([+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[+-]?[0-9]+(?:\.[0-9]+)?)(?:\s*([KMBT])(?![A-Za-z]))?"
 _DATE = r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"
@@ -24,6 +29,15 @@ def last_n(df: DataFrame, n: int, *, key: str = "ticker", ts: str = "date", keys
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col(ts).desc()))).where(F.col("place") <= n)
 
 
+def report_page(reports: DataFrame, n: int, *, ticker: str | None = None, ts: str = "created", user: str = "user_id") -> DataFrame:
+    """The newest n reports of each user, of one ticker if given, newest first (`place`)."""
+    if not 1 <= n <= 500:
+        raise ValueError("n must be from 1 to 500")
+    df = reports if ticker is None else reports.where(F.col("ticker") == ticker)
+    w = Window.partitionBy(user).orderBy(F.col(ts).desc(), F.col("report_id").desc())
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
 def anomaly_summary(events: DataFrame) -> DataFrame:
     """Per key: events by severity, average and highest score, the latest one."""
     sev = [F.count_if(F.col("severity") == s).alias(f"{s.lower()}_count") for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")]
@@ -73,27 +87,69 @@ def plain_text(text: Column) -> Column:
 
 
 def numeric_claims(reports: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(report_id, place, raw, value, decimals, scaled): the numbers that a text claims. Dates
-    are taken out first; whole numbers without unit that name a period are no claims."""
+    """(report_id, place, raw, value, decimals, factor, context): the numbers that a text
+    claims, with the characters around them. Dates are taken out first; whole numbers
+    without unit that name a period are no claims."""
+    number = F.lit(_NUMBER)
     body = F.regexp_replace(plain_text(F.coalesce(F.col(text_col), F.lit(""))), _DATE, " ")
-    found = F.arrays_zip(F.regexp_extract_all(body, F.lit(_NUMBER), 1).alias("n"), F.regexp_extract_all(body, F.lit(_NUMBER), 2).alias("u"))
-    df = reports.select("report_id", F.posexplode(found).alias("place", "x"))
+    df = reports.select("report_id", body.alias("b")).select("report_id", "b", F.split("b", _NUMBER, -1).alias("gap"), *[F.regexp_extract_all("b", number, i).alias(c) for i, c in ((0, "all"), (1, "n"), (2, "u"))])
+    df = df.select("report_id", "b", "gap", "all", F.posexplode(F.arrays_zip("n", "u")).alias("place", "x"))
+    # A claim begins where the gaps and claims ahead of it end.
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    at = length(F.slice("gap", F.lit(1), F.col("place") + 1)) + length(F.slice("all", F.lit(1), F.col("place")))
+    first = F.greatest(at - CONTEXT, F.lit(0))
+    context = F.substring(F.col("b"), first + 1, at - first + F.length(F.get("all", F.col("place"))) + CONTEXT)
     digits = F.regexp_replace("x.n", ",", "")
     factor = F.lit(1.0)
     for u, f in UNITS.items():
         factor = F.when(F.col("x.u") == u, f).otherwise(factor)
     value = digits.cast("double")
-    df = df.select("report_id", "place", F.concat("x.n", "x.u").alias("raw"), (value * factor).alias("value"), F.when(F.contains(digits, F.lit(".")), F.length(F.substring_index(digits, ".", -1))).otherwise(0).alias("decimals"), factor.alias("factor"))
+    df = df.select("report_id", "place", F.concat("x.n", "x.u").alias("raw"), (value * factor).alias("value"), F.when(F.contains(digits, F.lit(".")), F.length(F.substring_index(digits, ".", -1))).otherwise(0).alias("decimals"), factor.alias("factor"), context.alias("context"))
     period = (F.col("factor") == 1) & (F.col("decimals") == 0) & F.col("value").isin(*[float(p) for p in PERIODS])
     return df.where(~period)
 
 
-def close_enough(claim: Column, source: Column, decimals: Column, factor: Column) -> Column:
-    """Equal, or within what rounding explains: half a unit for whole numbers, the larger of
-    0.02 and half a percent, the claim's own decimals, the claim's unit."""
-    gap = F.abs(claim - source)
-    own = factor * F.pow(F.lit(10.0), -decimals.cast("double")) * 0.5 + 1e-9
-    return (gap <= own) | (gap <= F.greatest(F.lit(0.02), F.abs(source) * 0.005)) | (F.abs(F.abs(claim) - F.abs(source)) <= own)
+def rounds_to(shown: Column, source: Column) -> Column:
+    """Whether a shown number is the source, or how it may be rounded: whole numbers against
+    whole numbers are exact; else half a unit for a shown whole number, the larger of 0.02
+    and half a percent, or one decimal."""
+    whole = lambda x: x == F.floor(x)
+    gap = F.abs(shown - source)
+    near = (whole(shown) & (gap <= 0.5)) | (gap <= F.greatest(F.lit(0.02), F.abs(source) * 0.005)) | (F.abs(shown - F.round(source, 1)) < 1e-9)
+    return (shown == source) | (~(whole(shown) & whole(source)) & near)
+
+
+def explains(claim: Column, source: Column, factor: Column, context: Column) -> Column:
+    """Whether a source value explains a claim: as it is, in the claim's unit, or, with a word
+    of decline near the claim, as the size of a negative value."""
+    decline = F.arrays_overlap(F.split(F.lower(context), "[^a-z]+"), F.array(*[F.lit(w) for w in DECLINE]))
+    return rounds_to(claim, source) | ((factor != 1) & rounds_to(claim / factor, source / factor)) | (decline & (claim > 0) & (source < 0) & rounds_to(claim, -source))
+
+
+def _flat(value: Column, kind: DataType) -> tuple[Column, Column]:
+    """Numbers and days inside a value of this type, as arrays."""
+    numbers, days = F.array().cast("array<double>"), F.array().cast("array<string>")
+    if isinstance(kind, NumericType):
+        numbers = F.array(value.cast("double"))
+    elif isinstance(kind, (DateType, TimestampType)):
+        days = F.array(value.cast("date").cast("string"))
+    elif isinstance(kind, StringType):
+        days = F.regexp_extract_all(value, F.lit(_DATE), 1)
+    elif isinstance(kind, StructType) and kind.fields:
+        parts = [_flat(value[f.name], f.dataType) for f in kind.fields]
+        numbers, days = (F.concat(*[F.coalesce(p[i], empty) for p in parts]) for i, empty in ((0, numbers), (1, days)))
+    elif isinstance(kind, ArrayType):
+        inner = [F.flatten(F.transform(value, part)) for part in (lambda x: _flat(x, kind.elementType)[0], lambda x: _flat(x, kind.elementType)[1])]
+        numbers, days = F.concat(F.array(F.size(value).cast("double")), inner[0]), inner[1]
+    return F.coalesce(numbers, F.array().cast("array<double>")), F.coalesce(days, F.array().cast("array<string>"))
+
+
+def source_values(contexts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, value) and (keys, day) of all that the other columns hold, however deep: numbers,
+    lengths of lists, dates and ISO dates in text. Booleans, maps and unknowns give none."""
+    found = [_flat(F.col(f.name), f.dataType) for f in contexts.schema if f.name not in keys]
+    values, days = (contexts.select(*keys, F.explode(F.concat(*[p[i] for p in found])).alias(name)) for i, name in ((0, "value"), (1, "day")))
+    return values.where("value is not null").distinct(), days.where("day is not null").select(*keys, F.to_date("day").alias("day")).distinct()
 
 
 def ground(reports: DataFrame, sources: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -101,7 +157,7 @@ def ground(reports: DataFrame, sources: DataFrame, *, text_col: str = "text") ->
     explains it. sources(report_id, value); claims meet the values of their own report only."""
     claims = numeric_claims(reports, text_col=text_col)
     s = sources.where("value is not null").select(F.col("report_id").alias("_r"), F.col("value").alias("_v")).distinct()
-    ok = claims.join(s, (claims["report_id"] == s["_r"]) & close_enough(claims["value"], s["_v"], claims["decimals"], claims["factor"]), "left_semi").select("report_id", "place", F.lit(True).alias("grounded"))
+    ok = claims.join(s, (claims["report_id"] == s["_r"]) & explains(claims["value"], s["_v"], claims["factor"], claims["context"]), "left_semi").select("report_id", "place", F.lit(True).alias("grounded"))
     return claims.join(ok, ["report_id", "place"], "left").withColumn("grounded", flag(F.col("grounded")))
 
 

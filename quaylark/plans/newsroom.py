@@ -28,6 +28,8 @@ SELECT article_id, upper(requested_ticker) AS requested_ticker, trim(title, ' ')
   CASE WHEN NOT bad AND list_contains(tickers, requested_ticker) AND insights IS NOT NULL THEN trim(title, ' ') END AS own_reasoning,
   CAST(published_utc AS DATE) AS published_date, trim(title, ' ') <> '' AS valid FROM c"""
 register("c_clean_news", clean, CLEAN_SQL)
+register("c_duplicate_profile", lambda s, d: nw.duplicate_profile(fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("article_id"), F.col("l_suppkey").alias("requested_ticker"))).select("n_rows", "n_ids", "n_keys", "repeated_keys", (-F.get("most", F.lit(0))["less"]).alias("highest")),
+         """WITH p AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(DISTINCT l_partkey) AS n_ids, count(*) AS n_keys, count(*) FILTER (n > 1) AS repeated_keys, CASE WHEN max(n) > 1 THEN max(n) END AS highest FROM p""")
 register("c_parse_failures", lambda s, d: nw.clean_news(fx.news(s, d)).where("valid").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("bad_tickers").alias("bad_tickers"), F.count_if("bad_insights").alias("bad_insights"), F.count_distinct("article_id").alias("n_articles"), F.count_distinct("article_id", "requested_ticker").alias("n_pairs")),
          f"WITH {fx.NEWS} SELECT count(*) AS n_rows, count(*) FILTER (n % 29 = 0) AS bad_tickers, count(*) FILTER (n % 29 = 0) AS bad_insights, count(DISTINCT article_id) AS n_articles, count(DISTINCT (article_id, requested_ticker)) AS n_pairs FROM news WHERE trim(title, ' ') <> ''")
 

@@ -63,10 +63,23 @@ def reports(s: SparkSession, d: str) -> DataFrame:
     return m.select("report_id", "user_id", "ticker", "date", "close", "volume", text.alias("text"), document.alias("document"))
 
 
+def _sources(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Values and days of the nested context of each watched pair that has bars."""
+    bar = reports(s, d)
+    nested = bar.select("report_id", F.struct("ticker", F.struct("date", "close", "volume", F.lit(True).alias("active")).alias("bar")).alias("market"), F.array(F.struct("volume"), F.struct((F.col("close") * -1).alias("volume"))).alias("list"), F.concat(F.lit("as of "), F.date_add("date", 1).cast("string")).alias("note"))
+    return sv.source_values(nested, ["report_id"])
+
+
+def source_counts(s: SparkSession, d: str) -> DataFrame:
+    values, days = _sources(s, d)
+    v = values.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_values"), F.round(F.round(F.sum("value"), 9), 4).alias("total"))
+    return v.join(days.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_days"), F.max("day").alias("last_day")), "report_id")
+
+
 def _claims(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rep = reports(s, d)
-    sources = rep.select("report_id", F.explode(F.array("close", "volume")).alias("value"))
-    return rep, sv.ground(rep, sources)
+    values, _ = sv.source_values(rep.select("report_id", F.struct("date", "close", "volume").alias("bar")), ["report_id"])
+    return rep, sv.ground(rep, values)
 
 
 def verdict_rows(s: SparkSession, d: str) -> DataFrame:
@@ -77,15 +90,19 @@ def verdict_rows(s: SparkSession, d: str) -> DataFrame:
 _REP = f"""WITH {METRICS}, {fx.WATCHLIST}, n AS (SELECT ticker, close, volume FROM metrics QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
 rep AS (SELECT user_id * 100 + CAST(substr(ticker, 7) AS INTEGER) AS report_id, user_id, ticker, close, volume FROM watchlist JOIN n USING (ticker)),
 c AS (SELECT report_id, CAST(3 - (round(close, 0) IN (1, 7, 10, 14, 20, 30, 50, 52, 90, 365))::INT + (report_id % 3 = 0)::INT AS BIGINT) AS claims, CAST((report_id % 3 = 0)::INT AS BIGINT) AS ungrounded, (report_id % 5 = 0)::INT AS unknown_dates, report_id % 7 = 0 AS maybe FROM rep)"""
+register("q_source_values", source_counts, f"""WITH {METRICS}, {fx.WATCHLIST}, n AS (SELECT ticker, date, close, volume FROM metrics QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
+rep AS (SELECT user_id * 100 + CAST(substr(ticker, 7) AS INTEGER) AS report_id, date, close, volume FROM watchlist JOIN n USING (ticker)),
+v AS (SELECT DISTINCT report_id, unnest([close, CAST(volume AS DOUBLE), 2.0, -close]) AS value FROM rep)
+SELECT report_id, count(*) AS n_values, {r('sum(value)', 4)} AS total, CAST(2 AS BIGINT) AS n_days, max(date) + 1 AS last_day FROM v JOIN rep USING (report_id) GROUP BY report_id""")
 register("q_report_verdicts", verdict_rows, f"{_REP} SELECT report_id, claims, ungrounded, unknown_dates, concat_ws(',', CASE WHEN maybe THEN 'stance' END, CASE WHEN ungrounded > 0 THEN 'numbers' END, CASE WHEN unknown_dates > 0 THEN 'dates' END) AS errors, CASE WHEN maybe OR ungrounded > 0 OR unknown_dates > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM c")
 register("q_report_history", lambda s, d: reports(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("reports"), F.max("report_id").alias("newest")), f"{_REP} SELECT user_id, count(*) AS reports, max(report_id) AS newest FROM rep GROUP BY user_id")
+register("q_report_page", lambda s, d: sv.report_page(reports(s, d), 2, ts="date").select("user_id", "ticker", "report_id", "place"), f"{_REP.replace('ticker, close, volume FROM', 'ticker, date, close, volume FROM', 1).replace('user_id, ticker, close', 'user_id, ticker, date, close', 1)} SELECT user_id, ticker, report_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, report_id DESC) AS place FROM rep QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, report_id DESC) <= 2")
 
 
 def quality(s: SparkSession, d: str) -> DataFrame:
     """The library's rules over its own outputs."""
-    # The rules read these tables several times.
-    bars, m, e = fx.bars(s, d), raw_metrics(s, d), events(s, d).persist()
-    tech, perf, rk = ti.indicators(bars), ranking(s, d), ranked(s, d).persist()
+    # Each of these tables is read by several rules and computed once.
+    bars, m, e, tech, perf, rk = (x.persist() for x in (fx.bars(s, d), raw_metrics(s, d), events(s, d), ti.indicators(fx.bars(s, d)), ranking(s, d), ranked(s, d)))
     close, prev = F.col("close"), F.col("previous_close")
     return qa.verdict(s, [
         qa.non_empty("bars: not empty", bars), qa.unique("bars: one row a key and day", bars, ["ticker", "date"]),
@@ -118,15 +135,14 @@ register("d_distributions", lambda s, d: qa.distribution(events(s, d), _DIST), f
 
 def streamed(s: SparkSession, d: str) -> DataFrame:
     """The latest event of each user and type, by way of the stream."""
-    base = (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="/tmp/spark-")).rstrip("/")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    folder = f"{(base or tempfile.mkdtemp(prefix='/tmp/spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = fx.table(s, d, "events")
     source.repartitionByRange(16, "ts").write.parquet(f"{folder}/in")
     st.upsert_stream(st.read_events(s, f"{folder}/in", source.schema), f"{folder}/table", f"{folder}/state", ["user_id", "event_type"]).awaitTermination()
-    fs = s.sparkContext._jvm.org.apache.hadoop.fs
-    path = fs.Path(f"{folder}/table")
-    last = max(int(x.getPath().getName()) for x in path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
-    return s.read.parquet(f"{folder}/table/{last}").select("user_id", "event_type", "event_id", "k")
+    return st.latest_state(s, f"{folder}/table").select("user_id", "event_type", "event_id", "k")
 
 
 register("st_newest_events", streamed, "SELECT user_id, event_type, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

@@ -94,6 +94,19 @@ def payload_news(s: SparkSession, d: str) -> DataFrame:
 
 register("s_flatten_news", payload_news, f"""WITH {fx.NEWS} SELECT article_id, requested_ticker, title, publisher_name, 'https://' || publisher_name AS publisher_homepage_url, strftime(published_utc, '%Y-%m-%d %H:%M:%S') AS published_utc,
   '[' || coalesce(array_to_string(list_transform(tickers, lambda t: '"' || t || '"'), ','), '') || ']' AS tickers_json FROM news WHERE n % 31 <> 0""")
+
+
+def payload_companies(s: SparkSession, d: str) -> DataFrame:
+    """Supplier rows as nested payloads; every fourth has no branding."""
+    x = fx.table(s, d, "supplier")
+    i = F.col("s_suppkey")
+    p = x.select(F.concat(F.lit(" S"), i.cast("string")).alias("ticker"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("string").alias("market_cap"), (i % 2 == 0).alias("active"), F.struct(F.lit("Main Street").alias("address1"), F.concat(F.lit("City "), F.col("s_nationkey").cast("string")).alias("city")).alias("address"),
+                 F.when(i % 4 != 0, F.struct(F.concat(F.lit("https://logo/"), i.cast("string")).alias("logo_url"))).alias("branding"))
+    return tb.flatten_company(p).select("ticker", "name", "market_cap", "active", "address1", "city", "state", "logo_url", "icon_url")
+
+
+register("s_flatten_company", payload_companies, """SELECT 'S' || s_suppkey AS ticker, s_name AS name, CAST(s_acctbal AS DOUBLE) AS market_cap, s_suppkey % 2 = 0 AS active, 'Main Street' AS address1, 'City ' || s_nationkey AS city,
+  CAST(NULL AS VARCHAR) AS state, CASE WHEN s_suppkey % 4 <> 0 THEN 'https://logo/' || s_suppkey END AS logo_url, CAST(NULL AS VARCHAR) AS icon_url FROM supplier""")
 register("s_layout", lambda s, d: tb.layout(fx.table(s, d, "lineitem")))
 
 

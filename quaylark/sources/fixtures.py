@@ -63,8 +63,9 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.concat(F.lit("Brand#"), (1 + (i * 7) % 25).cast("string"))
     mood = F.when(i % 17 == 0, "mixed").when(i % 17 == 1, "neutral/positive").when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "neutral")
     tickers = F.when(i % 13 == 0, F.lit(None).cast("array<string>")).when(i % 11 == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(own, other)))
+    title = F.substring_index("text", "\n", 1)  # the first line; the rest is the description
     d = d.select(
-        i.cast("string").alias("article_id"), own.alias("requested_ticker"), F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 400).alias("description"),
+        i.cast("string").alias("article_id"), own.alias("requested_ticker"), title.alias("title"), F.substr("text", F.length(title) + 2).alias("description"),
         F.col("source").alias("publisher_name"), tickers.alias("tickers"), mood.alias("sentiment"),
         F.timestamp_seconds(F.lit(978307200) + (i * 37 % 293) * 86400 + (i % 24) * 3600).alias("published_utc"), i.alias("n"),
     )
@@ -78,7 +79,7 @@ NEWS = """
 news AS (
   SELECT *, CASE WHEN n % 5 <> 0 THEN list_transform(coalesce(tickers, []), lambda t: {'ticker': t, 'sentiment': sentiment, 'sentiment_reasoning': title}) END AS insights
   FROM (
-    SELECT CAST(doc_id AS VARCHAR) AS article_id, 'Brand#' || (1 + doc_id % 25) AS requested_ticker, substr(text, 1, 80) AS title, substr(text, 81, 400) AS description,
+    SELECT CAST(doc_id AS VARCHAR) AS article_id, 'Brand#' || (1 + doc_id % 25) AS requested_ticker, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS description,
       source AS publisher_name,
       CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN CAST([] AS VARCHAR[])
         WHEN doc_id % 25 = (doc_id * 7) % 25 THEN ['Brand#' || (1 + doc_id % 25)]
@@ -104,7 +105,7 @@ patterns AS (
 
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, ticker): three tickers a user, two of which may not exist."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("user_id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
     return c.select("user_id", k.alias("k")).select("user_id", F.concat(F.lit("Brand#"), (1 + (F.col("user_id") * F.col("k")) % 27).cast("string")).alias("ticker")).distinct()
 
@@ -112,4 +113,4 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 WATCHLIST = """
 watchlist AS (
   SELECT DISTINCT c_custkey AS user_id, 'Brand#' || (1 + (c_custkey * k) % 27) AS ticker
-  FROM customer CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE c_custkey < 50)"""
+  FROM customer CROSS JOIN (SELECT unnest([1, 2, 3]) AS k))"""

@@ -47,6 +47,24 @@ def flatten_news(payload: DataFrame) -> DataFrame:
     ).where("article_id is not null and published_utc is not null")
 
 
+# Fields of a company payload, and those of its nested parts.
+COMPANY = {
+    "ticker": "string", "name": "string", "market": "string", "locale": "string", "primary_exchange": "string", "type": "string", "active": "boolean", "currency_name": "string", "cik": "string",
+    "composite_figi": "string", "share_class_figi": "string", "market_cap": "double", "description": "string", "sic_code": "string", "sic_description": "string", "homepage_url": "string",
+    "phone_number": "string", "total_employees": "long", "list_date": "date", "ticker_root": "string", "ticker_suffix": "string", "weighted_shares_outstanding": "long",
+    "share_class_shares_outstanding": "long", "round_lot": "long",
+}
+ADDRESS, BRANDING = ("address1", "city", "state", "postal_code"), ("logo_url", "icon_url")
+
+
+def flatten_company(payload: DataFrame) -> DataFrame:
+    """Lifts address.* and branding.*, types all fields; a part or field that is missing is null."""
+    nested = {p: (payload.schema[p].dataType.fieldNames() if p in payload.columns else []) for p in ("address", "branding")}
+    lifted = [(F.col(f"{p}.{c}") if c in nested[p] else F.lit(None)).cast("string").alias(c) for p, cs in (("address", ADDRESS), ("branding", BRANDING)) for c in cs]
+    own = typed(payload.select("*", *lifted).drop("address", "branding"), COMPANY | {c: "string" for c in ADDRESS + BRANDING})
+    return own.withColumn("ticker", F.trim("ticker"))
+
+
 def overwrite(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:
     """Full refresh, whatever the schema before."""
     w = df.write.mode("overwrite")

@@ -10,21 +10,27 @@ from quaylark.operators.ingest import upsert
 
 
 def read_events(spark: SparkSession, folder: str, schema, *, files_per_batch: int = 8) -> DataFrame:
-    """The stream of events; repeats of an id within an hour of event time are dropped, with
-    state bounded by the watermark."""
+    """The stream of events that have an id and a time. Files may come in any order of event
+    time, as in a replay of history: no watermark decides, and repeats go in the upsert."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    return raw.where("event_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.from_json("props", "k INT")["k"]).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    return raw.where("event_id is not null and ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.from_json("props", "k INT")["k"])
 
 
 def upsert_stream(events: DataFrame, table: str, checkpoint: str, keys: list[str], *, version: str = "ts") -> StreamingQuery:
-    """Runs what is there and stops. Each batch writes the new state of the table to a fresh
-    folder, named by its number, so that a batch that runs twice writes the same."""
+    """Runs what is there and stops. Each batch writes the new state of the table to the
+    folder of its number, so that a batch that runs twice writes the same."""
     cols = events.columns
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         newest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(version, "event_id")).alias("r")).select("r.*")
-        stored = newest.limit(0) if n == 0 else spark.read.parquet(f"{table}/{n - 1}")
-        upsert(stored, newest, keys, mode="newer", version=version).write.mode("overwrite").parquet(f"{table}/{n}")
+        stored = newest.limit(0) if n == 0 else spark.read.parquet(f"{table}/batch={n - 1}")
+        upsert(stored, newest, keys, mode="newer", version=version).write.mode("overwrite").parquet(f"{table}/batch={n}")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_state(spark: SparkSession, table: str) -> DataFrame:
+    """The table as its newest batch left it."""
+    all_ = spark.read.parquet(table)
+    return all_.where(F.col("batch") == all_.agg(F.max("batch")).first()[0]).drop("batch")

@@ -16,7 +16,7 @@ def spark():
 
     folder = tempfile.mkdtemp(prefix="/tmp/spark-")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", f"file://{folder}").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

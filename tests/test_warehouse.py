@@ -3,7 +3,7 @@ import datetime as dt
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quaylark.operators import calendar, clean, ingest, intervals, quality, serving
+from quaylark.operators import calendar, clean, ingest, intervals, news, performance, quality, serving
 from quaylark.sources import tables
 
 
@@ -59,6 +59,34 @@ def test_number_claims(spark):
     assert [(r["raw"], r["value"]) for r in serving.numeric_claims(df).orderBy("place").collect()] == [("12.5", 12.5), ("1,234", 1234.0), ("65.64M", 65_640_000.0), ("-3.1", -3.1)]
     src = spark.createDataFrame([(1, 12.52), (1, 1234.4), (1, 65_638_000.0), (2, 3.1)], "report_id int, value double")
     assert [r["grounded"] for r in serving.ground(df, src).orderBy("place").collect()] == [True, True, True, False]
+    pairs = [("volume 1471", 1470.0, False), ("volume 1,470", 1470.0, True), ("it is 57 now", 57.14, True), ("it is 58 now", 57.14, False), ("3.1 more", -3.1, False), ("6.83% below the high", -6.8307, True), ("x 65.64 M", 65_637_842.0, True), ("-0.89", -0.8915, True)]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(pairs)], "report_id int, text string")
+    src = spark.createDataFrame([(i, v) for i, (_, v, _) in enumerate(pairs)], "report_id int, value double")
+    assert [r["grounded"] for r in serving.ground(df, src).orderBy("report_id").collect()] == [ok for _, _, ok in pairs]
+    far = spark.createDataFrame([(1, "The loss came first. " + "Words " * 12 + "then 6.83 was seen")], "report_id int, text string")
+    assert not serving.ground(far, spark.createDataFrame([(1, -6.8307)], "report_id int, value double")).first()["grounded"]
+    assert "loss" not in serving.numeric_claims(far).first()["context"] and "6.83 was seen" in serving.numeric_claims(far).first()["context"]
+
+
+def test_source_values(spark):
+    df = spark.sql("SELECT 1 AS id, named_struct('a', 2.5D, 'b', true, 'c', DATE'2020-01-02', 'd', 'since 2021-03-04.') AS x, array(named_struct('v', 7, 'w', array(1, null)), null) AS l, cast(null as int) AS n, map('k', 9) AS m")
+    values, days = serving.source_values(df, ["id"])
+    assert sorted(r["value"] for r in values.collect()) == [1.0, 2.0, 2.5, 7.0] and sorted(str(r["day"]) for r in days.collect()) == ["2020-01-02", "2021-03-04"]
+
+
+def test_company_payload_and_duplicates(spark):
+    df = spark.sql("SELECT ' A ' AS ticker, '12.5' AS market_cap, named_struct('city', 'Rome', 'state', 'LA') AS address, '2020-01-01' AS list_date")
+    got = tables.flatten_company(df).first().asDict()
+    assert got["ticker"] == "A" and got["city"] == "Rome" and got["address1"] is None and got["logo_url"] is None and got["market_cap"] == 12.5 and str(got["list_date"]) == "2020-01-01" and len(got) == 30
+    rows = spark.createDataFrame([("a", "X"), ("a", "X"), ("a", "Y"), (None, "X"), ("b", "X")], "article_id string, requested_ticker string")
+    got = news.duplicate_profile(rows).first()
+    assert (got["n_rows"], got["n_ids"], got["n_keys"], got["repeated_keys"]) == (5, 2, 4, 1) and [tuple(x) for x in got["most"]] == [(-2, "a", "X")]
+
+
+def test_percent_ranks(spark):
+    rows = [("a", 1.0, 5.0), ("b", 2.0, None), ("c", 2.0, 1.0), ("d", None, 3.0)]
+    got = {r["ticker"]: (r["up"], r["down"]) for r in performance.percent_ranks(spark.createDataFrame(rows, "ticker string, x double, y double"), {"up": ("x", True), "down": ("y", False)}).collect()}
+    assert got == {"a": (0.0, 0.0), "b": (50.0, None), "c": (50.0, 100.0), "d": (None, 50.0)}
 
 
 def test_typed_read(spark):
