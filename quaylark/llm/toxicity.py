@@ -43,6 +43,7 @@ MIN_SAMPLES = 64
 #: match and makes a compressed block; a block's last eight bytes begin no match.
 HEAD, TAIL = bytes(range(14, 30)), bytes(range(1, 9))
 _WORD = re.compile(r"\w+")
+_CACHE = 300_000
 
 
 def words(text: str) -> list[str]:
@@ -50,12 +51,6 @@ def words(text: str) -> list[str]:
     return [f" {w} " for w in _WORD.findall(text.lower())]
 
 
-def windows(text: str) -> list[bytes]:
-    """The text's words, WINDOW at a time, each window with HEAD and TAIL around it."""
-    w = _WORD.findall(text.lower())
-    return [HEAD + f" {' '.join(w[i : i + WINDOW])} ".encode("utf-8", "surrogatepass") + TAIL for i in range(0, len(w), WINDOW)]
-
-
 def runs(word: str) -> list[str]:
     return [word[i : i + RUN] for i in range(max(1, len(word) - RUN + 1))]
 
@@ -79,15 +74,39 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
+class _Hot(dict):
+    """Word -> whether it has a run of letters that only the toxic dictionary holds; emptied
+    when full."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        super().__init__()
+        held = [{t[i : i + RUN] for i in range(len(t) - RUN + 1)} for t in (d.decode("utf-8", "ignore") for d in (toxic, ordinary))]
+        self.only = held[0] - held[1]
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > _CACHE:
+            self.clear()
+        hot = self[word] = any(r in self.only for r in runs(f" {word} "))
+        return hot
+
+
 class Meter:
-    """Bytes that each window of a text saves with the toxic dictionary beside the ordinary."""
+    """Bytes that each window of a text saves with the toxic dictionary beside the ordinary.
+    A window is WINDOW words, with HEAD and TAIL around it. Where none of its words has
+    anything that only the toxic dictionary holds it can save nothing, and isn't compressed."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.plain, self.both = _compressor(ordinary).compress, _compressor(toxic + ordinary).compress
+        self.hot = _Hot(toxic, ordinary)
 
     def __call__(self, text: str) -> np.ndarray:
-        plain, both = self.plain, self.both
-        return np.array([len(plain(w)) - len(both(w)) for w in windows(text)], np.int64)
+        w = _WORD.findall(text.lower())
+        saved = np.zeros(-(-len(w) // WINDOW), np.int64)
+        hot = self.hot
+        for k in dict.fromkeys(i // WINDOW for i, x in enumerate(w) if hot[x]):
+            b = HEAD + f" {' '.join(w[k * WINDOW : (k + 1) * WINDOW])} ".encode("utf-8", "surrogatepass") + TAIL
+            saved[k] = len(self.plain(b)) - len(self.both(b))
+        return saved
 
 
 def features(saved: np.ndarray, margin: int) -> list[float]:
