@@ -26,8 +26,15 @@ def page_key(text: Column) -> Column:
     MD5 of its word runs. Two pages agree with about the square of their similarity; the
     runs of a boilerplate line alone are seldom both."""
     w = F.split(F.regexp_replace(text, r"[\t\n\x0B\f\r ]+", " "), " ")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.md5(F.array_join(F.slice(w, i + 1, SHINGLE), " ").cast("binary")))
-    return F.concat(F.array_min(runs), F.array_max(runs))
+
+    # Words and runs go in as elements of arrays of one: a lambda's own variables are computed
+    # once, while any other expression is computed anew for every element it is used for.
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
+        return F.transform(starts, lambda i: F.md5(F.array_join(F.slice(words, i + 1, SHINGLE), " ").cast("binary")))
+
+    ends = F.transform(F.transform(F.array(w), runs), lambda r: F.concat(F.array_min(r), F.array_max(r)))
+    return F.get(ends, F.lit(0))
 
 
 def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
