@@ -49,9 +49,10 @@ def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float =
     pages = pages.select("host", F.xxhash64(page_key(F.col("t"))).alias("page"), F.array_distinct(F.filter(_keys(F.col("t")), lambda x: x.isNotNull())).alias("k"))
     # A page itself travels as the line null: one pass counts both.
     held = pages.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "k")).alias("line")).distinct()
-    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    # Both are read below: stored, as the texts would be read and cut once for each.
+    counts = stash(held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("line").isNull() | (F.col("n") >= min_pages)))
     totals = counts.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("total"))
-    often = counts.where(F.col("line").isNotNull() & (F.col("n") >= min_pages))
+    often = counts.where("line is not null")
     return often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") >= ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
