@@ -1,6 +1,8 @@
 """Operators over whole corpora, against brute force."""
 
+import hashlib
 import random
+import re
 from collections import defaultdict
 from itertools import combinations, product
 
@@ -212,6 +214,20 @@ def test_line_dedup(spark):
     assert len(got) == len(rows) and linededup.line_report(table(spark, rows).limit(0)).count() == 0
 
 
+def test_page_key_equals_brute_force(spark):
+    """Also for a text of 60,000 words, which takes time in proportion to its words."""
+    texts = ["", " ", "one", "one two", "a b c", "a  b\tc\nd", " led by a space", " ".join(f"w{i * i % 7919}" for i in range(60_000))]
+
+    def key(t: str) -> str:
+        w = re.sub("[\t\n\x0b\x0c\r ]+", " ", t).split(" ")
+        runs = [hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest() for i in range(max(len(w) - 3, 0) + 1)]
+        return min(runs) + max(runs)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["k"] for r in df.select("i", linededup.page_key(df["text"]).alias("k")).collect()}
+    assert got == {i: key(t) for i, t in enumerate(texts)}
+
+
 def test_targets():
     assert mixing.targets({"a": 100, "b": 100, "c": 100, None: 100}) == pytest.approx({"a": 2000 / 13, "b": 800 / 13, "c": 400 / 13, None: 2000 / 13})
     got = mixing.targets({"a": 10, "b": 90, "c": 100})
