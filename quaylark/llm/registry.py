@@ -7,9 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.llm import decontaminate, linededup, neardup
+from quaylark.llm import decontaminate, divergence, linededup, neardup
 from quaylark.llm.common import table
 from quaylark.llm.decontaminate import contamination_report
+from quaylark.llm.divergence import divergence_report
 from quaylark.llm.linededup import line_report
 from quaylark.llm.mixing import mix_report
 from quaylark.llm.neardup import near_duplicates
@@ -63,6 +64,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
+    "op11_divergence": op11_divergence,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_divergence": divergence.ORACLE}
