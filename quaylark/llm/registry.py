@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.llm import decontaminate, divergence, linededup, neardup
+from quaylark.llm import clusters, decontaminate, divergence, linededup, neardup
+from quaylark.llm.clusters import cluster_report
 from quaylark.llm.common import table
 from quaylark.llm.decontaminate import contamination_report
 from quaylark.llm.divergence import divergence_report
@@ -68,6 +69,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_report(table(spark, sf_dir, "documents"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
     "op11_divergence": op11_divergence,
+    "op12_clusters": op12_clusters,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_divergence": divergence.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_divergence": divergence.ORACLE, "op12_clusters": clusters.ORACLE}

@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaylark.llm import divergence
+from quaylark.llm import clusters, divergence
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -89,3 +90,61 @@ def test_shares_are_exact_beyond_64_bits(spark):
     c, total = 4_000_000_000_000_000, 9_000_000_000_000_001
     got = spark.range(1).select(divergence.share(F.lit(c).cast("long"), F.lit(total).cast("long"))).first()[0]
     assert got == 1 + 10**9 * (c + 5) // total == divergence._prices([c], total, 10**9, 5)[0]
+
+
+def brute_clusters(vectors, k, rounds, seed=2):
+    """(id, v) -> [(id, cluster, distance)], centroids"""
+    first = sorted(vectors, key=lambda r: (hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest() if r[0] is not None else "~", r[1]))
+    cen = [list(v) for _, v in first[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), i) for i, c in enumerate(cen))
+    for _ in range(rounds):
+        own = defaultdict(list)
+        for _, v in vectors:
+            own[near(v)[1]].append(v)
+        for i, members in own.items():
+            cen[i] = [sum(x) // len(members) for x in zip(*members)]
+    return [(i, near(v)[1], near(v)[0]) for i, v in vectors], cen
+
+
+@pytest.mark.parametrize("bits", [2, 6])
+def test_clusters_equal_brute_force(spark, bits):
+    rng = random.Random(bits)
+    centres = [[rng.gauss(0, 0.3) for _ in range(64)] for _ in range(6)]
+    made = [[x + rng.gauss(0, 0.1) for x in rng.choice(centres)] for _ in range(150)]
+    made += [made[0]] * 40 + [[0.0] * 64] * 3  # a common vector
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [1.0] * 63, [1.0] * 65, [None] + [1.0] * 63, [nan] * 64, [1.0] * 63 + [inf], [1.0] * 63 + [-inf]]
+    rows = [(i, e, "x") for i, e in enumerate(made + odd)] + [(None, made[1], "y"), (5, made[7], "z"), (3, made[3], "q")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cluster string").repartition(4)
+    kept = [(i, tuple(math.floor(256 * x) for x in e)) for i, e, _ in rows if e and len(e) == 64 and all(x is not None and math.isfinite(x) for x in e)]
+    want, cen = brute_clusters(kept, 10, 3)
+    got = clusters.cluster_report(df, k=10, rounds=3, bits=bits).collect()
+    assert sorted((str(r["vec_id"]), r["cluster"], r["distance"]) for r in got) == sorted((str(i), c, d) for i, c, d in want)
+    assert {r["inertia"] for r in got} == {sum(d for _, _, d in want)}
+    assert {(r["cluster"], r["cluster_inertia"]) for r in got} == {(c, sum(d for _, x, d in want if x == c)) for _, c, _ in want}
+    assert all(r["centroid_sha256"] == hashlib.sha256(",".join(map(str, cen[r["cluster"]])).encode()).hexdigest() for r in got)
+
+
+def test_intervals_hold_the_distances_and_spare_vectors(spark):
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.02) for x in centres[i % 8]]) for i in range(400)]
+    vectors = clusters.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    grid = clusters.fit_grid(vectors, bits=4)
+    v = np.array([r["v"] for r in vectors.collect()])
+    assert all(len(low) <= 16 and (low <= high).all() for low, high in zip(grid.low, grid.high))
+    near = clusters.Nearest(grid, v[:8].astype(np.int64))
+    low, high = near.intervals(grid.cells(v))
+    exact = ((v[:, None] - v[None, :8]) ** 2).sum(axis=2)
+    assert (low <= exact).all() and (exact <= high).all()
+    best, taken = near(grid.cells(v), v)
+    assert (best == exact.argmin(axis=1)).all() and taken < len(v) / 4
+
+
+def test_clusters_of_few_or_no_or_too_large_vectors(spark):
+    df = spark.createDataFrame([(1, [0.5] * 64), (2, [-0.001] * 64)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in clusters.cluster_report(df).collect()}
+    assert [got[i]["distance"] for i in (1, 2)] == [0, 0] and got[1]["cluster"] != got[2]["cluster"]
+    assert clusters.cluster_report(df.where("false")).collect() == []
+    with pytest.raises(Exception, match="too large"):
+        clusters.cluster_report(spark.createDataFrame([(1, [1e30] * 64)], "vec_id long, embedding array<float>")).collect()
