@@ -301,14 +301,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_c
     # A class has the number of its first row, which no other class has, and an id, which another may have.
     classes = full.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
     classes = stash(classes.select("digest", F.col("first.row").alias("cid"), F.col("first.id").alias("id"), "copies", "n", "regs", "keys"))
-    labels = stash(_class_components(rows, classes, k, threshold, percent))
+    out = named_rows(signed, classes, stash(_class_components(rows, classes, k, threshold, percent)))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def named_rows(signed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, n_shingles, component_id) of the rows signed(id, n, digest), by the classes' labels."""
     ids = classes.select("cid", "digest", "id", "copies").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
     names = ids.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     named = ids.where("component is not null or copies > 1").join(names, "component", "left").select("digest", F.coalesce("least", "id").alias("c"))
     # Only classes of several rows or with links have a name to look up.
     out = signed.select("id", "n", "digest").join(named, "digest", "left")
-    component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 
 
 def _class_components(rows: DataFrame, classes: DataFrame, k: int, threshold: float, percent: int) -> DataFrame:
@@ -323,6 +327,12 @@ def _class_components(rows: DataFrame, classes: DataFrame, k: int, threshold: fl
     more = _pairs_beside_hubs(star, met, classes, threshold)
     size = classes.select("cid", "n")
     near = met.where("near").select("x", "h", "nx", "nh").union(more.join(size.toDF("x", "nx"), "x").join(size.toDF("h", "nh"), "h").select("x", "h", "nx", "nh"))
+    return exact_components(rows, classes, near, k, percent)
+
+
+def exact_components(rows: DataFrame, classes: DataFrame, near: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component) of the classes that have links, by their numbers: links are found among the
+    pairs near(x, h, nx, nh), and among the members x of one h."""
     near = stash(near.distinct())
     needed = near.select(F.col("x").alias("cid")).union(near.select("h")).distinct()
     needed = stash(needed.join(classes.select("cid", F.col("id").alias("of"), F.col("digest").alias("held")), "cid"))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.llm import clusters, decontaminate, divergence, linededup, neardup
+from quaylark.llm import clusters, decontaminate, divergence, linededup, neardup, ngramjoin
 from quaylark.llm.clusters import cluster_report
 from quaylark.llm.common import table
 from quaylark.llm.decontaminate import contamination_report
@@ -15,6 +15,7 @@ from quaylark.llm.divergence import divergence_report
 from quaylark.llm.linededup import line_report
 from quaylark.llm.mixing import mix_report
 from quaylark.llm.neardup import near_duplicates
+from quaylark.llm.ngramjoin import ngram_join
 from quaylark.llm.pages import extract_main_text
 from quaylark.llm.pii import pii_report
 from quaylark.llm.secrets import secret_report
@@ -73,6 +74,10 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), k=4, threshold=0.85)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +91,7 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_divergence": op11_divergence,
     "op12_clusters": op12_clusters,
+    "op13_ngram_join": op13_ngram_join,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_divergence": divergence.ORACLE, "op12_clusters": clusters.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op7_near_duplicates": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_divergence": divergence.ORACLE, "op12_clusters": clusters.ORACLE, "op13_ngram_join": ngramjoin.ORACLE}
