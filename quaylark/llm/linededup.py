@@ -1,8 +1,8 @@
 """Boilerplate lines by their frequency inside a site.
 
 Per host, the pages that contain a line are divided by the host's pages; lines above a
-ratio are boilerplate of that host and go from all of its pages. Copies of a page, whole or
-near, count as one page, so that copying a text doesn't make its lines boilerplate.
+ratio are boilerplate of that host and go from all of its pages. Pages of equal text count as
+one page, so that copying a text doesn't make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quaylark.llm.common import col, cols, fresh, stash, with_set
 
-#: Least share and number of a host's pages; words of the runs by which near copies are known.
-RATIO, MIN_PAGES, SHINGLE = 0.05, 5, 3
+#: Least share and number of a host's pages.
+RATIO, MIN_PAGES = 0.05, 5
 
 
 def _keys(text: Column) -> Column:
@@ -21,22 +21,6 @@ def _keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def page_key(text: Column) -> Column:
-    """What near copies of a page have in common: the first and the last in the order of
-    MD5 of its word runs. Two pages agree with about the square of their similarity; the
-    runs of a boilerplate line alone are seldom both."""
-    w = F.split(F.regexp_replace(text, r"[\t\n\x0B\f\r ]+", " "), " ")
-
-    # Words and runs go in as elements of arrays of one: a lambda's own variables are computed
-    # once, while any other expression is computed anew for every element it is used for.
-    def runs(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))
-        return F.transform(starts, lambda i: F.md5(F.array_join(F.slice(words, i + 1, SHINGLE), " ").cast("binary")))
-
-    ends = F.transform(F.transform(F.array(w), runs), lambda r: F.concat(F.array_min(r), F.array_max(r)))
-    return F.get(ends, F.lit(0))
-
-
 def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): hashes of lines on at least `ratio` of a host's different pages and on
     at least `min_pages` of them.
@@ -46,7 +30,7 @@ def boilerplate(docs: DataFrame, *, host_col: str, text_col: str, ratio: float =
     1 / ratio times the lines of its average page.
     """
     pages = docs.where(col(text_col).isNotNull()).select(col(host_col).alias("host"), col(text_col).alias("t"))
-    pages = pages.select("host", F.xxhash64(page_key(F.col("t"))).alias("page"), F.array_distinct(F.filter(_keys(F.col("t")), lambda x: x.isNotNull())).alias("k"))
+    pages = pages.select("host", F.xxhash64("t").alias("page"), F.array_distinct(F.filter(_keys(F.col("t")), lambda x: x.isNotNull())).alias("k"))
     # A page itself travels as the line null: one pass counts both.
     held = pages.select("host", "page", F.explode(F.concat(F.array(F.lit(None).cast("long")), "k")).alias("line")).distinct()
     # Both are read below: stored, as the texts would be read and cut once for each.
@@ -94,13 +78,9 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "sou
 
 #: DuckDB twin of the report with its default settings.
 ORACLE = rf"""
-WITH word AS (
-  SELECT DISTINCT source, text, string_split(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS w FROM documents WHERE text IS NOT NULL),
-run AS (
-  SELECT source, text, list_transform(range(0, greatest(len(w) - {SHINGLE}, 0) + 1), lambda i: md5(array_to_string(w[i + 1:i + {SHINGLE}], ' '))) AS r FROM word),
-page AS (SELECT source, text, list_min(r) || list_max(r) AS page FROM run),
-held AS (SELECT DISTINCT source, page, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM page),
-total AS (SELECT source, count(DISTINCT page) AS total FROM page GROUP BY source),
+WITH page AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+held AS (SELECT DISTINCT source, text AS page, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM page),
+total AS (SELECT source, count(*) AS total FROM page GROUP BY source),
 often AS (
   SELECT held.source, line FROM held JOIN total ON held.source IS NOT DISTINCT FROM total.source
   WHERE line <> '' GROUP BY held.source, line, total HAVING count(*) >= {MIN_PAGES} AND count(*) >= {RATIO} * total),

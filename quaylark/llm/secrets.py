@@ -84,9 +84,10 @@ def findings(versions: DataFrame, ledger: DataFrame, *, path_col: str = "doc_id"
     """(path, blob, found) for every row of `versions`; found is empty where nothing was.
 
     Only blobs with findings go into the join; a blob with very many paths is one row on
-    that side, so that a skewed join can split the paths.
+    that side, so that a skewed join can split the paths. A blob that the ledger has more than
+    once, as after two runs at a time, counts once.
     """
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found")
+    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
     paths = address(versions, path_col, text_col).select("path", "blob")
     return paths.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
 

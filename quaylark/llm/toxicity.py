@@ -31,7 +31,7 @@ from quaylark.llm.common import col, cols, fresh, python_map
 #: Labelled rows of each class that are used at most, chosen by hash.
 SAMPLE_ROWS = 2000
 #: Words of a window, folds of the fit.
-WINDOW, FOLDS = 4, 5
+WINDOW, FOLDS = 8, 5
 #: Bytes of the dictionaries and how zstandard trains them: segment and run length.
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, TRAINED_RUN = 16 << 10, 8 << 10, 16, 6
 #: A run of letters of a word stands out if this share of the toxic texts has it, and if
@@ -43,7 +43,6 @@ MIN_SAMPLES = 64
 #: match and makes a compressed block; a block's last eight bytes begin no match.
 HEAD, TAIL = bytes(range(14, 30)), bytes(range(1, 9))
 _WORD = re.compile(r"\w+")
-_CACHE = 300_000
 
 
 def words(text: str) -> list[str]:
@@ -74,36 +73,17 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
-class _Hot(dict):
-    """Word -> whether it has a run of letters that only the toxic dictionary holds; emptied
-    when full."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        super().__init__()
-        held = [{t[i : i + RUN] for i in range(len(t) - RUN + 1)} for t in (d.decode("utf-8", "ignore") for d in (toxic, ordinary))]
-        self.only = held[0] - held[1]
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) > _CACHE:
-            self.clear()
-        hot = self[word] = any(r in self.only for r in runs(f" {word} "))
-        return hot
-
-
 class Meter:
     """Bytes that each window of a text saves with the toxic dictionary beside the ordinary.
-    A window is WINDOW words, with HEAD and TAIL around it. Where none of its words has
-    anything that only the toxic dictionary holds it can save nothing, and isn't compressed."""
+    A window is WINDOW words, with HEAD and TAIL around it; each is compressed both ways."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.plain, self.both = _compressor(ordinary).compress, _compressor(toxic + ordinary).compress
-        self.hot = _Hot(toxic, ordinary)
 
     def __call__(self, text: str) -> np.ndarray:
         w = _WORD.findall(text.lower())
         saved = np.zeros(-(-len(w) // WINDOW), np.int64)
-        hot = self.hot
-        for k in dict.fromkeys(i // WINDOW for i, x in enumerate(w) if hot[x]):
+        for k in range(len(saved)):
             b = HEAD + f" {' '.join(w[k * WINDOW : (k + 1) * WINDOW])} ".encode("utf-8", "surrogatepass") + TAIL
             saved[k] = len(self.plain(b)) - len(self.both(b))
         return saved

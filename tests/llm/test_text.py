@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import numpy as np
 import pytest
 import sentencepiece
 import xxhash
@@ -107,6 +108,17 @@ def test_stored_ledger_grows_only_by_what_is_new(spark, tmp_path):
     assert all(c == tuple(sum(x.startswith(k + ":") for x in spans.split(",")) for k in ("assign", "access", "hex")) for spans, c in counts.items())
 
 
+def test_a_ledger_that_was_appended_to_twice_changes_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    both = docs(spark, SECRETS + SECRETS[:3] + ODD)
+    new = secrets.update_ledger(both)
+    for _ in range(2):  # as two runs do that begin at once
+        new.write.mode("append").parquet(path)
+    got = secrets.secret_report(both, path)
+    assert got.count() == both.count()
+    assert by_text(got, "spans", "base_sha256") == by_text(secrets.secret_report(both), "spans", "base_sha256")
+
+
 def test_personal_data(spark):
     cases = {
         "mail joe.b@mail.example.com now": "email:5:27", "ip 10.0.0.255 and 300.1.1.1": "ip:3:13", "card 4111 1111 1111 1111.": "card:5:24", "card 4111111111111112": "",
@@ -326,3 +338,45 @@ def test_toxicity_learns_words(spark):
     assert got[1000]["score"] == got[1001]["score"] < 0.7
     none = toxicity.toxicity_report(df, lab.limit(0)).collect()
     assert len(none) == 602 and all(0 <= r["score"] <= 1 for r in none)
+
+
+def test_every_window_is_measured_both_ways():
+    rng = random.Random(8)
+    syllables = "ka lo mi ten sho var eth un iz pra gol dun é ß".split()
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    vocabulary = [word() for _ in range(300)]
+    toxic, ordinary = " ".join(vocabulary[:40]).encode(), " ".join(vocabulary[30:200]).encode()
+    meter = toxicity.Meter(toxic, ordinary)
+    plain, both = toxicity._compressor(ordinary), toxicity._compressor(toxic + ordinary)
+    for n in (0, 1, 7, 8, 9, 250):
+        w = rng.choices(vocabulary, k=n)
+        windows = [toxicity.HEAD + f" {' '.join(w[i : i + toxicity.WINDOW])} ".encode() + toxicity.TAIL for i in range(0, n, toxicity.WINDOW)]
+        assert meter(", ".join(w).upper() if n < 9 and "ß" not in " ".join(w) else ", ".join(w)).tolist() == [len(plain.compress(x)) - len(both.compress(x)) for x in windows]
+
+
+def test_no_text_is_measured_by_a_dictionary_that_saw_it(monkeypatch):
+    """Copies of a text share its fold; every text is measured once, and once by the last dictionaries."""
+    seen, measured = [], []
+    monkeypatch.setattr(toxicity, "trained", lambda samples, size: b"".join(samples))
+
+    class Recorder:
+        def __init__(self, toxic, ordinary):
+            self.own = toxic + ordinary
+
+        def __call__(self, text):
+            measured.append(text)
+            seen.append(text.split()[0].encode() in self.own)
+            return np.zeros(1, np.int64)
+
+    monkeypatch.setattr(toxicity, "Meter", Recorder)
+    texts = [f"mark{i}x some ordinary words" if i % 4 else f"mark{i}x badword badword" for i in range(40)]
+    texts += texts[:6]
+    model = toxicity.fit(texts, [int("badword" in t) for t in texts], (30, 10))
+    assert sorted(measured) == sorted(texts) and not any(seen) and b"badword" in model.toxic and b"mark1x" in model.ordinary
+
+
+def test_rows_weigh_as_many_as_they_stand_for():
+    texts = [f"plain words of text {i}" for i in range(40)] + [f"plain words of text {i} too" for i in range(40)]
+    labels = [0] * 40 + [1] * 40
+    score = lambda totals: toxicity.fit(texts, labels, totals).scorer()("plain words of text")
+    assert score((40, 40)) > 4 * score((4000, 40))
