@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaylark.functions.columns import clean_number, full, ratio, rounded, series, trailing
-from quaylark.operators.recursive import affine_scan, ema_step, wilder_step
+from quaylark.operators.recursive import affine_scan, ema_step, mixed_ema_step, wilder_step
 
 DIGITS = {c: 4 for c in ("sma_20", "sma_50", "ema_12", "ema_26", "rsi_14", "macd", "macd_signal", "macd_histogram", "bollinger_middle", "bollinger_upper", "bollinger_lower", "bollinger_width_pct", "bollinger_position", "momentum_10_pct", "price_vs_sma_20_pct", "price_vs_sma_50_pct")}
 
@@ -27,9 +27,9 @@ def indicators(bars: DataFrame, *, key: str = "ticker", ts: str = "date", sma: t
     df = affine_scan(df, {
         "_fast": ema_step(close, fast, rank), "_slow": ema_step(close, slow, rank),
         "_up": wilder_step(F.col("_gain"), F.col("_g"), rsi, rank, rsi + 1), "_down": wilder_step(F.col("_loss"), F.col("_l"), rsi, rank, rsi + 1),
+        "_signal": mixed_ema_step({"_fast": 1.0, "_slow": -1.0}, signal, rank, slow),
     }, key=key, ts=ts, **options)
     df = df.withColumn("macd", F.when(rank >= slow, F.col("_fast") - F.col("_slow")))
-    df = affine_scan(df, {"_signal": ema_step(F.col("macd"), signal, rank, slow)}, key=key, ts=ts, **options)
     b, s1, s2 = trailing(w, bollinger), *(trailing(w, n) for n in sma)
     up, down = F.col("_up"), F.col("_down")
     df = df.withColumns({

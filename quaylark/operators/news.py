@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylark.functions.columns import latest
+from quaylark.operators.ranks import row_numbers
 
 # The sentiments that daily analytics know.
 SENTIMENTS = ("positive", "negative", "neutral")
@@ -100,10 +101,10 @@ def news_summary(rel: DataFrame, companies: DataFrame, *, days: tuple[int, ...]
     for n in days:
         out = out.withColumns(_ratios(f"d{n}_"))
     longest = max(days)
-    return out.withColumns({
+    out = out.withColumns({
         "articles_per_day": F.round(F.col(f"d{longest}_articles") / longest, 4), "latest_age_days": F.datediff("as_of", "latest_date"),
-        "volume_rank": F.row_number().over(Window.orderBy(F.col(f"d{longest}_articles").desc(), "ticker")),
     })
+    return row_numbers(out, [F.col(f"d{longest}_articles").desc(), F.col("ticker")], "volume_rank")
 
 
 def coverage(rel: DataFrame) -> DataFrame:

@@ -4,30 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylark.functions.columns import bands, flag, latest, pct_change, rounded, series, trailing
+from quaylark.operators.ranks import percent_ranks, row_numbers
 
 # Composite weights, category steps and points of labels.
 WEIGHTS = {"return_7": 0.20, "return_30": 0.20, "return_90": 0.20, "momentum": 0.10, "volatility": 0.10, "trend": 0.08, "macd": 0.07, "rsi": 0.05}
 CATEGORY = ((75.0, "STRONG"), (55.0, "POSITIVE"), (40.0, "NEUTRAL"), (25.0, "WEAK"))
 
 
-def percent_ranks(df: DataFrame, columns: Mapping[str, tuple[str, bool]], *, key: str | None = None) -> DataFrame:
-    """Per output column, percent_rank times 100 of a value over all rows with one, ascending
-    or descending. df, one row a key (its first column unless given), is read once: its rows go out as one row a ranked
-    value, ranked by column, and come together again by key."""
-    own = F.struct(*[F.col(c) for c in df.columns])
-    pairs = F.array(*[F.struct(F.lit(out).alias("out"), F.when(F.isnan(F.col(c).cast("double")), F.lit(None)).otherwise(F.col(c).cast("double") * (1 if up else -1)).alias("v")) for out, (c, up) in columns.items()])
-    long = df.select(F.col(key or df.columns[0]).alias("_key"), own.alias("_own"), F.explode(pairs).alias("_p")).select("_key", "_own", "_p.out", "_p.v")
-    known = F.col("v").isNotNull()
-    rank = F.percent_rank().over(Window.partitionBy("out", known).orderBy("v"))
-    ranked = long.withColumn("_rank", F.when(known, 100.0 * rank))
-    wide = ranked.groupBy("_key").agg(F.first("_own").alias("_own"), *[F.max(F.when(F.col("out") == out, F.col("_rank"))).alias(out) for out in columns])
-    return wide.select("_own.*", *columns)
-
-
 def lookbacks(bars: DataFrame, lags: tuple[int, ...] = (7, 30, 90, 252), year: int = 252, *, key: str = "ticker", ts: str = "date") -> DataFrame:
     """Latest row of each key with its returns, its year's high and low of the close, and
     its return since the key's first row."""
@@ -54,7 +41,7 @@ def performance(metrics: DataFrame, indicators: DataFrame, companies: DataFrame,
     tech = latest(indicators, key, [F.col(ts).desc()]).select(key, F.col(ts).alias("technical_date"), "rsi_14", "momentum_10_pct", "trend_signal", "rsi_signal", "macd_state")
     df = market.join(tech, key, "left").join(companies.select(key, F.trim("name").alias("company_name")), key, "left")
     df = df.withColumn("dates_agree", flag(F.col(ts) == F.col("technical_date")))
-    df = percent_ranks(df, {"score_return_7": ("return_7d", True), "score_return_30": ("return_30d", True), "score_return_90": ("return_90d", True), "score_momentum": ("momentum_10_pct", True), "score_volatility": ("volatility", False)}, key=key)
+    df = percent_ranks(df, {"score_return_7": ("return_7d", True), "score_return_30": ("return_30d", True), "score_return_90": ("return_90d", True), "score_momentum": ("momentum_10_pct", True), "score_volatility": ("volatility", False)})
     df = df.withColumns({c: F.coalesce(c, F.lit(50.0)) for c in ("score_return_7", "score_return_30", "score_return_90", "score_momentum", "score_volatility")})
     df = df.withColumns({
         "score_trend": _points("trend_signal", {"BULLISH": 100.0, "BEARISH": 0.0}),
@@ -62,6 +49,6 @@ def performance(metrics: DataFrame, indicators: DataFrame, companies: DataFrame,
         "score_rsi": _points("rsi_signal", {"NEUTRAL": 100.0, "OVERSOLD": 60.0, "OVERBOUGHT": 40.0}),
     })
     df = df.withColumn("composite", sum((F.col(f"score_{n}") * x for n, x in weights.items()), F.lit(0.0)))
-    # One row a key: the global order is over as few rows as there are keys.
-    df = df.withColumns({"performance_rank": F.row_number().over(Window.orderBy(F.round("composite", 9).desc(), key)), "category": bands(F.col("composite"), CATEGORY, "VERY_WEAK")})
+    df = df.withColumn("category", bands(F.col("composite"), CATEGORY, "VERY_WEAK"))
+    df = row_numbers(df, [F.round("composite", 9).desc(), F.col(key)], "performance_rank")
     return rounded(df, {c: 4 for c in ("close", "return_7d", "return_30d", "return_90d", "return_252d", "high_52w", "low_52w", "total_return", "from_high_pct", "from_low_pct", "rsi_14", "momentum_10_pct", "score_return_7", "score_return_30", "score_return_90", "score_momentum", "score_volatility", "composite")} | {"volatility": 6})

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from quaylark.plans.catalog import register
 from quaylark.plans.market import ANOMALIES, INDICATORS, METRICS, events, metrics, r, ranking, raw_metrics
 from quaylark.plans.newsroom import ARTICLES, LINKS, RANKED, ranked
 from quaylark.sources import fixtures as fx
+from quaylark.sources.shared import new_folder
 from quaylark.streaming import ingest as st
 
 
@@ -135,14 +133,11 @@ register("d_distributions", lambda s, d: qa.distribution(events(s, d), _DIST), f
 
 def streamed(s: SparkSession, d: str) -> DataFrame:
     """The latest event of each user and type, by way of the stream."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
-    folder = f"{(base or tempfile.mkdtemp(prefix='/tmp/spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder, keys = new_folder(s, "stream"), ["user_id", "event_type"]
     source = fx.table(s, d, "events")
     source.repartitionByRange(16, "ts").write.parquet(f"{folder}/in")
-    st.upsert_stream(st.read_events(s, f"{folder}/in", source.schema), f"{folder}/table", f"{folder}/state", ["user_id", "event_type"]).awaitTermination()
-    return st.latest_state(s, f"{folder}/table").select("user_id", "event_type", "event_id", "k")
+    st.upsert_stream(st.read_events(s, f"{folder}/in", source.schema), f"{folder}/table", f"{folder}/state", keys).awaitTermination()
+    return st.latest_state(s, f"{folder}/table", keys).select(*keys, "event_id", "k")
 
 
 register("st_newest_events", streamed, "SELECT user_id, event_type, event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
