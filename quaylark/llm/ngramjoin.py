@@ -9,6 +9,8 @@ are counted over all texts in a sketch of fixed size, and what stands out of the
 noise goes to the end, by the logarithm of its count. The second order does so with another
 permutation of the rest; the third is a permutation without regard to frequency. Texts that
 share a passage as many others do then seldom meet, and if they do, seldom in all three.
+Sets of like sizes must share more than one: of the prefix that ends first in an order, all
+tokens but those that the other set may lack are in the other prefix too.
 
 Texts of equal sets are one class. A bucket's members are compared with its first class, the
 hub: those that pass all filters are verified on full sets, and pairs of them by
@@ -19,15 +21,18 @@ members. Links, hubs' blocks and components are those of `neardup`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylark.llm.common import BATCH_BYTES, BATCH_ROWS, col, filter_ids, python_map, stash
-from quaylark.llm.neardup import BLOCK, Shingler, _digest, _mix, exact_components, named_rows
+from quaylark.llm.common import BATCH_BYTES, BATCH_ROWS, BROADCAST_IDS, col, filter_ids, python_map, stash
+from quaylark.llm.neardup import BLOCK, _digest, _mix, exact_components, named_rows
 
 #: The sketch: rows, bits of a counter's number, bits of the pieces in which rows are added up.
 SKETCH_ROWS, SKETCH_BITS, PIECE_BITS = 2, 20, 14
@@ -35,6 +40,44 @@ SKETCH_ROWS, SKETCH_BITS, PIECE_BITS = 2, 20, 14
 ORDERS = ((0x51ED270B, True), (0x2545F491, True), (0x9E3779B9, False))
 
 
+class _Words(dict):
+    """Lower-case word -> 64-bit hash; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        n = self[word] = xxhash.xxh64_intdigest(word)
+        return n
+
+
+class Tokens:
+    """Hashes of the k-word shingles of many texts at a time, the same as `neardup.Shingler`'s."""
+
+    def __init__(self, k: int):
+        self.k, self.hashes = k, _Words()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """In the order of each text; repeated ones repeat."""
+        # Of bytes, lower() and split() know A-Z and the six ASCII spaces only.
+        words = [t.encode("utf-8").lower().split() for t in texts]
+        ends = np.cumsum([len(w) for w in words])
+        h = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0)
+        whole = self._mixed(h, self.k) if len(h) >= self.k else h[:0]
+        out = []
+        for w, end in zip(words, ends):
+            n = len(w)
+            out.append(whole[end - n : end - self.k + 1] if n >= self.k else self._mixed(h[end - n : end], n) if n else h[:0])
+        return out
+
+    @staticmethod
+    def _mixed(h: np.ndarray, size: int) -> np.ndarray:
+        n = len(h) - size + 1
+        s = np.full(n, size, np.uint64)
+        for i in range(size):
+            s = _mix(s + h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        return _mix(s)
+
+
 def _places(tokens: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((tokens >> np.uint64(32 * row)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
@@ -43,10 +86,9 @@ def _counts(k: int, bits: int):
     """Sketches of the texts of a task, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, total = Shingler(k), np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
+        shingles, total = Tokens(k), np.zeros((SKETCH_ROWS, 1 << bits), np.uint32)
         for b in batches:
-            held = [shingle(t) for t in b.column(0).to_pylist()]
-            tokens = np.concatenate([np.zeros(0, np.uint64), *held])
+            tokens = np.concatenate([np.zeros(0, np.uint64), *shingles(b.column(0).to_pylist())])
             for row in range(SKETCH_ROWS):
                 total[row] += np.bincount(_places(tokens, row, bits), minlength=1 << bits).astype(np.uint32)
         parts = total.reshape(-1, 1 << min(bits, PIECE_BITS))
@@ -101,50 +143,62 @@ class Prefixes:
         return [tokens[(np.lexsort((r, level)) if rare else np.argsort(r))[:size]] for r, rare in ranks]
 
 
-def _short(tokens: np.ndarray) -> bytes:
-    """Prefix tokens for a filter, in 32 bits: equal ones stay equal."""
-    return np.unique(tokens >> np.uint64(32)).astype("<u4").tobytes()
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    s = np.sort(tokens)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def signatures(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(id, n, digest, keys, p2, p3) of rows(id, text): set size, digest, and the prefixes under
+    """(id, n, digest, p1, p2, p3) of rows(id, text): set size, digest, and the prefixes under
     the three orders."""
     sent = rows.sparkSession.sparkContext.broadcast(levels)
 
     def make():
-        shingle, prefixes = Shingler(k), Prefixes(sent.value, percent)
+        shingles, prefixes = Tokens(k), Prefixes(sent.value, percent)
 
         def run(b):
-            out: dict[str, list] = {"n": [], "digest": [], "keys": [], "p2": [], "p3": []}
-            for text in b["text"]:
-                s = shingle(text)
+            out: dict[str, list] = {"n": [], "digest": [], "p1": [], "p2": [], "p3": []}
+            for s in map(_distinct, shingles(b["text"])):
                 first, second, third = prefixes(s)
                 out["n"].append(len(s))
                 out["digest"].append(_digest(s))
-                out["keys"].append(first.view(np.int64))
-                out["p2"].append(_short(second))
-                out["p3"].append(_short(third))
+                out["p1"].append(first.view(np.int64))
+                out["p2"].append(second.tobytes())
+                out["p3"].append(third.tobytes())
             return out
 
         return run
 
-    return python_map(rows, make, "n long, digest binary, keys array<long>, p2 binary, p3 binary", ["id"])
+    return python_map(rows, make, "n long, digest binary, p1 array<long>, p2 binary, p3 binary", ["id"])
 
 
-def _meet(a: np.ndarray, b: np.ndarray) -> bool:
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(b, a)
-    return bool((b[np.minimum(at, len(b) - 1)] == a).any()) if len(a) else False
+def least_shared(n, m, percent: int):
+    """Tokens that prefixes of near sets of n and m tokens share under any order.
+
+    Near sets have `overlap` tokens in common. Of the prefix whose last token comes first, the
+    tokens that are in the other set are in its prefix too; n - overlap of them aren't there.
+    """
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(1, overlap + (-percent * np.maximum(n, m) // 100) + 1)
+
+
+def passes(n: int, m: int, x: list[np.ndarray], y: list[np.ndarray], percent: int) -> bool:
+    """Whether sets of n and m tokens with these prefixes may be near."""
+    need = least_shared(n, m, percent)
+    return 100 * min(n, m) >= percent * max(n, m) and all(len(np.intersect1d(a, b, assume_unique=True)) >= need for a, b in zip(x, y))
+
+
+def _read(*prefixes: bytes | list[int]) -> list[np.ndarray]:
+    return [np.frombuffer(p, np.uint64) if isinstance(p, bytes) else np.array(p, np.int64).view(np.uint64) for p in prefixes]
 
 
 def _filters(percent: int):
-    """Whether two sets pass: sizes, then a shared token under the second and the third order."""
+    """Whether two sets pass all filters."""
 
     def make():
         def run(b):
-            own = zip(b["nx"], b["nh"], *(b[c] for c in ("p2_x", "p2_h", "p3_x", "p3_h")))
-            read = lambda x: np.frombuffer(x, "<u4")
-            return {"near": [100 * min(n, m) >= percent * max(n, m) and _meet(read(p), read(q)) and _meet(read(r), read(s)) for n, m, p, q, r, s in own]}
+            own = zip(*(b[c] for c in ("nx", "nh", "p1_x", "p2_x", "p3_x", "p1_h", "p2_h", "p3_h")))
+            return {"near": [passes(n, m, _read(*p[:3]), _read(*p[3:]), percent) for n, m, *p in own]}
 
         return run
 
@@ -152,9 +206,9 @@ def _filters(percent: int):
 
 
 def _shared(prefixes: list[bytes], some: int) -> np.ndarray:
-    """[i, j]: whether the first `some` prefixes share a token with each."""
-    own = [np.frombuffer(p, "<u4") for p in prefixes]
-    tokens = np.concatenate([np.zeros(0, np.uint32), *own])
+    """[i, j]: how many tokens the first `some` prefixes share with each."""
+    own = _read(*prefixes)
+    tokens = np.concatenate([np.zeros(0, np.uint64), *own])
     at = np.repeat(np.arange(len(own)), [len(p) for p in own])
     _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
     twice = counts > 1
@@ -163,12 +217,13 @@ def _shared(prefixes: list[bytes], some: int) -> np.ndarray:
     order = np.argsort(place, kind="stable")
     at, place = at[order], place[order]
     out = np.zeros((some, len(own)), np.float32)
-    for c in range(0, int(twice.sum()), 2048):
+    columns = int(twice.sum())
+    for c in range(0, columns, 2048):
         a, b = np.searchsorted(place, (c, c + 2048))
-        m = np.zeros((len(own), 2048), np.float32)
+        m = np.zeros((len(own), min(2048, columns - c)), np.float32)
         m[at[a:b], place[a:b] - c] = 1
         out += m[:some] @ m.T
-    return out > 0
+    return out
 
 
 def _beside(percent: int):
@@ -187,7 +242,9 @@ def _beside(percent: int):
                 return []
             n = np.array([r["n"] for r in every], np.int64)
             least, most = np.minimum(n[: len(scan), None], n), np.maximum(n[: len(scan), None], n)
-            near = (100 * least >= percent * most) & _shared([r["p2"] for r in every], len(scan)) & _shared([r["p3"] for r in every], len(scan))
+            near, need = 100 * least >= percent * most, least_shared(least, most, percent)
+            for p in ("p1", "p2", "p3"):
+                near &= _shared([r[p] for r in every], len(scan)) >= need
             out, hubs = [], []
             for c in range(len(scan)):
                 mine = near[c].copy()
@@ -210,38 +267,53 @@ def _candidates(classes: DataFrame, signed: DataFrame, percent: int, block: int)
     """near(x, h, nx, nh): pairs of classes that pass all filters, such that each two classes
     which do are one of the pairs or both with one h."""
     head = filter_ids(signed, "row", classes.select("cid"), keep=True)
-    banded = head.select(F.col("row").alias("cid"), F.explode("keys").alias("key"))
+    banded = head.select(F.col("row").alias("cid"), F.explode("p1").alias("key"))
     # The class of the smallest number is the hub; a token of one class makes no bucket.
-    buckets = banded.groupBy("key").agg(F.min("cid").alias("h"), F.max("cid").alias("m")).where("h < m").select("key", "h")
-    star = stash(banded.join(buckets, "key").where("cid <> h").select("key", F.col("cid").alias("x"), "h"))
-    known = stash(filter_ids(head, "row", star.select("x").union(star.select("h")).distinct(), keep=True).select(F.col("row").alias("cid"), "n", "p2", "p3"))
-    side = lambda x: known.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}"))
-    pairs = star.select("x", "h").distinct().join(side("x"), "x").join(side("h"), "h")
-    met = stash(python_map(pairs, _filters(percent), "near boolean", ["x", "h", "nx", "nh"], ["nx", "nh", "p2_x", "p2_h", "p3_x", "p3_h"]))
+    buckets = stash(banded.groupBy("key").agg(F.min("cid").alias("h"), F.max("cid").alias("m")).where("h < m").select("key", "h"))
+    few = F.broadcast(buckets) if buckets.count() <= BROADCAST_IDS else buckets
+    star = stash(banded.join(few, "key").where("cid <> h").select("key", F.col("cid").alias("x"), "h"))
+    sizes = classes.select("cid", "n")
+    pairs = star.select("x", "h").distinct().join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("h", "nh"), "h")
+    # Sizes tell most pairs apart before any prefix moves.
+    alike = F.least("nx", "nh") * 100 >= F.greatest("nx", "nh") * percent
+    pairs = stash(pairs.withColumn("alike", alike))
+    known = head.select(F.col("row").alias("cid"), "n", "p1", "p2", "p3")
+    near = python_map(_with_prefixes(pairs.where("alike").drop("alike"), known), _filters(percent), "near boolean", ["x", "h", "nx", "nh"], ["nx", "nh", *(f"p{i}_{c}" for i in (1, 2, 3) for c in "xh")])
+    met = stash(near.unionByName(pairs.where("not alike").select("x", "h", "nx", "nh", F.lit(False).alias("near"))))
     more = _pairs_beside_hubs(star, met, known, percent, block)
-    sizes = known.select("cid", "n")
     more = more.join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("h", "nh"), "h")
     return met.where("near").select("x", "h", "nx", "nh").union(more.select("x", "h", "nx", "nh"))
 
 
+def _with_prefixes(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """pairs(x, h, ...) with the prefixes p1_x ... p3_h of both."""
+    needed = stash(pairs.select("x").union(pairs.select("h")).distinct())
+    own = filter_ids(known, "cid", needed, keep=True)
+    side = lambda x: own.select(F.col("cid").alias(x), *(F.col(f"p{i}").alias(f"p{i}_{x}") for i in (1, 2, 3)))
+    return pairs.join(side("x"), "x").join(side("h"), "h")
+
+
 def _pairs_beside_hubs(star: DataFrame, met: DataFrame, known: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs (x, h) of bucket members that pass the filters, of which one at least doesn't with
-    the bucket's hub. Buckets of the same members are one."""
-    held = star.join(met.select("x", "h", "near"), ["x", "h"])
-    of_bucket = held.groupBy("key").agg(
+    the bucket's hub. A bucket is cut by set size: members are in the band of their own and in
+    the next one, so that those of like sizes meet. Buckets of the same members are one."""
+    band = F.floor(F.log(F.col("nx")) / (-1.000001 * math.log(percent / 100))).cast("int")
+    held = star.join(met.select("x", "h", "nx", "near"), ["x", "h"]).select("key", F.explode(F.array(band, band + 1)).alias("band"), "x", "h", "near")
+    of_bucket = held.groupBy("key", "band").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_far"), F.min("h").alias("h"),
         F.bit_xor(F.xxhash64("x")).alias("m1"), F.bit_xor(F.xxhash64("x", F.lit("members"))).alias("m2"))
-    one = of_bucket.where("n > 1 and n_far > 0").groupBy("h", "n", "n_far", "m1", "m2").agg(F.min("key").alias("key"))
+    one = of_bucket.where("n > 1 and n_far > 0").groupBy("h", "n", "n_far", "m1", "m2").agg(F.min(F.struct("key", "band")).alias("k")).select("k.key", "k.band", "n", "n_far")
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    left = held.join(one.select("key", blocks("n").alias("ms"), blocks("n_far").alias("fs")), "key").select("key", "x", "near", "ms", "fs")
-    rows = left.join(known.withColumnRenamed("cid", "x"), "x")
+    left = stash(held.join(one.select("key", "band", blocks("n").alias("ms"), blocks("n_far").alias("fs")), ["key", "band"]).select("key", "band", "x", "near", "ms", "fs"))
+    needed = stash(left.select("x").distinct())
+    rows = left.join(filter_ids(known, "cid", needed, keep=True).withColumnRenamed("cid", "x"), "x")
     hashed, each = F.xxhash64("x"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    member = F.struct("x", "n", "p2", "p3")
-    none = F.lit(None).cast("struct<x:bigint,n:bigint,p2:binary,p3:binary>")
-    scan = rows.where(~F.col("near")).select("key", F.pmod(hashed, "fs").cast("int").alias("bf"), each("ms").alias("bm"), member.alias("s"), none.alias("r"))
-    rest = rows.select("key", each("fs").alias("bf"), F.pmod(hashed, "ms").cast("int").alias("bm"), none.alias("s"), member.alias("r"))
+    member = F.struct("x", "n", "p1", "p2", "p3")
+    none = F.lit(None).cast("struct<x:bigint,n:bigint,p1:array<bigint>,p2:binary,p3:binary>")
+    scan = rows.where(~F.col("near")).select("key", "band", F.pmod(hashed, "fs").cast("int").alias("bf"), each("ms").alias("bm"), member.alias("s"), none.alias("r"))
+    rest = rows.select("key", "band", each("fs").alias("bf"), F.pmod(hashed, "ms").cast("int").alias("bm"), none.alias("s"), member.alias("r"))
     # No task holds more of a bucket than two blocks at a time.
-    dealt = scan.union(rest).groupBy("key", "bf", "bm").agg(F.collect_list("s").alias("scan"), F.collect_list("r").alias("rest"))
+    dealt = scan.union(rest).groupBy("key", "band", "bf", "bm").agg(F.collect_list("s").alias("scan"), F.collect_list("r").alias("rest"))
     found = python_map(dealt, _beside(percent), "pairs array<struct<x:bigint,h:bigint>>", [], ["scan", "rest"])
     return found.select(F.explode("pairs").alias("p")).select("p.x", "p.h").distinct()
 

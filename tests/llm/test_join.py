@@ -25,7 +25,9 @@ def test_prefixes_of_near_sets_meet_under_every_order():
             b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 1 << 63, lost // 3).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 85 * (len(a) + len(b) - both):
-                assert all(len(np.intersect1d(x, y)) for x, y in zip(prefixes(a), prefixes(b)))
+                need = ngramjoin.least_shared(len(a), len(b), 85)
+                assert all(len(np.intersect1d(x, y)) >= need for x, y in zip(prefixes(a), prefixes(b)))
+                assert ngramjoin.passes(len(a), len(b), prefixes(a), prefixes(b), 85)
 
 
 def test_sketch_counts_all_texts(spark):
@@ -70,12 +72,21 @@ def test_links_beside_hubs(spark, block):
 
 
 def test_every_pair_that_passes_is_given_out_or_shares_a_hub():
-    rng = random.Random(18)
-    rows = [{"x": i, "n": rng.randint(8, 12), **{p: np.unique(np.array(rng.sample(range(30), 6), "<u4")).tobytes() for p in ("p2", "p3")}} for i in range(40)]
-    meet = lambda a, b, p: bool(set(np.frombuffer(a[p], "<u4")) & set(np.frombuffer(b[p], "<u4")))
-    near = {(a["x"], b["x"]) for a, b in combinations(rows, 2) if 100 * min(a["n"], b["n"]) >= 85 * max(a["n"], b["n"]) and meet(a, b, "p2") and meet(a, b, "p3")}
-    scan = rows[:25]
-    out = ngramjoin._beside(85)()({"scan": [list(scan)], "rest": [list(rows)]})["pairs"][0]
+    rng = np.random.default_rng(18)
+    prefixes, rows, near = ngramjoin.Prefixes(np.zeros((2, 1 << 8), np.uint8), 70), [], set()
+    base = rng.integers(0, 1 << 63, (3, 60)).astype(np.uint64)
+    for i in range(40):
+        own = np.unique(np.concatenate([rng.permutation(base[i % 3])[: rng.integers(45, 60)], rng.integers(0, 1 << 63, 6).astype(np.uint64)]))
+        p1, p2, p3 = prefixes(own)
+        rows.append({"x": i, "n": len(own), "own": own, "p1": p1.view(np.int64).tolist(), "p2": p2.tobytes(), "p3": p3.tobytes()})
+    for a, b in combinations(rows, 2):
+        both = len(np.intersect1d(a["own"], b["own"]))
+        may = ngramjoin.passes(a["n"], b["n"], ngramjoin._read(*(a[p] for p in ("p1", "p2", "p3"))), ngramjoin._read(*(b[p] for p in ("p1", "p2", "p3"))), 70)
+        assert may or 100 * both < 70 * (a["n"] + b["n"] - both)  # no near pair fails
+        if may:
+            near.add((a["x"], b["x"]))
+    assert 0 < len(near) < 700
+    out = ngramjoin._beside(70)()({"scan": [rows[:25]], "rest": [list(rows)]})["pairs"][0]
     given = {tuple(sorted((p["x"], p["h"]))) for p in out}
     assert given <= near
     hubs: dict = {}
@@ -84,6 +95,14 @@ def test_every_pair_that_passes_is_given_out_or_shares_a_hub():
     assert all((a, b) in given or any({a, b} <= h for h in hubs.values()) for a, b in near if a < 25 or b < 25)
 
 
+def test_tokens_are_those_of_the_shingler():
+    rng = random.Random(20)
+    texts = ["", " ", "One", "one TWO", "A b\xa0c d\x1ce f", "Ünï ÉÉ ßs a b", *(" ".join(words(rng, n)) for n in (3, 4, 5, 300)), "  lead\t\n\x0btail  a b c "]
+    for k in (1, 4, 5):
+        shingle = neardup.Shingler(k)
+        assert [np.unique(x).tolist() for x in ngramjoin.Tokens(k)(texts)] == [shingle(t).tolist() for t in texts]
+
+
 def test_null_and_repeated_ids_and_long_texts(spark):
     rng = random.Random(19)
     t = " ".join(words(rng, 30))
