@@ -148,3 +148,16 @@ def ranking_quality(ranked: DataFrame) -> DataFrame:
     per = ranked.groupBy("ticker", "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("title_match").alias("t"), F.max("relevance_score").alias("best"), F.min("relevance_score").alias("worst"), F.sum("relevance_score").alias("total"))
     n = F.sum("n")
     return per.groupBy("ticker").agg(F.count(F.lit(1)).alias("events"), n.alias("links"), F.round(100.0 * F.sum("t") / n, 4).alias("title_pct"), F.max("best").alias("max_score"), F.min("worst").alias("min_score"), F.round(F.round(F.sum("total") / n, 9), 4).alias("avg_score"))
+
+
+def ranking_levels(top: DataFrame) -> DataFrame:
+    """Top news of each event, rolled up per ticker and over all (level, ticker): events, least,
+    mean and most top news, context news, direct and title matches of an event, and scores."""
+    per = top.groupBy("ticker", "event_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(flag(F.col("context_rank") <= 5)).alias("context"), F.count_if(F.col("match_level") != "NONE").alias("direct"), F.count_if("title_match").alias("title"),
+        F.min("relevance_score").alias("worst"), F.max("relevance_score").alias("best"), F.sum("relevance_score").alias("total"))
+    four = lambda x: F.round(F.round(x, 9), 4)
+    spread = [f for c in ("n", "context", "direct", "title") for f in (F.min(c).alias(f"min_{c}"), four(F.avg(c)).alias(f"avg_{c}"), F.max(c).alias(f"max_{c}"))]
+    rates = [four(100.0 * F.sum(c) / F.sum("n")).alias(f"{c}_pct") for c in ("direct", "title")]
+    out = per.groupingSets([["ticker"], []], "ticker").agg(F.count(F.lit(1)).alias("events"), *spread, *rates, F.min("worst").alias("min_score"), four(F.sum("total") / F.sum("n")).alias("avg_score"), F.max("best").alias("max_score"), F.grouping_id().alias("_g"))
+    return out.select(F.when(F.col("_g") == 0, "TICKER").otherwise("ALL").alias("level"), *[c for c in out.columns if c != "_g"])

@@ -58,3 +58,17 @@ def load_audit(table: DataFrame, keys: list[str], ts: str) -> DataFrame:
     per = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     nulls = [F.sum(F.when(F.col(k).isNull(), F.col("_n")).otherwise(0)).alias(f"null_{k}") for k in keys]
     return per.agg(F.sum("_n").alias("n_rows"), F.min("_lo").alias("first"), F.max("_hi").alias("last"), F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("_n") > 1).alias("duplicate_keys"), *nulls)
+
+
+def null_audit(table: DataFrame) -> DataFrame:
+    """(name, nulls, n_rows) of every column, from one pass."""
+    counts = table.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"c{i}") for i, c in enumerate(table.columns)])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"c{i}").alias("nulls")) for i, c in enumerate(table.columns)]))
+    return counts.select(pairs.alias("x"), "n").select("x.name", "x.nulls", F.col("n").alias("n_rows"))
+
+
+def newest(table: DataFrame, ts: str, keys: list[str], *, n: int = 20) -> DataFrame:
+    """The n newest rows with their `place`; each task keeps no more than n of its own. Rows of
+    equal time are in the order of their keys."""
+    order = [F.col(ts).desc_nulls_last(), *keys]
+    return table.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows

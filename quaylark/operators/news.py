@@ -10,16 +10,20 @@ from quaylark.operators.ranks import row_numbers
 
 # The sentiments that daily analytics know.
 SENTIMENTS = ("positive", "negative", "neutral")
+TEXT = ("title", "author", "description", "article_url", "amp_url", "image_url", "publisher_name", "publisher_homepage_url")
 INSIGHTS = "array<struct<ticker:string,sentiment:string,sentiment_reasoning:string>>"
 
 
 def clean_news(raw: DataFrame) -> DataFrame:
     """Trimmed text, upper-case keys, parsed JSON with tidy members, own insight, validity.
 
-    Malformed JSON becomes null and is told by bad_tickers and bad_insights. Rows that fail
-    a rule stay, with valid = false.
+    Malformed JSON becomes null and is told by bad_tickers, bad_insights and, if raw has
+    keywords, bad_keywords. Rows that fail a rule stay, with valid = false.
     """
-    df = raw.withColumns({"requested_ticker": F.upper(F.trim("requested_ticker")), "title": F.trim("title"), "description": F.trim("description"), "publisher_name": F.trim("publisher_name")})
+    df = raw.withColumns({"requested_ticker": F.upper(F.trim("requested_ticker"))} | {c: F.trim(c) for c in TEXT if c in raw.columns})
+    if "keywords_json" in raw.columns:
+        df = df.withColumn("_k", F.from_json("keywords_json", "array<string>"))
+        df = df.withColumns({"keywords": F.transform("_k", lambda k: F.trim(k)), "bad_keywords": F.col("keywords_json").isNotNull() & F.col("_k").isNull()})
     df = df.withColumns({"_t": F.from_json("tickers_json", "array<string>"), "_i": F.from_json("insights_json", INSIGHTS)})
     df = df.withColumns({
         "tickers": F.transform("_t", lambda t: F.upper(F.trim(t))),
@@ -31,7 +35,7 @@ def clean_news(raw: DataFrame) -> DataFrame:
     own = first_insight(F.col("insights"), F.col("requested_ticker"))
     df = df.withColumns({"own_sentiment": own["sentiment"], "own_reasoning": own["sentiment_reasoning"]})
     ok = F.col("article_id").isNotNull() & F.col("requested_ticker").isNotNull() & (F.coalesce(F.col("title"), F.lit("")) != "") & F.col("published_utc").isNotNull()
-    return df.withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_t", "_i")
+    return df.withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_t", "_i", "_k")
 
 
 def duplicate_profile(news: DataFrame, keys: tuple[str, ...] = ("article_id", "requested_ticker"), *, top: int = 20) -> DataFrame:
@@ -107,6 +111,23 @@ def news_summary(rel: DataFrame, companies: DataFrame, *, days: tuple[int, ...]
     return row_numbers(out, [F.col(f"d{longest}_articles").desc(), F.col("ticker")], "volume_rank")
 
 
+def parse_failures(cleaned: DataFrame) -> DataFrame:
+    """One row: valid rows, and those of them whose JSON text doesn't parse, for each column."""
+    bad = [c for c in ("bad_tickers", "bad_keywords", "bad_insights") if c in cleaned.columns]
+    return cleaned.where("valid").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(c) for c in bad])
+
+
+def coverage_levels(rel: DataFrame, events: DataFrame) -> DataFrame:
+    """(level, ticker, month) with rows, first and last day of news and of events: for each
+    ticker, for each month and over all, from one aggregate of grouping sets."""
+    day = lambda df, c, is_news: df.select("ticker", F.col(c).alias("day"), F.lit(is_news).alias("is_news"))
+    both = day(rel, "published_date", True).unionByName(day(events, "date", False)).withColumn("month", F.date_format("day", "yyyy-MM"))
+    sides = (("news", F.col("is_news")), ("events", ~F.col("is_news")))
+    aggs = [f(F.when(w, F.col("day"))).alias(f"{n}_{k}") for n, w in sides for k, f in (("rows", F.count), ("first", F.min), ("last", F.max))]
+    out = both.groupingSets([["ticker"], ["month"], []], "ticker", "month").agg(*aggs, F.grouping_id().alias("_g"))
+    return out.select(F.when(F.col("_g") == 1, "TICKER").when(F.col("_g") == 2, "MONTH").otherwise("ALL").alias("level"), "ticker", "month", *[f"{n}_{k}" for n, _ in sides for k in ("rows", "first", "last")])
+
+
 def coverage(rel: DataFrame) -> DataFrame:
     """First and last day and articles of each ticker and month."""
     return rel.groupBy("ticker", F.date_format("published_date", "yyyy-MM").alias("month")).agg(F.min("published_date").alias("first_date"), F.max("published_date").alias("last_date"), F.count_distinct("article_id").alias("articles"))

@@ -74,3 +74,16 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, value, n) of several columns in one aggregate."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
     return df.select(pairs.alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def parts_add_up(df: DataFrame, totals: Mapping[str, tuple[str, list[str]]]) -> DataFrame:
+    """Rules name -> (total, parts): rows whose parts, unknown ones as 0, don't add up to it."""
+    return row_rules(df, {name: sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0)) != F.coalesce(total, F.lit(0)) for name, (total, parts) in totals.items()})
+
+
+def within(measures: DataFrame, limits: DataFrame) -> DataFrame:
+    """measures(rule, value) against limits(rule, low, high): each limit with its value and whether
+    it holds. An open end is null; a value that is unknown or wasn't measured fails."""
+    value = F.round(F.round("value", 9), 4)
+    held = (F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") <= F.col("high")))
+    return limits.join(measures, "rule", "left").select("rule", value.alias("value"), "low", "high", flag(held & F.col("value").isNotNull()).alias("passed"))

@@ -14,7 +14,7 @@ from quaylark.plans.catalog import register
 from quaylark.plans.market import ANOMALIES, INDICATORS, METRICS, events, metrics, r, ranking, raw_metrics
 from quaylark.plans.newsroom import ARTICLES, LINKS, RANKED, ranked
 from quaylark.sources import fixtures as fx
-from quaylark.sources.shared import new_folder
+from quaylark.sources.shared import new_folder, stored
 from quaylark.streaming import ingest as st
 
 
@@ -100,7 +100,7 @@ register("q_report_page", lambda s, d: sv.report_page(reports(s, d), 2, ts="date
 def quality(s: SparkSession, d: str) -> DataFrame:
     """The library's rules over its own outputs."""
     # Each of these tables is read by several rules and computed once.
-    bars, m, e, tech, perf, rk = (x.persist() for x in (fx.bars(s, d), raw_metrics(s, d), events(s, d), ti.indicators(fx.bars(s, d)), ranking(s, d), ranked(s, d)))
+    bars, m, e, tech, perf, rk = (stored(x) for x in (fx.bars(s, d), raw_metrics(s, d), events(s, d), ti.indicators(fx.bars(s, d)), ranking(s, d), ranked(s, d)))
     close, prev = F.col("close"), F.col("previous_close")
     return qa.verdict(s, [
         qa.non_empty("bars: not empty", bars), qa.unique("bars: one row a key and day", bars, ["ticker", "date"]),

@@ -89,7 +89,7 @@ register("s_typed_read", typed_events, "SELECT event_id, CASE WHEN event_id % 10
 def payload_news(s: SparkSession, d: str) -> DataFrame:
     n = fx.news(s, d)
     p = n.select(F.when(F.col("n") % 31 != 0, F.col("article_id")).alias("id"), "requested_ticker", "title", F.struct(F.col("publisher_name").alias("name"), F.concat(F.lit("https://"), "publisher_name").alias("homepage_url")).alias("publisher"), F.date_format("published_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_utc"), "tickers")
-    return tb.flatten_news(p).withColumn("published_utc", F.date_format("published_utc", "yyyy-MM-dd HH:mm:ss"))
+    return tb.flatten_news(p).select("article_id", "requested_ticker", "title", "publisher_name", "publisher_homepage_url", F.date_format("published_utc", "yyyy-MM-dd HH:mm:ss").alias("published_utc"), "tickers_json")
 
 
 register("s_flatten_news", payload_news, f"""WITH {fx.NEWS} SELECT article_id, requested_ticker, title, publisher_name, 'https://' || publisher_name AS publisher_homepage_url, strftime(published_utc, '%Y-%m-%d %H:%M:%S') AS published_utc,

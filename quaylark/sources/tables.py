@@ -38,12 +38,23 @@ def flatten_bars(payload: DataFrame, *, drop_undated: bool = True) -> DataFrame:
     return df.where("date is not null") if drop_undated else df
 
 
+# The columns of news as loaded.
+NEWS_TEXT = ("title", "author", "description", "article_url", "amp_url", "image_url")
+PUBLISHER = ("name", "homepage_url", "logo_url", "favicon_url")
+NEWS_LISTS = ("tickers", "keywords", "insights")
+NEWS = {"article_id": "string", "requested_ticker": "string"} | {c: "string" for c in NEWS_TEXT} | {"published_utc": "timestamp"} | {f"publisher_{c}": "string" for c in PUBLISHER} | {f"{c}_json": "string" for c in NEWS_LISTS} | {"_ingested_at": "timestamp", "_source": "string"}
+
+
 def flatten_news(payload: DataFrame) -> DataFrame:
-    """Lifts publisher fields, keeps lists as JSON text; drops rows without id or time."""
-    empty = F.array()
+    """Lifts publisher fields, keeps lists as JSON text (a missing list is empty); drops rows
+    without id or time. Columns and fields that the payload lacks are null."""
+    has = lambda c: c in payload.columns
+    fields = payload.schema["publisher"].dataType.fieldNames() if has("publisher") else []
+    none = F.lit(None).cast("string")
+    lists = [F.coalesce(F.to_json(c), F.lit("[]")) if has(c) else F.lit("[]") for c in NEWS_LISTS]
     return payload.select(
-        F.col("id").alias("article_id"), "requested_ticker", "title", F.col("publisher.name").alias("publisher_name"), F.col("publisher.homepage_url").alias("publisher_homepage_url"),
-        parse_time(F.col("published_utc")).alias("published_utc"), F.to_json(F.coalesce("tickers", empty.cast("array<string>"))).alias("tickers_json"),
+        F.col("id").alias("article_id"), "requested_ticker", *[(F.col(c) if has(c) else none).alias(c) for c in NEWS_TEXT], parse_time(F.col("published_utc")).alias("published_utc"),
+        *[(F.col(f"publisher.{c}") if c in fields else none).alias(f"publisher_{c}") for c in PUBLISHER], *[x.alias(f"{c}_json") for c, x in zip(NEWS_LISTS, lists)],
     ).where("article_id is not null and published_utc is not null")
 
 
@@ -55,6 +66,7 @@ COMPANY = {
     "share_class_shares_outstanding": "long", "round_lot": "long",
 }
 ADDRESS, BRANDING = ("address1", "city", "state", "postal_code"), ("logo_url", "icon_url")
+COMPANY_LOADED = COMPANY | {c: "string" for c in ADDRESS + BRANDING} | {"_ingested_at": "timestamp", "_source": "string"}
 
 
 def flatten_company(payload: DataFrame) -> DataFrame:
@@ -71,11 +83,36 @@ def overwrite(df: DataFrame, path: str, *, partition_by: list[str] | None = None
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def ensure_table(spark: SparkSession, name: str, ddl: str) -> None:
-    """Creates database and Parquet table where they are missing."""
+def ensure_table(spark: SparkSession, name: str, ddl: str, *, partition_by: list[str] | None = None, path: str | None = None) -> None:
+    """Creates database and Parquet table where they are missing; a second call changes nothing."""
     if "." in name:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name.rsplit('.', 1)[0]}")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet")
+    parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{parts}" + (f" LOCATION '{path}'" if path else ""))
+
+
+def widen(df: DataFrame, name: str) -> None:
+    """Adds the columns to the table that df has and it lacks; its own keep their types."""
+    spark = df.sparkSession
+    held = {c.lower() for c in spark.table(name).columns}
+    new = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name.lower() not in held]
+    if new:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(new)})")
+
+
+def overwrite_partitions(df: DataFrame, name: str) -> None:
+    """Rewrites the partitions that df has rows of and leaves the others; columns that df lacks
+    are null. The files are staged and take the old ones' place when all are written."""
+    spark = df.sparkSession
+    widen(df, name)
+    columns = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType) for f in spark.table(name).schema]
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")  # a write into a table takes it from the session only
+    try:
+        df.select(*columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
 
 
 def layout(df: DataFrame) -> DataFrame:

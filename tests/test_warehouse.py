@@ -93,3 +93,47 @@ def test_typed_read(spark):
     df = spark.createDataFrame([("1", "2020-01-01T00:00:00Z", "x"), ("z", "never", "2")], "a string, t string, n string")
     got = tables.typed(df, {"a": "int", "t": "timestamp", "n": "int", "missing": "double"}).collect()
     assert got[0]["a"] == 1 and got[0]["n"] is None and got[1]["t"] is None and got[1]["missing"] is None
+
+
+def test_company_rules(spark):
+    df = spark.createDataFrame([(" a ", " Ann ", "NYSE ", -1.0, None), ("", "x", "us", None, 5), (None, " ", None, 0.0, 0)], "ticker string, name string, market string, market_cap double, round_lot long")
+    df = df.withColumns({c: F.lit(None).cast("long") for c in clean.COMPANY_NUMBERS if c not in df.columns})
+    got = [(r["ticker"], r["market"], ",".join(r["failed"])) for r in clean.judge(clean.normalise_companies(df), clean.company_rules()).collect()]
+    assert got == [("A", "nyse", "market_cap"), ("", "us", "ticker"), (None, None, "ticker,name")]
+    assert sum(map(len, clean.COMPANY_TEXT.values())) == 23
+
+
+def test_levels_of_coverage(spark):
+    day = dt.date
+    rel = spark.createDataFrame([("A", day(2020, 1, 1)), ("A", day(2020, 2, 1)), ("B", day(2020, 2, 3))], "ticker string, published_date date")
+    events = spark.createDataFrame([("A", day(2020, 2, 9)), ("C", day(2020, 3, 1))], "ticker string, date date")
+    got = {(r["level"], r["ticker"], r["month"]): tuple(r)[3:] for r in news.coverage_levels(rel, events).collect()}
+    assert got["ALL", None, None] == (3, day(2020, 1, 1), day(2020, 2, 3), 2, day(2020, 2, 9), day(2020, 3, 1))
+    assert got["TICKER", "C", None] == (0, None, None, 1, day(2020, 3, 1), day(2020, 3, 1)) and got["MONTH", None, "2020-02"][0] == 2 and len(got) == 7
+
+
+def test_rewriting_one_partition(spark, tmp_path):
+    path, name = f"file://{tmp_path}/t", "t_rewrite"
+    for _ in range(2):
+        tables.ensure_table(spark, name, "k INT, v STRING, p INT", partition_by=["p"], path=path)
+    try:
+        tables.overwrite_partitions(spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, p int"), name)
+        tables.overwrite_partitions(spark.createDataFrame([(3, 2, 7.5)], "k int, p int, extra double"), name)
+        got = sorted(tuple(r) for r in spark.table(name).select("k", "v", "extra", "p").collect())
+        assert got == [(1, "a", None, 1), (3, None, 7.5, 2)] and spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_limits_and_totals(spark):
+    limits = spark.createDataFrame([("a", 0.0, 10.0), ("b", 90.0, None), ("c", None, 1.0)], "rule string, low double, high double")
+    got = {r["rule"]: r["passed"] for r in quality.within(spark.createDataFrame([("a", 10.0), ("b", 89.0)], "rule string, value double"), limits).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+    df = spark.createDataFrame([(3, 1, 2), (3, 1, 1), (1, 1, None)], "t int, x int, y int")
+    assert [r["violations"] for r in quality.parts_add_up(df, {"r": ("t", ["x", "y"])}).collect()] == [1]
+
+
+def test_audit_of_loads(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "x", dt.datetime(2020, 1, 1 + i % 5)) for i in range(30)], "i int, t string, at timestamp")
+    assert {r["name"]: (r["nulls"], r["n_rows"]) for r in ingest.null_audit(df).collect()} == {"i": (0, 30), "t": (20, 30), "at": (0, 30)}
+    assert [(r["place"], r["i"]) for r in ingest.newest(df, "at", ["i"], n=7).orderBy("place").collect()] == list(zip(range(1, 8), [4, 9, 14, 19, 24, 29, 3]))
