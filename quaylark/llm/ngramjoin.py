@@ -15,13 +15,14 @@ tokens but those that the other set may lack are in the other prefix too.
 Texts of equal sets are one class. A bucket's members are compared with its first class, the
 hub: those that pass all filters are verified on full sets, and pairs of them by
 their exact differences to it. Members that fail a filter with the hub are compared with all
-others of the bucket, block against block and once for all buckets that have the same
-members. Links, hubs' blocks and components are those of `neardup`.
+others of the bucket by the second and the third order, block against block and once for all
+buckets that have the same members. Links, hubs' blocks and components are those of `neardup`.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,7 +36,7 @@ from quaylark.llm.common import BATCH_BYTES, BATCH_ROWS, BROADCAST_IDS, col, fil
 from quaylark.llm.neardup import BLOCK, _digest, _mix, exact_components, named_rows
 
 #: The sketch: rows, bits of a counter's number, bits of the pieces in which rows are added up.
-SKETCH_ROWS, SKETCH_BITS, PIECE_BITS = 2, 20, 14
+SKETCH_ROWS, SKETCH_BITS, PIECE_BITS = 2, 22, 16
 #: Seeds of the permutations, and whether an order puts frequent tokens last.
 ORDERS = ((0x51ED270B, True), (0x2545F491, True), (0x9E3779B9, False))
 
@@ -82,6 +83,12 @@ def _places(tokens: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((tokens >> np.uint64(32 * row)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a piece, most of them small: the width of each, then all of them, compressed."""
+    kind = "<u1" if counts.max() < 256 else "<u4"
+    return kind.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
 def _counts(k: int, bits: int):
     """Sketches of the texts of a task, in pieces."""
 
@@ -93,7 +100,7 @@ def _counts(k: int, bits: int):
                 total[row] += np.bincount(_places(tokens, row, bits), minlength=1 << bits).astype(np.uint32)
         parts = total.reshape(-1, 1 << min(bits, PIECE_BITS))
         some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].astype("<u4").tobytes() for i in some], pa.binary())], names=["piece", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_packed(parts[i]) for i in some], pa.binary())], names=["piece", "counts"])
 
     return run
 
@@ -103,7 +110,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for piece, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = np.frombuffer(counts, "<u4").astype(np.uint64)
+            own = np.frombuffer(zlib.decompress(counts[3:]), counts[:3].decode()).astype(np.uint64)
             total[piece] = total[piece] + own if piece in total else own
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
 
@@ -115,12 +122,12 @@ def token_levels(rows: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     parts = stash(rows.select("text").mapInArrow(_counts(k, bits), "piece int, counts binary"))
-    total = np.zeros((SKETCH_ROWS << bits >> min(bits, PIECE_BITS), 1 << min(bits, PIECE_BITS)), np.float64)
+    total = np.zeros((SKETCH_ROWS << bits >> min(bits, PIECE_BITS), 1 << min(bits, PIECE_BITS)), np.float32)
     for r in parts.repartition("piece").mapInArrow(_added, "piece int, counts binary").collect():
         total[r["piece"]] = np.frombuffer(r["counts"], np.uint64)
     total = total.reshape(SKETCH_ROWS, 1 << bits)
     middle = np.median(total, axis=1, keepdims=True)
-    return np.floor(np.log2(1 + np.maximum(0, total - middle) / (1 + 3 * np.sqrt(middle)))).astype(np.uint8)
+    return np.floor(np.log2(1 + np.maximum(0, total - middle) / (1 + np.sqrt(middle)))).astype(np.uint8)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -243,7 +250,7 @@ def _beside(percent: int):
             n = np.array([r["n"] for r in every], np.int64)
             least, most = np.minimum(n[: len(scan), None], n), np.maximum(n[: len(scan), None], n)
             near, need = 100 * least >= percent * most, least_shared(least, most, percent)
-            for p in ("p1", "p2", "p3"):
+            for p in ("p2", "p3"):
                 near &= _shared([r[p] for r in every], len(scan)) >= need
             out, hubs = [], []
             for c in range(len(scan)):
@@ -306,10 +313,10 @@ def _pairs_beside_hubs(star: DataFrame, met: DataFrame, known: DataFrame, percen
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
     left = stash(held.join(one.select("key", "band", blocks("n").alias("ms"), blocks("n_far").alias("fs")), ["key", "band"]).select("key", "band", "x", "near", "ms", "fs"))
     needed = stash(left.select("x").distinct())
-    rows = left.join(filter_ids(known, "cid", needed, keep=True).withColumnRenamed("cid", "x"), "x")
+    rows = left.join(filter_ids(known, "cid", needed, keep=True).select(F.col("cid").alias("x"), "n", "p2", "p3"), "x")
     hashed, each = F.xxhash64("x"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    member = F.struct("x", "n", "p1", "p2", "p3")
-    none = F.lit(None).cast("struct<x:bigint,n:bigint,p1:array<bigint>,p2:binary,p3:binary>")
+    member = F.struct("x", "n", "p2", "p3")
+    none = F.lit(None).cast("struct<x:bigint,n:bigint,p2:binary,p3:binary>")
     scan = rows.where(~F.col("near")).select("key", "band", F.pmod(hashed, "fs").cast("int").alias("bf"), each("ms").alias("bm"), member.alias("s"), none.alias("r"))
     rest = rows.select("key", "band", each("fs").alias("bf"), F.pmod(hashed, "ms").cast("int").alias("bm"), none.alias("s"), member.alias("r"))
     # No task holds more of a bucket than two blocks at a time.
