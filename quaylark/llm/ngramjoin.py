@@ -85,10 +85,14 @@ def _places(tokens: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def _packed(counts: np.ndarray) -> bytes:
     """Counts of a piece, most of them small: the width of each, then all of them, compressed."""
-    kind = "<u1" if counts.max() < 256 else "<u4"
+    kind = "<u1" if counts.max() < 256 else "<u4" if counts.max() < 1 << 32 else "<u8"
     return kind.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
 
 
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts[3:]), counts[:3].decode())
+
+
 def _counts(k: int, bits: int):
     """Sketches of the texts of a task, in pieces."""
 
@@ -110,9 +114,9 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for piece, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = np.frombuffer(zlib.decompress(counts[3:]), counts[:3].decode()).astype(np.uint64)
+            own = _unpacked(counts).astype(np.uint64)
             total[piece] = total[piece] + own if piece in total else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(x) for x in total.values()], pa.binary())], names=["piece", "counts"])
 
 
 def token_levels(rows: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -124,10 +128,14 @@ def token_levels(rows: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
     parts = stash(rows.select("text").mapInArrow(_counts(k, bits), "piece int, counts binary"))
     total = np.zeros((SKETCH_ROWS << bits >> min(bits, PIECE_BITS), 1 << min(bits, PIECE_BITS)), np.float32)
     for r in parts.repartition("piece").mapInArrow(_added, "piece int, counts binary").collect():
-        total[r["piece"]] = np.frombuffer(r["counts"], np.uint64)
+        total[r["piece"]] = _unpacked(r["counts"])
     total = total.reshape(SKETCH_ROWS, 1 << bits)
-    middle = np.median(total, axis=1, keepdims=True)
-    return np.floor(np.log2(1 + np.maximum(0, total - middle) / (1 + np.sqrt(middle)))).astype(np.uint8)
+    # A row at a time, so that the driver holds little beside the counts.
+    levels = np.zeros(total.shape, np.uint8)
+    for row, out in zip(total, levels):
+        middle = np.median(row)
+        out[:] = np.log2(1 + np.maximum(0, row - middle) / (1 + np.sqrt(middle)))
+    return levels
 
 
 def prefix_size(n: int, percent: int) -> int:
