@@ -20,5 +20,5 @@ def test_stages_keep_the_columns_of_documents(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES if q.startswith("op")) == list(range(1, 14))
     assert "pipeline" in registry.QUERIES and set(registry.ORACLES) <= set(registry.QUERIES)
