@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DateType, NumericType, StringType, StructType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DateType, MapType, NumericType, StringType, StructType, TimestampType
 
 from quaylark.functions.columns import flag, latest
 
@@ -52,35 +52,6 @@ def watchlist_latest(watch: DataFrame, metrics: DataFrame, columns: list[str]) -
     return watch.join(now, "ticker", "left").withColumn("status", F.when(F.col("date").isNull(), "NOT_FOUND_IN_GOLD").otherwise("OK"))
 
 
-def research_context(watch: DataFrame, metrics: DataFrame, indicators: DataFrame, summary: DataFrame, daily: DataFrame, events: DataFrame, *, days: int = 7, n_events: int = 5) -> DataFrame:
-    """One row a watched pair: latest market and technical rows, news summary, and bounded
-    lists of the last news days and events. Lists hold at most `days` and `n_events` rows a
-    ticker, limited by rank before they are gathered."""
-    tickers = watch.select("ticker").distinct()
-
-    def newest(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
-        return latest(df.join(tickers, "ticker", "left_semi"), "ticker", [F.col("date").desc()]).select("ticker", F.struct("date", *cols).alias(name))
-
-    def gathered(df: DataFrame, ts: str, n: int, name: str, cols: list[str]) -> DataFrame:
-        rows = latest(df.join(tickers, "ticker", "left_semi"), "ticker", [F.col(ts).desc()], n=n)
-        return rows.groupBy("ticker").agg(F.reverse(F.array_sort(F.collect_list(F.struct(ts, *cols)))).alias(name))
-
-    parts = [
-        newest(metrics, "market", ["close", "daily_return_pct", "volatility"]), newest(indicators, "technical", ["rsi_14", "macd", "trend_signal"]),
-        summary.select("ticker", F.struct("articles", "d7_articles", "d7_dominant").alias("news")), gathered(daily, "published_date", days, "news_days", ["articles", "dominant"]),
-        gathered(events.where("is_anomaly"), "date", n_events, "events", ["severity", "anomaly_score"]),
-    ]
-    df = watch
-    for p in parts:
-        df = df.join(p, "ticker", "left")
-    return df
-
-
-def as_json(context: DataFrame) -> DataFrame:
-    """The context as one compact JSON text a pair."""
-    return context.select("user_id", "ticker", F.to_json(F.struct(*[c for c in context.columns if c not in ("user_id", "ticker")])).alias("document"))
-
-
 def plain_text(text: Column) -> Column:
     """Dashes and spaces of other kinds become plain ones."""
     return F.translate(text, "‐‑‒–—−   ", "------   ")
@@ -141,15 +112,19 @@ def _flat(value: Column, kind: DataType) -> tuple[Column, Column]:
     elif isinstance(kind, ArrayType):
         inner = [F.flatten(F.transform(value, part)) for part in (lambda x: _flat(x, kind.elementType)[0], lambda x: _flat(x, kind.elementType)[1])]
         numbers, days = F.concat(F.array(F.size(value).cast("double")), inner[0]), inner[1]
+    elif isinstance(kind, MapType):
+        held = F.map_values(value)
+        numbers, days = (F.flatten(F.transform(held, part)) for part in (lambda x: _flat(x, kind.valueType)[0], lambda x: _flat(x, kind.valueType)[1]))
     return F.coalesce(numbers, F.array().cast("array<double>")), F.coalesce(days, F.array().cast("array<string>"))
 
 
 def source_values(contexts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(keys, value) and (keys, day) of all that the other columns hold, however deep: numbers,
-    lengths of lists, dates and ISO dates in text. Booleans, maps and unknowns give none."""
+    lengths of lists, dates and ISO dates in text, in the values of maps too. Booleans,
+    unknowns and text that only looks like a day give none."""
     found = [_flat(F.col(f.name), f.dataType) for f in contexts.schema if f.name not in keys]
     values, days = (contexts.select(*keys, F.explode(F.concat(*[p[i] for p in found])).alias(name)) for i, name in ((0, "value"), (1, "day")))
-    return values.where("value is not null").distinct(), days.where("day is not null").select(*keys, F.to_date("day").alias("day")).distinct()
+    return values.where("value is not null").distinct(), days.select(*keys, F.col("day").try_cast("date").alias("day")).where("day is not null").distinct()
 
 
 def ground(reports: DataFrame, sources: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -113,7 +113,7 @@ def _rank_sql(out: str, col: str, way: str) -> str:
     return f"CASE WHEN {col} IS NOT NULL THEN 100 * percent_rank() OVER (PARTITION BY {col} IS NULL ORDER BY {col} {way}) ELSE 50.0 END AS {out}"
 
 
-_PERF = """
+PERFORMANCE = """
 look AS (
   SELECT *, lag(close, 7) OVER w AS l7, lag(close, 30) OVER w AS l30, lag(close, 90) OVER w AS l90, lag(close, 252) OVER w AS l252,
     max(close) OVER y AS high_52w, min(close) OVER y AS low_52w, first(close) OVER w AS first_close, first(date) OVER w AS first_date
@@ -132,7 +132,7 @@ p3 AS (SELECT *, """ + " + ".join(f"{x} * score_{n}" for n, x in pf.WEIGHTS.item
 perf AS (SELECT *, row_number() OVER (ORDER BY round(composite, 9) DESC, ticker) AS performance_rank,
     CASE WHEN composite >= 75 THEN 'STRONG' WHEN composite >= 55 THEN 'POSITIVE' WHEN composite >= 40 THEN 'NEUTRAL' WHEN composite >= 25 THEN 'WEAK' ELSE 'VERY_WEAK' END AS category FROM p3)"""
 _ROUND4 = ("close", "return_7d", "return_30d", "return_90d", "return_252d", "high_52w", "low_52w", "total_return", "from_high_pct", "from_low_pct", "rsi_14", "momentum_10_pct", "score_return_7", "score_return_30", "score_return_90", "score_momentum", "score_volatility", "composite")
-register("p_performance", ranking, f"WITH RECURSIVE {METRICS}, {fx.COMPANIES}, {INDICATORS}, {_PERF} SELECT ticker, date, first_date, technical_date, trend_signal, rsi_signal, macd_state, company_name, dates_agree, score_trend, score_macd, score_rsi, performance_rank, category, {r('volatility', 6)} AS volatility, " + ", ".join(f"{r(c, 4)} AS {c}" for c in _ROUND4) + " FROM perf")
+register("p_performance", ranking, f"WITH RECURSIVE {METRICS}, {fx.COMPANIES}, {INDICATORS}, {PERFORMANCE} SELECT ticker, date, first_date, technical_date, trend_signal, rsi_signal, macd_state, company_name, dates_agree, score_trend, score_macd, score_rsi, performance_rank, category, {r('volatility', 6)} AS volatility, " + ", ".join(f"{r(c, 4)} AS {c}" for c in _ROUND4) + " FROM perf")
 
 EVENT_COLUMNS = ["ticker", "date", "event_id", "is_return", "is_volume", "is_range", "is_gap", "is_transactions", "is_volatility", "signal_count", "is_anomaly", "severity", "explanation", "market_condition"]
 

@@ -52,10 +52,11 @@ def _ratio_sql(p: str = "") -> str:
 
 
 _BASE = f"WITH {fx.BARS}, {fx.COMPANIES}, {fx.NEWS}, {REL}"
-register("n_daily", lambda s, d: nw.news_daily(_rel(s, d)).drop("latest_utc"), f"""{_BASE}, g AS (
+DAILY = f"""g AS (
   SELECT ticker, published_date, count(DISTINCT article_id) AS articles, count(DISTINCT publisher_name) AS publishers, count(*) FILTER (sentiment = 'positive') AS positive,
     count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'neutral') AS neutral FROM rel GROUP BY ALL)
-SELECT *, {_ratio_sql()} FROM g""")
+SELECT *, {_ratio_sql()} FROM g"""
+register("n_daily", lambda s, d: nw.news_daily(_rel(s, d)).drop("latest_utc"), f"{_BASE}, {DAILY}")
 
 
 def _win(n: int) -> str:
@@ -64,12 +65,13 @@ def _win(n: int) -> str:
 
 
 _ZERO = ["articles"] + [f"d{n}_{c}" for n in (7, 30) for c in ("articles", "publishers", *nw.SENTIMENTS)]
-register("n_summary", lambda s, d: nw.news_summary(_rel(s, d), fx.companies(s, d)), f"""{_BASE}, clock AS (SELECT max(published_date) AS as_of FROM rel),
+NEWS_SUMMARY = f"""clock AS (SELECT max(published_date) AS as_of FROM rel),
 g AS (SELECT ticker, count(DISTINCT article_id) AS articles, {_win(7)}, {_win(30)} FROM rel CROSS JOIN clock GROUP BY ticker),
 last AS (SELECT ticker, article_id AS latest_article, title AS latest_title, published_date AS latest_date FROM rel QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY published_utc DESC, article_id) = 1),
 z AS (SELECT companies.ticker, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _ZERO)}, latest_article, latest_title, latest_date, as_of
   FROM companies LEFT JOIN g USING (ticker) LEFT JOIN last USING (ticker) CROSS JOIN clock)
-SELECT *, {_ratio_sql('d7_')}, {_ratio_sql('d30_')}, {r('d30_articles / 30.0', 4)} AS articles_per_day, as_of - latest_date AS latest_age_days, row_number() OVER (ORDER BY d30_articles DESC, ticker) AS volume_rank FROM z""")
+SELECT *, {_ratio_sql('d7_')}, {_ratio_sql('d30_')}, {r('d30_articles / 30.0', 4)} AS articles_per_day, as_of - latest_date AS latest_age_days, row_number() OVER (ORDER BY d30_articles DESC, ticker) AS volume_rank FROM z"""
+register("n_summary", lambda s, d: nw.news_summary(_rel(s, d), fx.companies(s, d)), f"{_BASE}, {NEWS_SUMMARY}")
 register("n_coverage", lambda s, d: nw.coverage(_rel(s, d)), f"{_BASE} SELECT ticker, strftime(published_date, '%Y-%m') AS month, min(published_date) AS first_date, max(published_date) AS last_date, count(DISTINCT article_id) AS articles FROM rel GROUP BY ALL")
 
 

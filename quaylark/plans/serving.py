@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.operators import impact as im
 from quaylark.operators import indicators as ti
-from quaylark.operators import news as nw
 from quaylark.operators import quality as qa
 from quaylark.operators import serving as sv
 from quaylark.plans.catalog import register
-from quaylark.plans.market import ANOMALIES, INDICATORS, METRICS, events, metrics, r, ranking, raw_metrics
-from quaylark.plans.newsroom import ARTICLES, LINKS, RANKED, ranked
+from quaylark.plans.market import ANOMALIES, METRICS, events, metrics, r, ranking, raw_metrics
+from quaylark.plans.newsroom import ranked
 from quaylark.sources import fixtures as fx
 from quaylark.sources.shared import new_folder, stored
 from quaylark.streaming import ingest as st
@@ -30,23 +28,6 @@ SELECT user_id, ticker, date, {r('price_change', 4)} AS price_change, direction,
 register("q_watchlist_users", lambda s, d: fx.watchlist(s, d).join(fx.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id").orderBy("user_id", "ticker"), f"WITH {fx.WATCHLIST} SELECT user_id, ticker, c_name FROM watchlist JOIN customer ON c_custkey = user_id")
 
 
-def _context(s: SparkSession, d: str) -> DataFrame:
-    rel = nw.relations(fx.news(s, d), fx.companies(s, d))
-    return sv.research_context(fx.watchlist(s, d), raw_metrics(s, d), ti.indicators(fx.bars(s, d)), nw.news_summary(rel, fx.companies(s, d)), nw.news_daily(rel), events(s, d))
-
-
-def context_shape(s: SparkSession, d: str) -> DataFrame:
-    c = _context(s, d)
-    return c.select("user_id", "ticker", F.col("market.date").alias("market_date"), F.round(F.round("market.close", 9), 4).alias("close"), F.round(F.round("technical.rsi_14", 9), 4).alias("rsi_14"), F.coalesce(F.size("events"), F.lit(0)).alias("n_events"), F.get("events", F.lit(0))["date"].alias("last_event"))
-
-
-register("q_research_context", context_shape, f"""WITH RECURSIVE {METRICS}, {ANOMALIES}, {INDICATORS}, {fx.WATCHLIST},
-m AS (SELECT ticker, date, close FROM metrics QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), t AS (SELECT ticker, rsi_14 FROM indicators QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
-e AS (SELECT ticker, least(count(*), 5) AS n, max(date) AS last FROM anomalies WHERE is_anomaly GROUP BY ticker)
-SELECT user_id, ticker, m.date AS market_date, {r('close', 4)} AS close, {r('rsi_14', 4)} AS rsi_14, CAST(coalesce(n, 0) AS INTEGER) AS n_events, last AS last_event FROM watchlist LEFT JOIN m USING (ticker) LEFT JOIN t USING (ticker) LEFT JOIN e USING (ticker)""")
-register("q_context_json", lambda s, d: sv.as_json(_context(s, d)))
-
-
 def reports(s: SparkSession, d: str) -> DataFrame:
     """One report a watched pair with bars: true, rounded and scaled numbers of its latest
     bar, a wrong one in every third, an unknown date in every fifth."""
@@ -61,19 +42,6 @@ def reports(s: SparkSession, d: str) -> DataFrame:
     return m.select("report_id", "user_id", "ticker", "date", "close", "volume", text.alias("text"), document.alias("document"))
 
 
-def _sources(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Values and days of the nested context of each watched pair that has bars."""
-    bar = reports(s, d)
-    nested = bar.select("report_id", F.struct("ticker", F.struct("date", "close", "volume", F.lit(True).alias("active")).alias("bar")).alias("market"), F.array(F.struct("volume"), F.struct((F.col("close") * -1).alias("volume"))).alias("list"), F.concat(F.lit("as of "), F.date_add("date", 1).cast("string")).alias("note"))
-    return sv.source_values(nested, ["report_id"])
-
-
-def source_counts(s: SparkSession, d: str) -> DataFrame:
-    values, days = _sources(s, d)
-    v = values.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_values"), F.round(F.round(F.sum("value"), 9), 4).alias("total"))
-    return v.join(days.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_days"), F.max("day").alias("last_day")), "report_id")
-
-
 def _claims(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rep = reports(s, d)
     values, _ = sv.source_values(rep.select("report_id", F.struct("date", "close", "volume").alias("bar")), ["report_id"])
@@ -88,10 +56,6 @@ def verdict_rows(s: SparkSession, d: str) -> DataFrame:
 _REP = f"""WITH {METRICS}, {fx.WATCHLIST}, n AS (SELECT ticker, close, volume FROM metrics QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
 rep AS (SELECT user_id * 100 + CAST(substr(ticker, 7) AS INTEGER) AS report_id, user_id, ticker, close, volume FROM watchlist JOIN n USING (ticker)),
 c AS (SELECT report_id, CAST(3 - (round(close, 0) IN (1, 7, 10, 14, 20, 30, 50, 52, 90, 365))::INT + (report_id % 3 = 0)::INT AS BIGINT) AS claims, CAST((report_id % 3 = 0)::INT AS BIGINT) AS ungrounded, (report_id % 5 = 0)::INT AS unknown_dates, report_id % 7 = 0 AS maybe FROM rep)"""
-register("q_source_values", source_counts, f"""WITH {METRICS}, {fx.WATCHLIST}, n AS (SELECT ticker, date, close, volume FROM metrics QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
-rep AS (SELECT user_id * 100 + CAST(substr(ticker, 7) AS INTEGER) AS report_id, date, close, volume FROM watchlist JOIN n USING (ticker)),
-v AS (SELECT DISTINCT report_id, unnest([close, CAST(volume AS DOUBLE), 2.0, -close]) AS value FROM rep)
-SELECT report_id, count(*) AS n_values, {r('sum(value)', 4)} AS total, CAST(2 AS BIGINT) AS n_days, max(date) + 1 AS last_day FROM v JOIN rep USING (report_id) GROUP BY report_id""")
 register("q_report_verdicts", verdict_rows, f"{_REP} SELECT report_id, claims, ungrounded, unknown_dates, concat_ws(',', CASE WHEN maybe THEN 'stance' END, CASE WHEN ungrounded > 0 THEN 'numbers' END, CASE WHEN unknown_dates > 0 THEN 'dates' END) AS errors, CASE WHEN maybe OR ungrounded > 0 OR unknown_dates > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM c")
 register("q_report_history", lambda s, d: reports(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("reports"), F.max("report_id").alias("newest")), f"{_REP} SELECT user_id, count(*) AS reports, max(report_id) AS newest FROM rep GROUP BY user_id")
 register("q_report_page", lambda s, d: sv.report_page(reports(s, d), 2, ts="date").select("user_id", "ticker", "report_id", "place"), f"{_REP.replace('ticker, close, volume FROM', 'ticker, date, close, volume FROM', 1).replace('user_id, ticker, close', 'user_id, ticker, date, close', 1)} SELECT user_id, ticker, report_id, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, report_id DESC) AS place FROM rep QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC, report_id DESC) <= 2")

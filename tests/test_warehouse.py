@@ -71,7 +71,7 @@ def test_number_claims(spark):
 def test_source_values(spark):
     df = spark.sql("SELECT 1 AS id, named_struct('a', 2.5D, 'b', true, 'c', DATE'2020-01-02', 'd', 'since 2021-03-04.') AS x, array(named_struct('v', 7, 'w', array(1, null)), null) AS l, cast(null as int) AS n, map('k', 9) AS m")
     values, days = serving.source_values(df, ["id"])
-    assert sorted(r["value"] for r in values.collect()) == [1.0, 2.0, 2.5, 7.0] and sorted(str(r["day"]) for r in days.collect()) == ["2020-01-02", "2021-03-04"]
+    assert sorted(r["value"] for r in values.collect()) == [1.0, 2.0, 2.5, 7.0, 9.0] and sorted(str(r["day"]) for r in days.collect()) == ["2020-01-02", "2021-03-04"]
 
 
 def test_company_payload_and_duplicates(spark):
