@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaylark.llm.common import BATCH_BYTES, BATCH_ROWS, BROADCAST_IDS, col, filter_ids, python_map, stash
-from quaylark.llm.neardup import BLOCK, _digest, _mix, exact_components, named_rows
+from quaylark.llm.neardup import _digest, _mix, exact_components, named_rows
 
 #: The sketch: rows, bits of a counter's number, bits of the pieces in which rows are added up.
 SKETCH_ROWS, SKETCH_BITS, PIECE_BITS = 2, 22, 16
+#: Members of a bucket that a task gets at a time, twice.
+DEALT = 1024
 #: Seeds of the permutations, and whether an order puts frequent tokens last.
 ORDERS = ((0x51ED270B, True), (0x2545F491, True), (0x9E3779B9, False))
 
@@ -158,6 +160,12 @@ class Prefixes:
         return [tokens[(np.lexsort((r, level)) if rare else np.argsort(r))[:size]] for r, rare in ranks]
 
 
+def _short(tokens: np.ndarray) -> bytes:
+    """Four bytes a token. Tokens that become equal count once or more wherever they are
+    shared, so that filters let more pairs pass, never fewer."""
+    return (tokens >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def _distinct(tokens: np.ndarray) -> np.ndarray:
     s = np.sort(tokens)
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
@@ -165,7 +173,7 @@ def _distinct(tokens: np.ndarray) -> np.ndarray:
 
 def signatures(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(id, n, digest, p1, p2, p3) of rows(id, text): set size, digest, and the prefixes under
-    the three orders."""
+    the three orders, the second and the third with four bytes a token."""
     sent = rows.sparkSession.sparkContext.broadcast(levels)
 
     def make():
@@ -178,8 +186,8 @@ def signatures(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> Dat
                 out["n"].append(len(s))
                 out["digest"].append(_digest(s))
                 out["p1"].append(first.view(np.int64))
-                out["p2"].append(second.tobytes())
-                out["p3"].append(third.tobytes())
+                out["p2"].append(_short(second))
+                out["p3"].append(_short(third))
             return out
 
         return run
@@ -204,7 +212,7 @@ def passes(n: int, m: int, x: list[np.ndarray], y: list[np.ndarray], percent: in
 
 
 def _read(*prefixes: bytes | list[int]) -> list[np.ndarray]:
-    return [np.frombuffer(p, np.uint64) if isinstance(p, bytes) else np.array(p, np.int64).view(np.uint64) for p in prefixes]
+    return [np.frombuffer(p, "<u4") if isinstance(p, bytes) else np.array(p, np.int64).view(np.uint64) for p in prefixes]
 
 
 def _filters(percent: int):
@@ -221,9 +229,9 @@ def _filters(percent: int):
 
 
 def _shared(prefixes: list[bytes], some: int) -> np.ndarray:
-    """[i, j]: how many tokens the first `some` prefixes share with each."""
+    """[i, j]: how many tokens the first `some` prefixes share with each, or more."""
     own = _read(*prefixes)
-    tokens = np.concatenate([np.zeros(0, np.uint64), *own])
+    tokens = np.concatenate([np.zeros(0, np.uint32), *own])
     at = np.repeat(np.arange(len(own)), [len(p) for p in own])
     _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
     twice = counts > 1
@@ -236,7 +244,7 @@ def _shared(prefixes: list[bytes], some: int) -> np.ndarray:
     for c in range(0, columns, 2048):
         a, b = np.searchsorted(place, (c, c + 2048))
         m = np.zeros((len(own), min(2048, columns - c)), np.float32)
-        m[at[a:b], place[a:b] - c] = 1
+        np.add.at(m, (at[a:b], place[a:b] - c), 1)
         out += m[:some] @ m.T
     return out
 
@@ -333,7 +341,7 @@ def _pairs_beside_hubs(star: DataFrame, met: DataFrame, known: DataFrame, percen
     return found.select(F.explode("pairs").alias("p")).select("p.x", "p.h").distinct()
 
 
-def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
+def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, block: int = DEALT) -> DataFrame:
     """id, n_shingles, component_id for every row of docs.
 
     Two texts are linked if the Jaccard similarity of their sets of distinct k-word shingles

@@ -78,12 +78,12 @@ def test_every_pair_that_passes_is_given_out_or_shares_a_hub():
     for i in range(40):
         own = np.unique(np.concatenate([rng.permutation(base[i % 3])[: rng.integers(45, 60)], rng.integers(0, 1 << 63, 6).astype(np.uint64)]))
         p1, p2, p3 = prefixes(own)
-        rows.append({"x": i, "n": len(own), "own": own, "p1": p1.view(np.int64).tolist(), "p2": p2.tobytes(), "p3": p3.tobytes()})
+        rows.append({"x": i, "n": len(own), "own": own, "p1": p1.view(np.int64).tolist(), "p2": ngramjoin._short(p2), "p3": ngramjoin._short(p3)})
     for a, b in combinations(rows, 2):
         both = len(np.intersect1d(a["own"], b["own"]))
         may = ngramjoin.passes(a["n"], b["n"], ngramjoin._read(*(a[p] for p in ("p1", "p2", "p3"))), ngramjoin._read(*(b[p] for p in ("p1", "p2", "p3"))), 70)
         assert may or 100 * both < 70 * (a["n"] + b["n"] - both)  # no near pair fails
-        if may or 100 * min(a["n"], b["n"]) >= 70 * max(a["n"], b["n"]) and all(len(np.intersect1d(*(np.frombuffer(r[p], np.uint64) for r in (a, b)))) >= ngramjoin.least_shared(a["n"], b["n"], 70) for p in ("p2", "p3")):
+        if may or 100 * min(a["n"], b["n"]) >= 70 * max(a["n"], b["n"]) and all(len(np.intersect1d(*(np.frombuffer(r[p], np.uint32) for r in (a, b)))) >= ngramjoin.least_shared(a["n"], b["n"], 70) for p in ("p2", "p3")):
             near.add((a["x"], b["x"]))
     assert 0 < len(near) < 700
     out = ngramjoin._beside(70)()({"scan": [rows[:25]], "rest": [list(rows)]})["pairs"][0]
@@ -95,6 +95,19 @@ def test_every_pair_that_passes_is_given_out_or_shares_a_hub():
     assert all((a, b) in given or any({a, b} <= h for h in hubs.values()) for a, b in near if a < 25 or b < 25)
 
 
+def test_short_tokens_never_share_less():
+    rng = np.random.default_rng(19)
+    pool = (rng.integers(0, 4, 40).astype(np.uint64) << np.uint64(32)) | np.arange(40, dtype=np.uint64)  # ten tokens are short for one number
+    sets = [rng.permutation(pool)[: rng.integers(0, 40)] for _ in range(30)]
+    short = [ngramjoin._short(s) for s in sets]
+    table = ngramjoin._shared(short, 12)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            assert i >= 12 or table[i, j] >= both
+            assert len(np.intersect1d(*ngramjoin._read(short[i], short[j]), assume_unique=True)) >= both
+
+
 def test_tokens_are_those_of_the_shingler():
     rng = random.Random(20)
     texts = ["", " ", "One", "one TWO", "A b\xa0c d\x1ce f", "Ünï ÉÉ ßs a b", *(" ".join(words(rng, n)) for n in (3, 4, 5, 300)), "  lead\t\n\x0btail  a b c "]
