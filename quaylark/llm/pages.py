@@ -38,8 +38,10 @@ HINTS = frozenset(
     " subscribe taboola toc toolbar widget".split()
 )
 BESIDE = frozenset("area bar block bottom box buttons col column container content group holder icons inner items left links list main number page post posts primary right secondary section site slot top wrap wrapper".split())
-#: Containers that class names can mark; text elements keep their words whatever their class.
+#: Containers that class names can mark; text elements keep their words but for clear names.
 CONTAINERS = frozenset("div section ul ol dl table header".split())
+#: Parts that stand beside `comment` in names which tell a page's setting.
+SETTINGS = frozenset("open opened closed enabled disabled allowed on off no not without has have with count".split())
 #: Share and number of a host's pages that make a subtree its template outside of articles; and inside.
 RATIO, MIN_PAGES, INNER_RATIO, INNER_MIN = 0.05, 3, 0.5, 8
 #: Start tags that end an open paragraph.
@@ -140,21 +142,60 @@ def is_main(n: Node) -> bool:
     return n.tag in ("article", "main") or n.attrs.get("role") == "main"
 
 
+def is_comment(n: Node) -> bool:
+    """Whether a class name or id says readers' comments, and not only that a page has some."""
+    if "comment" not in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower():
+        return False
+    return any(("comment" in p or "comments" in p) and SETTINGS.isdisjoint(p) for p in _parts(n))
+
+
+def _holds_content(n: Node) -> bool:
+    return any(x.tag == "h1" or is_main(x) and not is_comment(x) for x in nodes(n))
+
+
 def is_furniture(n: Node) -> bool:
-    if n.tag in FURNITURE or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or n.attrs.get("role", "").lower() in ROLES:
+    role = n.attrs.get("role", "").lower()
+    if "form" in (n.tag, role):  # some sites wrap the whole page in one
+        return not _holds_content(n)
+    if n.tag in FURNITURE or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or role in ROLES:
         return True
     if re.search(r"display\s*:\s*none", n.attrs.get("style", "")):
         return True
     if n.tag == "article":  # readers' comments may be articles themselves
-        return ["comment"] in _parts(n)
-    return n.tag in CONTAINERS and marked(n) and not any(is_main(x) or x.tag == "h1" for x in nodes(n))
+        return is_comment(n) and (["comment"] in _parts(n) or not any(x.tag == "h1" for x in nodes(n)))
+    if n.tag == "p":  # paragraphs are the text itself: only a name of two such words or more
+        return bool(n.attrs) and any(len(p) > 1 and HINTS.issuperset(p) for p in _parts(n))
+    if n.tag == "li":
+        return is_comment(n) and not _holds_content(n)
+    return n.tag in CONTAINERS and (marked(n) or is_comment(n)) and not _holds_content(n)
+
+
+def teasers(all_: list[Node]) -> set[int]:
+    """Ids of the articles that only point to other pages: those named so, or with more than
+    half of their letters in links, where the page has an article that isn't so. `all_`
+    has parents before children."""
+    articles = [n for n in all_ if n.tag == "article" and not is_comment(n)]
+    if len(articles) < 2:
+        return set()
+    letters, linked, proper = {}, {}, set()
+    for n in reversed(all_):
+        own = [c for c in n.children if isinstance(c, Node)]
+        letters[id(n)] = sum(letters[id(c)] for c in own) + sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        linked[id(n)] = letters[id(n)] if n.tag == "a" else sum(linked[id(c)] for c in own)
+        if n.tag == "article" and not is_comment(n) and "teaser" not in sum(_parts(n), []) and 2 * linked[id(n)] <= letters[id(n)] > 0:
+            proper.add(id(n))
+        if any(id(c) in proper for c in own):
+            proper.add(id(n))
+    return {id(n) for n in articles} - proper if any(id(n) in proper for n in articles) else set()
 
 
 def prune(root: Node, template: frozenset[int], common: frozenset[int], rules: bool = True) -> None:
     """Delete template subtrees, then furniture. Outside of a page's articles `template`
     tells, inside, and on pages without any, `common`. Of an article's header its
     headings stay."""
-    inside = not any(is_main(n) for n in nodes(root))
+    all_ = nodes(root)
+    inside = not any(is_main(n) for n in all_)
+    pointers = teasers(all_) if rules else ()
     todo = [(root, inside, False)]
     while todo:
         n, inside, article = todo.pop()
@@ -169,7 +210,7 @@ def prune(root: Node, template: frozenset[int], common: frozenset[int], rules: b
                         continue
                     if article:
                         c.children = [x for x in nodes(c) if x.tag in HEADING]
-                elif rules and is_furniture(c):
+                elif rules and (is_furniture(c) or id(c) in pointers):
                     continue
             kept.append(c)
         n.children = kept

@@ -199,6 +199,26 @@ def test_class_names_alone_empty_no_article():
     assert text_of("<article><p>One</p><section class='comments'><article class='comment'><p>Nice</p></article></section></article>") == "One"
 
 
+def test_forms_around_pages_comments_notices_and_teasers():
+    art = "<article><h1>T</h1><p>A b</p></article>"
+    assert text_of(f"<form action='/x'>{art}<input value='q'></form>") == "T\nA b"
+    assert text_of(f"{art}<form><p>Sign up</p></form>") == "T\nA b" and text_of("<form><p>Sign up</p></form><p>c</p>") == "c"
+    for c in ("<article class='comment-body'><p>Nice</p></article>", "<section id='user-comments'><p>Nice</p></section>", "<div class='comment-thread'><p>Nice</p></div>", "<ul><li class='comment-item'>Nice</li></ul>"):
+        assert text_of(art + c) == "T\nA b" and text_of(f"<main>{art}{c}</main>") == "T\nA b" and text_of(art.replace("</article>", f"{c}</article>")) == "T\nA b"
+    # Names that say that a page has comments, or none, and a wrapper of article and comments.
+    for name in ("no-comments", "comments-open", "has-comments", "comment-count-on"):
+        assert text_of(f"<article class='{name}'><p>A b</p></article>") == "A b" and text_of(f"<div class='{name}'><p>A b</p></div>") == "A b"
+    assert text_of(f"<div class='post-and-comments'>{art}<div class='comments'>Nice</div></div>") == "T\nA b"
+    assert text_of("<article><p class='cookie-notice'>We bake</p><p class='lead'>A</p><p class='notice-text'>b</p></article>") == "A\nb"
+    card = "<article class='teaser'><h2><a href='/y'>Other</a></h2><p>Short words</p></article>"
+    links = "<article><h2><a href='/z'>Another one</a></h2></article>"
+    assert text_of(f"{art}<div>More stories{card}{links}</div>") == "T\nA b"
+    assert text_of(art.replace("</article>", f"{card}</article>")) == "T\nA b"
+    # A page of nothing else keeps them; two articles both stay; so does what holds one.
+    assert text_of(links + links) == "Another one\nAnother one" and text_of(card) == "Other\nShort words"
+    assert text_of(art + art) == "T\nA b\nT\nA b" and text_of(f"<article class='teaser'>{art}</article><article>c</article>") == "T\nA b\nc"
+
+
 def test_templates_equal_a_count_by_hand_and_change_real_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(pages.host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     got = {r["host"]: (set(r["template"]), set(r["common"])) for r in pages.site_templates(rows).collect()}
