@@ -7,14 +7,16 @@ search, which gives the places of its first words; places that follow each other
 and document alike are one longest verbatim match.
 
 The benchmark goes to the tasks in blocks of bounded size, one at a time; with more than one
-block, the documents pass through one lookup after the other, without a shuffle.
+block, the documents are stored once and searched for each, and only what is found moves.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,19 +161,21 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, n_words: str = "n_words"
 
     A match has at least `window` words, or is a whole shorter item. Null texts have no
     words; items without words match nothing; equal items count once; an item without id
-    is matched under a null id; repeated rows are read one by one. Nothing is shuffled.
+    is matched under a null id; repeated rows are read one by one. With one block nothing
+    is shuffled.
 
     A benchmark of several blocks is searched block by block: the driver and the executors
-    hold one block at a time, and what was found so far is written to the shared folder
-    before the next block goes out.
+    hold one block at a time. Documents are written once, with what the first block gave;
+    a further one writes the row numbers and matches of the documents that it is found in,
+    and these are joined in the end.
     """
     items, n = _items(benchmark, item_col, item_text_col, block_bytes)
-    text, count, found, so_far = fresh(docs, "match_text", "match_count", "match_found", "match_so_far")
-    spark, out = docs.sparkSession, docs
-    for k in range(n):
-        sent = spark.sparkContext.broadcast([tuple(r) for r in items.where(F.col("part") == k).select("i", "t").collect()])
+    text, count, found, row = fresh(docs, "match_text", "match_count", "match_found", "match_row")
 
-        def make(sent=sent):
+    def searched(rows: DataFrame, part: int, keep: list[str]) -> tuple[DataFrame, Broadcast]:
+        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.col("part") == part).select("i", "t").collect()])
+
+        def make():
             s = Searcher(sent.value, window)
 
             def run(b):
@@ -180,16 +184,24 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, n_words: str = "n_words"
 
             return run
 
-        read = out.withColumn(text, F.coalesce(col(text_col), F.lit("")))
-        read = python_map(read, make, f"`{count}` long, `{found}` {_MATCH}", out.columns, [text])
-        all_ = F.concat(col(so_far), col(found)) if k else col(found)
-        out = read.select(*cols(docs), col(count), all_.alias(so_far))
-        if n > 1:
-            out = stash(out)
+        return python_map(rows, make, f"`{count}` long, `{found}` {_MATCH}", keep, [text]), sent
+
+    out, sent = searched(docs.withColumn(text, F.coalesce(col(text_col), F.lit(""))), 0, docs.columns)
+    if n > 1:
+        held = stash(out.withColumn(row, F.monotonically_increasing_id()))
+        sent.unpersist()
+        slim = held.select(col(row), F.coalesce(col(text_col), F.lit("")).alias(text))
+        more = []
+        for k in range(1, n):
+            got, sent = searched(slim, k, [row])
+            more.append(stash(got.where(F.size(col(found)) > 0).select(col(row).alias("r"), col(found).alias("f"))))
             sent.unpersist()
-            if k < n - 1:
-                out = out.drop(count)
-    return out.select(*cols(docs), col(count).alias(n_words), col(so_far).alias(matches))
+        # Rows are numbered, so a document has one row here for each block that it holds parts of.
+        other = reduce(DataFrame.union, more).groupBy("r").agg(F.flatten(F.collect_list("f")).alias("f"))
+        r, f = fresh(held, "match_other_row", "match_other")
+        out = held.join(other.toDF(r, f), col(row) == col(r), "left")
+        out = out.withColumn(found, F.when(col(f).isNull(), col(found)).otherwise(F.concat(col(found), col(f))))
+    return out.select(*cols(docs), col(count).alias(n_words), col(found).alias(matches))
 
 
 def covered(matches: Column) -> Column:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylark.llm import decontaminate, graph, linededup, mixing, neardup
+from quaylark.llm.common import stash
 
 
 def table(spark, rows):
@@ -201,6 +202,28 @@ def test_contamination(spark):
     assert decontaminate.contamination_report(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_blocks_of_a_benchmark_move_matches_only(spark, monkeypatch):
+    """Many blocks: texts are written once, clashing names and repeated rows are kept, matches equal those of one block."""
+    rng = random.Random(8)
+    items = [(f"i{j}", " ".join(words(rng, 20))) for j in range(6)]
+    rows = [(i, " ".join([*words(rng, 15), *(items[j][1] for j in range(6) if i >> j & 1)]), i, "x") for i in range(40)]
+    rows += [rows[5], rows[5], (None, rows[3][1], 0, "x"), (99, None, 0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, match_row long, `match.other` string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    written = []
+    monkeypatch.setattr(decontaminate, "stash", lambda d: written.append(d.columns) or stash(d))  # the items are stored first, each time
+
+    def found(size):
+        out = decontaminate.find_matches(df, bench, block_bytes=size)
+        assert out.columns == [*df.columns, "n_words", "matches"]
+        return sorted((repr((*r[:4], r["n_words"], sorted(map(tuple, r["matches"]))))) for r in out.collect())
+
+    want = found(1 << 20)
+    assert written == [["i", "t"]] and len(want) == len(rows)
+    assert found(60) == want
+    assert len(written) > 4 and "text" in written[2] and all(c == ["r", "f"] for c in written[3:])
+
+
 def test_line_dedup(spark):
     rows = [(i, f"Menu  line\nbody {i} text\n\n(c) us", "a") for i in range(20)] + [(50, rows_text := "Menu  line\nother", "b"), (51, None, "a"), (52, "", "a"), (53, "Menu  line", None)]
     rows += [(60 + i, "copied\ntext", "a") for i in range(30)]
