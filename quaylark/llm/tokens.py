@@ -293,12 +293,16 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     long_ = F.char_length("text") > chunk
     short = python_map(sized.where(~long_), whole, "n_tokens long", ["doc_id", "n_bytes"])
     held = stash(sized.where(long_).withColumn("row", F.monotonically_increasing_id()))
-    start = F.col("part") * chunk
-    pieces = (
-        held.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / chunk).cast("int"))))
-        .select("row", "part", F.substring("text", F.greatest(start - ahead, F.lit(0)) + 1, F.least(start, F.lit(ahead))).alias("before"), F.substring("text", start + 1, F.lit(chunk)).alias("piece"))
-        .repartition("row", "part")
-    )
+
+    def cut():
+        def pieces(x: str) -> list[dict]:
+            return [{"part": a // chunk, "before": x[max(0, a - ahead) : a], "piece": x[a : a + chunk]} for a in range(0, len(x), chunk)]
+
+        return lambda b: {"pieces": [pieces(x) for x in b["text"]]}
+
+    # A text is cut in one pass; only its pieces are dealt out.
+    own = python_map(held.select("row", "text"), cut, "pieces array<struct<part:int,before:string,piece:string>>", ["row"])
+    pieces = own.select("row", F.inline("pieces")).repartition("row", "part")
     maps = _tree(stash(python_map(pieces, mapped, f"map {_MAP}", ["row", "part"], ["part", "before", "piece"])))
     found = maps.select("row", F.get(F.filter("map", lambda m: m["before"] == START), F.lit(0))["n"].alias("n_tokens"))
     joined = held.join(found, "row", "left")
