@@ -7,6 +7,8 @@ key, whatever the number of users that watch it, and joined to the watched pairs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, NumericType, StructType
@@ -35,6 +37,10 @@ PARTS = {
         "avg_sentiment", "avg_weighted", "dominant", "max_weight", "coverage", "context_coverage"),
 }
 
+#: Events that a context shows, unless told otherwise.
+EVENTS = 5
+LEAVES = "array<struct<path:string,number:double,text:string>>"
+
 
 def _part(df: DataFrame, name: str, digits: int) -> Column:
     """A part's struct; doubles have as many digits as the document shows."""
@@ -45,7 +51,7 @@ def _part(df: DataFrame, name: str, digits: int) -> Column:
 
 def key_contexts(
     keys: DataFrame, *, companies: DataFrame, metrics: DataFrame, performance: DataFrame, indicators: DataFrame, summary: DataFrame, daily: DataFrame, events: DataFrame, impacts: DataFrame,
-    days: int = 7, n_events: int = 5, digits: int = 4, key: str = "ticker",
+    days: int = 7, n_events: int = EVENTS, digits: int = 4, key: str = "ticker",
 ) -> DataFrame:
     """One row for each of the distinct keys: a struct of each part, null where nothing is
     known; the lists have at most `days` news days and `n_events` events, newest first, and are
@@ -82,6 +88,26 @@ def research_context(watch: DataFrame, users: DataFrame, contexts: DataFrame, *,
     return watch.select(user, key).join(names, user, "left").join(contexts, key, "left").select(user, key, "user", *[c for c in contexts.columns if c != key])
 
 
+def dealt(watch: DataFrame, user: str = "user_id") -> DataFrame:
+    """The watched pairs over all shuffle partitions: they are small, their documents aren't."""
+    return watch.repartition(int(watch.sparkSession.conf.get("spark.sql.shuffle.partitions")), user)
+
+
+def pair_leaves(
+    watch: DataFrame, users: DataFrame, contexts: DataFrame, read: Callable[[DataFrame, list[str]], DataFrame], *, store: Callable[[DataFrame], DataFrame] = lambda df: df, user: str = "user_id", key: str = "ticker",
+) -> DataFrame:
+    """(user, key, path, number, text): the values that `read(df, keys)` finds in the research
+    context of each watched pair. A user's part is read once a user and a key's parts once a key,
+    as no path leads through both; the context of a pair then has the values found. Both have one
+    row a user and a key. `store` keeps the values of the keys."""
+    gathered = lambda leaves, by, name: leaves.groupBy(by).agg(F.collect_list(F.struct("path", "number", "text")).alias(name))
+    own = gathered(read(users.select(user, F.struct(*users.columns).alias("user")), [user]), user, "own")
+    shared = store(gathered(read(contexts, [key]), key, "shared"))
+    pairs = research_context(dealt(watch, user), own.hint("merge"), shared, user=user, key=key)
+    known = [F.coalesce(c, F.array().cast(LEAVES)) for c in ("user.own", "shared")]
+    return pairs.select(user, key, F.explode(F.concat(*known)).alias("leaf")).select(user, key, "leaf.*")
+
+
 def as_json(context: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, document): the other columns as one compact JSON text; nulls are left out."""
     return context.select(*keys, F.to_json(F.struct(*[c for c in context.columns if c not in keys])).alias("document"))
@@ -97,7 +123,7 @@ def _leaves(value: Column, kind: DataType, path: Column) -> Column:
         number = isinstance(kind, NumericType)
         leaf = F.struct(path.alias("path"), (value.cast("double") if number else F.lit(None).cast("double")).alias("number"), (F.lit(None).cast("string") if number else value.cast("string")).alias("text"))
         found = F.when(value.isNotNull(), F.array(leaf))
-    return F.coalesce(found, F.array().cast("array<struct<path:string,number:double,text:string>>"))
+    return F.coalesce(found, F.array().cast(LEAVES))
 
 
 def context_leaves(context: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaylark.functions.columns import latest
+from quaylark.operators import anomalies as an
 from quaylark.operators import clean as cl
 from quaylark.operators import context as cx
 from quaylark.operators import impact as im
 from quaylark.operators import indicators as ti
 from quaylark.operators import news as nw
+from quaylark.operators import performance as pf
 from quaylark.operators import serving as sv
+from quaylark.operators.series import daily_metrics
 from quaylark.plans.catalog import register
-from quaylark.plans.market import ANOMALIES, INDICATORS, METRICS, PERFORMANCE, events, r, ranking, raw_metrics
+from quaylark.plans.market import ANOMALIES, INDICATORS, METRICS, PERFORMANCE, r
 from quaylark.plans.newsroom import ARTICLES, DAILY, LINKS, NEWS_SUMMARY, REL, SUMMARY
 from quaylark.sources import fixtures as fx
 from quaylark.sources.shared import stored
@@ -20,32 +24,39 @@ from quaylark.sources.shared import stored
 KEYS = ["user_id", "ticker"]
 
 
-def contexts(s: SparkSession, d: str) -> DataFrame:
-    """The context of each watched pair; those of the keys are stored, as users share them."""
-    watch, firms = fx.watchlist(s, d), fx.companies(s, d)
-    # Bars are read by six parts, events by three.
-    m, e = stored(raw_metrics(s, d)), stored(events(s, d))
-    rel, odd = nw.relations(fx.news(s, d), firms), e.where("is_anomaly")
+def contexts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The watched pairs, the users, and the stored context of each key, which users share."""
+    watch = fx.watchlist(s, d)
+    # Lineitems are read once; what is made of a key's days is small beside them.
+    bars = stored(fx.bars(s, d))
+    firms, m, t = stored(fx.companies(s, d, bars)), stored(daily_metrics(bars, digits={})), stored(ti.indicators(bars))
+    e, rel = stored(an.anomalies(m)), stored(nw.relations(fx.news(s, d), firms))
+    # News is looked up for the events that a context shows.
+    odd = latest(e.where("is_anomaly"), "ticker", [F.col("date").desc()], n=cx.EVENTS)
     impacts = im.impact_summary(im.impact(odd, im.article_tickers(fx.news(s, d))), odd)
     by_key = cx.key_contexts(
-        watch, companies=cl.company_features(firms, fx.AS_OF), metrics=m, performance=ranking(s, d), indicators=ti.indicators(fx.bars(s, d)), summary=nw.news_summary(rel, firms),
-        daily=nw.news_daily(rel), events=e, impacts=impacts)
+        watch, companies=cl.company_features(firms, fx.AS_OF), metrics=m, performance=pf.performance(m, t, firms), indicators=t, summary=nw.news_summary(rel, firms), daily=nw.news_daily(rel), events=e, impacts=impacts)
     users = fx.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
-    return cx.research_context(watch, users, stored(by_key))
+    return watch, users, stored(by_key)
 
 
 def _shown(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn("number", F.round(F.round("number", 9), 4))
 
 
+def leaf_rows(s: SparkSession, d: str) -> DataFrame:
+    """What is known of each watched pair, value by value."""
+    return _shown(cx.context_leaves(cx.research_context(*contexts(s, d)), KEYS))
+
+
 def document_rows(s: SparkSession, d: str) -> DataFrame:
     """What a reader of the JSON documents finds in them."""
-    return _shown(cx.document_leaves(cx.as_json(contexts(s, d), KEYS), KEYS))
+    return cx.pair_leaves(*contexts(s, d), lambda df, keys: _shown(cx.document_leaves(cx.as_json(df, keys), keys)), store=stored)
 
 
 def source_counts(s: SparkSession, d: str) -> DataFrame:
     """Values and days that the context of each watched pair holds."""
-    c = contexts(s, d)
+    c = cx.research_context(*contexts(s, d))
     values, days = sv.source_values(c, KEYS)
     v = values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_values"), F.round(F.round(F.sum("value"), 9), 4).alias("total"))
     return v.join(days.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day")), KEYS, "left").fillna(0, subset=["n_days"])
@@ -79,7 +90,7 @@ leaves AS (
     CASE WHEN kind = 'VARCHAR' THEN atom ->> '$' WHEN kind = 'BOOLEAN' THEN CAST(atom AS VARCHAR) END AS text, kind
   FROM tree WHERE kind NOT IN ('OBJECT', 'ARRAY'))"""
 _LEAVES = f"{_TREE} SELECT user_id, ticker, path, number, text FROM leaves"
-register("q_research_context", lambda s, d: _shown(cx.context_leaves(contexts(s, d), KEYS)), _LEAVES)
+register("q_research_context", leaf_rows, _LEAVES)
 register("q_context_json", document_rows, _LEAVES)
 register("q_source_values", source_counts, f"""{_TREE},
 vals AS (SELECT DISTINCT user_id, ticker, value FROM (

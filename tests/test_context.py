@@ -1,8 +1,14 @@
 """The research context: parts, limits of lists, and its two readings."""
 
+from pathlib import Path
+
 import pytest
 
 from quaylark.operators import context as cx
+from quaylark.plans import research
+from quaylark.sources import fixtures as fx
+
+D = "/root/testdata/sf0.001"
 
 LISTS = ("recent_daily", "recent", "news_context")
 
@@ -59,3 +65,24 @@ def test_documents_of_any_shape(spark):
     got = cx.document_leaves(spark.createDataFrame(texts, "id int, document string"), ["id"]).collect()
     assert sorted((r["id"], r["path"], r["number"], r["text"]) for r in got) == [
         (1, "$.a[0]", 1.0, None), (1, "$.a[1].b", None, "true"), (1, "$.a[5]", 2.5, None), (1, "$.c", None, "x"), (1, "$.d", 1e300, None), (2, "$", 7.0, None)]
+
+
+def test_pair_leaves_reads_each_document_once(spark):
+    """The values of a pair's document, though documents are read once a user and once a key."""
+    watch = spark.createDataFrame([(i, t) for i in range(1, 9) for t in ("A", "B", None)] + [(99, "A")], "user_id int, ticker string")
+    users = spark.createDataFrame([(i, f"N{i}") for i in range(1, 9)], "user_id int, name string")
+    c, keys, seen = made(spark, ["2020-01-01", "2020-01-02"], [("A",), ("B",)]).cache(), ["user_id", "ticker"], []
+
+    def read(df, by):
+        seen.append(df.count())
+        return cx.document_leaves(cx.as_json(df, by), by)
+
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(cx.pair_leaves(watch, users, c, read)) == rows(cx.context_leaves(cx.research_context(watch, users, c), keys)) and seen == [8, 2]
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no test data")
+def test_lineitems_are_read_once(spark, monkeypatch):
+    reads, bars = [], fx.bars
+    monkeypatch.setattr(fx, "bars", lambda s, d: reads.append(d) or bars(s, d))
+    assert research.contexts(spark, D)[2].count() == 27 and len(reads) == 1
