@@ -46,7 +46,7 @@ def _shown(leaves: DataFrame) -> DataFrame:
 
 def leaf_rows(s: SparkSession, d: str) -> DataFrame:
     """What is known of each watched pair, value by value."""
-    return _shown(cx.context_leaves(cx.research_context(*contexts(s, d)), KEYS))
+    return cx.pair_leaves(*contexts(s, d), lambda df, keys: _shown(cx.context_leaves(df, keys)), store=stored)
 
 
 def document_rows(s: SparkSession, d: str) -> DataFrame:
