@@ -127,6 +127,16 @@ def source_values(contexts: DataFrame, keys: list[str]) -> tuple[DataFrame, Data
     return values.where("value is not null").distinct(), days.select(*keys, F.col("day").try_cast("date").alias("day")).where("day is not null").distinct()
 
 
+def value_sets(contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, values, days): what `source_values` gives, as two sets for each of the contexts."""
+    found = [_flat(F.col(f.name), f.dataType) for f in contexts.schema if f.name not in keys]
+    values, days = (F.concat(*[p[i] for p in found]) for i in (0, 1))
+    # Sets of an array tell the zeros apart, which are one value.
+    values = F.transform(values, lambda v: v + F.lit(0.0))
+    distinct = lambda x: F.array_distinct(F.array_compact(x))
+    return contexts.select(*keys, distinct(values).alias("values"), distinct(F.transform(days, lambda d: d.try_cast("date"))).alias("days"))
+
+
 def ground(reports: DataFrame, sources: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The claims of each report with `grounded`: whether one of the report's source values
     explains it. sources(report_id, value); claims meet the values of their own report only."""

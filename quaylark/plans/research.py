@@ -56,10 +56,15 @@ def document_rows(s: SparkSession, d: str) -> DataFrame:
 
 def source_counts(s: SparkSession, d: str) -> DataFrame:
     """Values and days that the context of each watched pair holds."""
-    c = cx.research_context(*contexts(s, d))
-    values, days = sv.source_values(c, KEYS)
-    v = values.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_values"), F.round(F.round(F.sum("value"), 9), 4).alias("total"))
-    return v.join(days.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day")), KEYS, "left").fillna(0, subset=["n_days"])
+    watch, users, by_key = contexts(s, d)
+    # What two sides hold is united a pair at a time; no value is shuffled.
+    held = sv.value_sets(users.select("user_id", F.struct("user_id", "name").alias("user")), ["user_id"])
+    both = cx.research_context(cx.dealt(watch), held.hint("merge"), stored(sv.value_sets(by_key, ["ticker"])))
+    united = lambda c, kind: F.array_union(*[F.coalesce(x, F.array().cast(f"array<{kind}>")) for x in (f"user.{c}", c)])
+    df = both.select(*KEYS, united("values", "double").alias("v"), united("days", "date").alias("d")).where(F.size("v") > 0)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return df.select(
+        *KEYS, F.size("v").cast("long").alias("n_values"), F.round(F.round(total, 9), 4).alias("total"), F.size("d").cast("long").alias("n_days"), F.array_min("d").alias("first_day"), F.array_max("d").alias("last_day"))
 
 
 def _struct(part: str, **other: str) -> str:

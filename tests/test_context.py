@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from quaylark.operators import context as cx
+from quaylark.operators import serving as sv
 from quaylark.plans import research
 from quaylark.sources import fixtures as fx
 
@@ -86,3 +87,11 @@ def test_lineitems_are_read_once(spark, monkeypatch):
     reads, bars = [], fx.bars
     monkeypatch.setattr(fx, "bars", lambda s, d: reads.append(d) or bars(s, d))
     assert research.contexts(spark, D)[2].count() == 27 and len(reads) == 1
+
+
+def test_value_sets_are_the_source_values(spark):
+    df = spark.sql("SELECT 1 AS id, array(1.5D, 0.0D, -0.0D, null, 1.5D) AS x, 'on 2020-01-02 and 2020-02-31' AS t UNION ALL SELECT 2, null, null")
+    values, days = sv.source_values(df, ["id"])
+    got = {r["id"]: r for r in sv.value_sets(df, ["id"]).collect()}
+    assert sorted(got[1]["values"]) == sorted(r["value"] for r in values.collect()) == [0.0, 1.5, 5.0]
+    assert got[1]["days"] == [r["day"] for r in days.collect()] and got[2]["values"] == got[2]["days"] == []
