@@ -57,14 +57,14 @@ def plain_text(text: Column) -> Column:
     return F.translate(text, "‐‑‒–—−   ", "------   ")
 
 
-def numeric_claims(reports: DataFrame, *, text_col: str = "text") -> DataFrame:
+def numeric_claims(reports: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(report_id, place, raw, value, decimals, factor, context): the numbers that a text
-    claims, with the characters around them. Dates are taken out first; whole numbers
-    without unit that name a period are no claims."""
+    claims, with the characters around them, and the columns `keep` of its report. Dates are
+    taken out first; whole numbers without unit that name a period are no claims."""
     number = F.lit(_NUMBER)
     body = F.regexp_replace(plain_text(F.coalesce(F.col(text_col), F.lit(""))), _DATE, " ")
-    df = reports.select("report_id", body.alias("b")).select("report_id", "b", F.split("b", _NUMBER, -1).alias("gap"), *[F.regexp_extract_all("b", number, i).alias(c) for i, c in ((0, "all"), (1, "n"), (2, "u"))])
-    df = df.select("report_id", "b", "gap", "all", F.posexplode(F.arrays_zip("n", "u")).alias("place", "x"))
+    df = reports.select("report_id", *keep, body.alias("b")).select("report_id", *keep, "b", F.split("b", _NUMBER, -1).alias("gap"), *[F.regexp_extract_all("b", number, i).alias(c) for i, c in ((0, "all"), (1, "n"), (2, "u"))])
+    df = df.select("report_id", *keep, "b", "gap", "all", F.posexplode(F.arrays_zip("n", "u")).alias("place", "x"))
     # A claim begins where the gaps and claims ahead of it end.
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
     at = length(F.slice("gap", F.lit(1), F.col("place") + 1)) + length(F.slice("all", F.lit(1), F.col("place")))
@@ -75,7 +75,7 @@ def numeric_claims(reports: DataFrame, *, text_col: str = "text") -> DataFrame:
     for u, f in UNITS.items():
         factor = F.when(F.col("x.u") == u, f).otherwise(factor)
     value = digits.cast("double")
-    df = df.select("report_id", "place", F.concat("x.n", "x.u").alias("raw"), (value * factor).alias("value"), F.when(F.contains(digits, F.lit(".")), F.length(F.substring_index(digits, ".", -1))).otherwise(0).alias("decimals"), factor.alias("factor"), context.alias("context"))
+    df = df.select("report_id", "place", F.concat("x.n", "x.u").alias("raw"), (value * factor).alias("value"), F.when(F.contains(digits, F.lit(".")), F.length(F.substring_index(digits, ".", -1))).otherwise(0).alias("decimals"), factor.alias("factor"), context.alias("context"), *keep)
     period = (F.col("factor") == 1) & (F.col("decimals") == 0) & F.col("value").isin(*[float(p) for p in PERIODS])
     return df.where(~period)
 
@@ -94,7 +94,7 @@ def explains(claim: Column, source: Column, factor: Column, context: Column) ->
     """Whether a source value explains a claim: as it is, in the claim's unit, or, with a word
     of decline near the claim, as the size of a negative value."""
     decline = F.arrays_overlap(F.split(F.lower(context), "[^a-z]+"), F.array(*[F.lit(w) for w in DECLINE]))
-    return rounds_to(claim, source) | ((factor != 1) & rounds_to(claim / factor, source / factor)) | (decline & (claim > 0) & (source < 0) & rounds_to(claim, -source))
+    return rounds_to(claim, source) | ((factor != 1) & rounds_to(claim / factor, source / factor)) | ((claim > 0) & (source < 0) & decline & rounds_to(claim, -source))
 
 
 def _flat(value: Column, kind: DataType) -> tuple[Column, Column]:
@@ -140,10 +140,10 @@ def value_sets(contexts: DataFrame, keys: list[str]) -> DataFrame:
 def ground(reports: DataFrame, sources: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The claims of each report with `grounded`: whether one of the report's source values
     explains it. sources(report_id, value); claims meet the values of their own report only."""
-    claims = numeric_claims(reports, text_col=text_col)
-    s = sources.where("value is not null").select(F.col("report_id").alias("_r"), F.col("value").alias("_v")).distinct()
-    ok = claims.join(s, (claims["report_id"] == s["_r"]) & explains(claims["value"], s["_v"], claims["factor"], claims["context"]), "left_semi").select("report_id", "place", F.lit(True).alias("grounded"))
-    return claims.join(ok, ["report_id", "place"], "left").withColumn("grounded", flag(F.col("grounded")))
+    # A report meets its values once, before its claims are told apart; collect_set drops nulls.
+    held = sources.groupBy("report_id").agg(F.collect_set("value").alias("_held"))
+    claims = numeric_claims(reports.select("report_id", text_col).join(held.hint("merge"), "report_id", "left"), text_col=text_col, keep=("_held",))
+    return claims.withColumn("grounded", flag(F.exists("_held", lambda v: explains(F.col("value"), v, F.col("factor"), F.col("context"))))).drop("_held")
 
 
 def verdicts(reports: DataFrame, claims: DataFrame, dates: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from quaylark.operators import context as cx
 from quaylark.operators import serving as sv
-from quaylark.plans import research
+from quaylark.plans import research, serving
 from quaylark.sources import fixtures as fx
 
 D = "/root/testdata/sf0.001"
@@ -95,3 +95,18 @@ def test_value_sets_are_the_source_values(spark):
     got = {r["id"]: r for r in sv.value_sets(df, ["id"]).collect()}
     assert sorted(got[1]["values"]) == sorted(r["value"] for r in values.collect()) == [0.0, 1.5, 5.0]
     assert got[1]["days"] == [r["day"] for r in days.collect()] and got[2]["values"] == got[2]["days"] == []
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no test data")
+def test_reports_read_lineitems_once(spark, monkeypatch):
+    reads, table = [], fx.table
+    monkeypatch.setattr(fx, "table", lambda s, d, name: reads.append(name) or table(s, d, name))
+    df = serving.verdict_rows(spark, D)
+    assert df.count() > 0 and reads.count("lineitem") == 1 and "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_report_meets_its_values_once(spark):
+    reports = spark.createDataFrame([(1, "up 12.5 and 77.25, not 3.25"), (2, "at 12.5"), (3, None)], "report_id int, text string")
+    got = sv.ground(reports, spark.createDataFrame([(1, 12.5), (1, 77.25), (1, None), (2, None), (4, 12.5)], "report_id int, value double"))
+    assert sorted((r["report_id"], r["value"], r["grounded"]) for r in got.collect()) == [(1, 3.25, False), (1, 12.5, True), (1, 77.25, True), (2, 12.5, False)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
