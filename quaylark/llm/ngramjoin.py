@@ -12,11 +12,16 @@ share a passage as many others do then seldom meet, and if they do, seldom in al
 Sets of like sizes must share more than one: of the prefix that ends first in an order, all
 tokens but those that the other set may lack are in the other prefix too.
 
+Before prefixes move, sets are told apart by parity sketches of about a bit a token: a bit is
+set where an odd number of tokens falls. Two sketches differ in no more bits than their sets in
+tokens, so that pairs whose sketches differ in more than near sets may are none.
+
 Texts of equal sets are one class. A bucket's members are compared with its first class, the
 hub: those that pass all filters are verified on full sets, and pairs of them by
 their exact differences to it. Members that fail a filter with the hub are compared with all
-others of the bucket by the second and the third order, block against block and once for all
-buckets that have the same members. Links, hubs' blocks and components are those of `neardup`.
+others of the bucket, block against block and once for all buckets that have the same members:
+first by sketches, then those that may be near to another, and don't share a hub with it
+already, by the second and the third order. Links, hubs' blocks and components are those of `neardup`.
 """
 
 from __future__ import annotations
@@ -127,7 +132,7 @@ def token_levels(rows: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
     spark = rows.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    parts = stash(rows.select("text").mapInArrow(_counts(k, bits), "piece int, counts binary"))
+    parts = rows.select("text").mapInArrow(_counts(k, bits), "piece int, counts binary")
     total = np.zeros((SKETCH_ROWS << bits >> min(bits, PIECE_BITS), 1 << min(bits, PIECE_BITS)), np.float32)
     for r in parts.repartition("piece").mapInArrow(_added, "piece int, counts binary").collect():
         total[r["piece"]] = _unpacked(r["counts"])
@@ -166,25 +171,39 @@ def _short(tokens: np.ndarray) -> bytes:
     return (tokens >> np.uint64(32)).astype("<u4").tobytes()
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each of at least as many places as there are tokens, 64 at least: whether an odd number falls there."""
+    places = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Parity sketches with as many places as the shortest has, in words of 64."""
+    words = min(map(len, sketches)) // 8
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(s, "<u8").reshape(-1, words), axis=0) for s in sketches])
+
+
 def _distinct(tokens: np.ndarray) -> np.ndarray:
     s = np.sort(tokens)
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def signatures(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(id, n, digest, p1, p2, p3) of rows(id, text): set size, digest, and the prefixes under
-    the three orders, the second and the third with four bytes a token."""
+    """(id, n, digest, sketch, p1, p2, p3) of rows(id, text): set size, digest, parity sketch, and the
+    prefixes under the three orders, the second and the third with four bytes a token."""
     sent = rows.sparkSession.sparkContext.broadcast(levels)
 
     def make():
         shingles, prefixes = Tokens(k), Prefixes(sent.value, percent)
 
         def run(b):
-            out: dict[str, list] = {"n": [], "digest": [], "p1": [], "p2": [], "p3": []}
+            out: dict[str, list] = {"n": [], "digest": [], "sketch": [], "p1": [], "p2": [], "p3": []}
             for s in map(_distinct, shingles(b["text"])):
                 first, second, third = prefixes(s)
                 out["n"].append(len(s))
                 out["digest"].append(_digest(s))
+                out["sketch"].append(parity(s))
                 out["p1"].append(first.view(np.int64))
                 out["p2"].append(_short(second))
                 out["p3"].append(_short(third))
@@ -192,7 +211,7 @@ def signatures(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> Dat
 
         return run
 
-    return python_map(rows, make, "n long, digest binary, p1 array<long>, p2 binary, p3 binary", ["id"])
+    return python_map(rows, make, "n long, digest binary, sketch binary, p1 array<long>, p2 binary, p3 binary", ["id"])
 
 
 def least_shared(n, m, percent: int):
@@ -205,6 +224,11 @@ def least_shared(n, m, percent: int):
     return np.maximum(1, overlap + (-percent * np.maximum(n, m) // 100) + 1)
 
 
+def most_unequal(n, m, percent: int):
+    """Tokens that only one of two near sets of n and m tokens has, at most."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
 def passes(n: int, m: int, x: list[np.ndarray], y: list[np.ndarray], percent: int) -> bool:
     """Whether sets of n and m tokens with these prefixes may be near."""
     need = least_shared(n, m, percent)
@@ -215,6 +239,19 @@ def _read(*prefixes: bytes | list[int]) -> list[np.ndarray]:
     return [np.frombuffer(p, "<u4") if isinstance(p, bytes) else np.array(p, np.int64).view(np.uint64) for p in prefixes]
 
 
+def _sketched(percent: int):
+    """Whether the sketches of two sets let them be near."""
+
+    def make():
+        def run(b):
+            own = zip(*(b[c] for c in ("nx", "nh", "sketch_x", "sketch_h")))
+            return {"close": [bool(np.bitwise_count(np.bitwise_xor(*_folded(s))).sum() <= most_unequal(n, m, percent)) for n, m, *s in own]}
+
+        return run
+
+    return make
+
+
 def _filters(percent: int):
     """Whether two sets pass all filters."""
 
@@ -249,6 +286,33 @@ def _shared(prefixes: list[bytes], some: int) -> np.ndarray:
     return out
 
 
+def _open(percent: int):
+    """Members of pairs of `scan` with all of a block that may be near by their sizes and
+    sketches, but for pairs of one home: they share it as their hub."""
+
+    def make():
+        def run(b):
+            return {"members": [members(s, r) for s, r in zip(b["scan"], b["rest"])]}
+
+        def members(scan: list[dict], rest: list[dict]) -> list[dict]:
+            own = {r["x"] for r in scan}
+            every = scan + [r for r in rest if r["x"] not in own]
+            if not scan:
+                return []
+            n, home = (np.array([r[k] for r in every], np.int64) for k in ("n", "home"))
+            words, found = _folded([r["sketch"] for r in every]), np.zeros(len(every), bool)
+            for c in range(len(scan)):
+                near = (100 * np.minimum(n, n[c]) >= percent * np.maximum(n, n[c])) & (home != home[c])
+                near &= np.bitwise_count(words ^ words[c]).sum(axis=1) <= most_unequal(n, n[c], percent)
+                found |= near
+                found[c] |= near.any()
+            return [{"x": every[i]["x"], "near": every[i]["near"]} for i in np.flatnonzero(found)]
+
+        return run
+
+    return make
+
+
 def _beside(percent: int):
     """Pairs of `scan` with all of a block that pass the filters, but for those which a member
     before has both passed with: they share it as their hub."""
@@ -297,50 +361,73 @@ def _candidates(classes: DataFrame, signed: DataFrame, percent: int, block: int)
     star = stash(banded.join(few, "key").where("cid <> h").select("key", F.col("cid").alias("x"), "h"))
     sizes = classes.select("cid", "n")
     pairs = star.select("x", "h").distinct().join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("h", "nh"), "h")
-    # Sizes tell most pairs apart before any prefix moves.
+    # Sizes and sketches tell most pairs apart before any prefix moves.
     alike = F.least("nx", "nh") * 100 >= F.greatest("nx", "nh") * percent
     pairs = stash(pairs.withColumn("alike", alike))
-    known = head.select(F.col("row").alias("cid"), "n", "p1", "p2", "p3")
-    near = python_map(_with_prefixes(pairs.where("alike").drop("alike"), known), _filters(percent), "near boolean", ["x", "h", "nx", "nh"], ["nx", "nh", *(f"p{i}_{c}" for i in (1, 2, 3) for c in "xh")])
-    met = stash(near.unionByName(pairs.where("not alike").select("x", "h", "nx", "nh", F.lit(False).alias("near"))))
+    known = head.select(F.col("row").alias("cid"), "n", "sketch", F.transform("p1", lambda t: F.shiftright(t, 32).cast("int")).alias("p1"), "p2", "p3")
+    own = ["x", "h", "nx", "nh"]
+    tried = stash(python_map(_with(pairs.where("alike").select(*own), known, "sketch"), _sketched(percent), "close boolean", own, ["nx", "nh", "sketch_x", "sketch_h"]))
+    near = python_map(_with(tried.where("close").select(*own), known, "p1", "p2", "p3"), _filters(percent), "near boolean", own, ["nx", "nh", *(f"p{i}_{c}" for i in (1, 2, 3) for c in "xh")])
+    apart = pairs.where("not alike").select(*own).union(tried.where("not close").select(*own))
+    met = stash(near.unionByName(apart.withColumn("near", F.lit(False))))
     more = _pairs_beside_hubs(star, met, known, percent, block)
     more = more.join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("h", "nh"), "h")
-    return met.where("near").select("x", "h", "nx", "nh").union(more.select("x", "h", "nx", "nh"))
+    return met.where("near").select(*own).union(more.select(*own))
 
 
-def _with_prefixes(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """pairs(x, h, ...) with the prefixes p1_x ... p3_h of both."""
+def _with(pairs: DataFrame, known: DataFrame, *held: str) -> DataFrame:
+    """pairs(x, h, ...) with what is `held` of both, as <name>_x and <name>_h."""
     needed = stash(pairs.select("x").union(pairs.select("h")).distinct())
     own = filter_ids(known, "cid", needed, keep=True)
-    side = lambda x: own.select(F.col("cid").alias(x), *(F.col(f"p{i}").alias(f"p{i}_{x}") for i in (1, 2, 3)))
+    side = lambda x: own.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in held))
     return pairs.join(side("x"), "x").join(side("h"), "h")
 
 
+def _members() -> tuple:
+    """How many members x a group of one hub h has, and what tells groups of different members apart."""
+    return F.count(F.lit(1)).alias("n"), F.min("h").alias("h"), F.bit_xor(F.xxhash64("x")).alias("m1"), F.bit_xor(F.xxhash64("x", F.lit("members"))).alias("m2")
+
+
 def _pairs_beside_hubs(star: DataFrame, met: DataFrame, known: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs (x, h) of bucket members that pass the filters, of which one at least doesn't with
     the bucket's hub. A bucket is cut by set size: members are in the band of their own and in
     the next one, so that those of like sizes meet. Buckets of the same members are one."""
+    one = star.groupBy("key").agg(*_members()).where("n > 1").groupBy("h", "n", "m1", "m2").agg(F.min("key").alias("key"))
+    star = filter_ids(star, "key", stash(one.select("key")), keep=True)
     band = F.floor(F.log(F.col("nx")) / (-1.000001 * math.log(percent / 100))).cast("int")
     held = star.join(met.select("x", "h", "nx", "near"), ["x", "h"]).select("key", F.explode(F.array(band, band + 1)).alias("band"), "x", "h", "near")
-    of_bucket = held.groupBy("key", "band").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_far"), F.min("h").alias("h"),
-        F.bit_xor(F.xxhash64("x")).alias("m1"), F.bit_xor(F.xxhash64("x", F.lit("members"))).alias("m2"))
+    of_bucket = held.groupBy("key", "band").agg(*_members(), F.count_if(~F.col("near")).alias("n_far"))
     one = of_bucket.where("n > 1 and n_far > 0").groupBy("h", "n", "n_far", "m1", "m2").agg(F.min(F.struct("key", "band")).alias("k")).select("k.key", "k.band", "n", "n_far")
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    left = stash(held.join(one.select("key", "band", blocks("n").alias("ms"), blocks("n_far").alias("fs")), ["key", "band"]).select("key", "band", "x", "near", "ms", "fs"))
-    needed = stash(left.select("x").distinct())
-    rows = left.join(filter_ids(known, "cid", needed, keep=True).select(F.col("cid").alias("x"), "n", "p2", "p3"), "x")
-    hashed, each = F.xxhash64("x"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    member = F.struct("x", "n", "p2", "p3")
-    none = F.lit(None).cast("struct<x:bigint,n:bigint,p2:binary,p3:binary>")
-    scan = rows.where(~F.col("near")).select("key", "band", F.pmod(hashed, "fs").cast("int").alias("bf"), each("ms").alias("bm"), member.alias("s"), none.alias("r"))
-    rest = rows.select("key", "band", each("fs").alias("bf"), F.pmod(hashed, "ms").cast("int").alias("bm"), none.alias("s"), member.alias("r"))
-    # No task holds more of a bucket than two blocks at a time.
-    dealt = scan.union(rest).groupBy("key", "band", "bf", "bm").agg(F.collect_list("s").alias("scan"), F.collect_list("r").alias("rest"))
-    found = python_map(dealt, _beside(percent), "pairs array<struct<x:bigint,h:bigint>>", [], ["scan", "rest"])
+    left = stash(held.join(one, ["key", "band"]).select("key", "band", "x", "near", "n", "n_far"))
+    homes = met.where("near").groupBy("x").agg(F.min("h").alias("home"))
+    sketched = _of_members(left, known, "n", "sketch").join(homes, "x", "left").withColumn("home", F.coalesce("home", "x"))
+    found = python_map(_dealt(left, sketched, block), _open(percent), "members array<struct<x:bigint,near:boolean>>", ["key", "band"], ["scan", "rest"])
+    left = stash(found.select("key", "band", F.explode("members").alias("m")).select("key", "band", "m.x", "m.near").distinct())
+    sizes = left.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_far"))
+    left = stash(left.join(sizes, ["key", "band"]))
+    found = python_map(_dealt(left, _of_members(left, known, "n", "p2", "p3"), block), _beside(percent), "pairs array<struct<x:bigint,h:bigint>>", [], ["scan", "rest"])
     return found.select(F.explode("pairs").alias("p")).select("p.x", "p.h").distinct()
 
 
+def _of_members(left: DataFrame, known: DataFrame, *held: str) -> DataFrame:
+    """(x, ...) with what is `held` of the members."""
+    return filter_ids(known, "cid", stash(left.select("x").distinct()), keep=True).select(F.col("cid").alias("x"), *held)
+
+
+def _dealt(left: DataFrame, held: DataFrame, block: int) -> DataFrame:
+    """Groups (key, band, scan, rest) of left(key, band, x, near, n, n_far): members that are far
+    from their hub, and those that they are compared with, with what is held(x, ...) of each. No
+    task holds more of a bucket than two blocks at a time; where one is all, none is sent twice."""
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    rows = left.select("key", "band", "x", "near", blocks("n").alias("ms"), blocks("n_far").alias("fs")).join(held, "x")
+    member = F.struct("near", *held.columns)
+    rows = rows.select("key", "band", "near", "ms", "fs", F.xxhash64("x").alias("hashed"), member.alias("m"))
+    none, each = F.lit(None).cast(rows.schema["m"].dataType), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    scan = rows.where(~F.col("near")).select("key", "band", F.pmod("hashed", "fs").cast("int").alias("bf"), each("ms").alias("bm"), F.col("m").alias("s"), none.alias("r"))
+    rest = rows.where("near or ms > 1 or fs > 1").select("key", "band", each("fs").alias("bf"), F.pmod("hashed", "ms").cast("int").alias("bm"), none.alias("s"), F.col("m").alias("r"))
+    return scan.union(rest).groupBy("key", "band", "bf", "bm").agg(F.collect_list("s").alias("scan"), F.collect_list("r").alias("rest"))
+
+
 def ngram_join(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, block: int = DEALT) -> DataFrame:
     """id, n_shingles, component_id for every row of docs.
 

@@ -108,6 +108,42 @@ def test_short_tokens_never_share_less():
             assert len(np.intersect1d(*ngramjoin._read(short[i], short[j]), assume_unique=True)) >= both
 
 
+def test_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(21)
+    apart = 0
+    for n in (0, 1, 2, 60, 64, 65, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for lost in {0, n // 12, n // 8, n // 2, n}:
+            b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 1 << 63, lost // 2).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            folded = ngramjoin._folded([ngramjoin.parity(a), ngramjoin.parity(b)])
+            assert np.bitwise_count(folded[0] ^ folded[1]).sum() <= len(a) + len(b) - 2 * both
+            close = ngramjoin._sketched(85)()({"nx": [len(a)], "nh": [len(b)], "sketch_x": [ngramjoin.parity(a)], "sketch_h": [ngramjoin.parity(b)]})["close"][0]
+            assert close or 100 * both < 85 * (len(a) + len(b) - both)
+            apart += not close
+    assert apart >= 8
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_no_prefix_moves_for_members_far_from_all_others(spark, monkeypatch, block):
+    """Texts of 6 of 12 shared paragraphs, far from each other, but for one pair beside its hubs."""
+    rng = random.Random(22)
+    pool = [" ".join(words(rng, 15)) for _ in range(12)]
+    rows = [(i, " ".join(rng.sample(pool, 6))) for i in range(60)]
+    rows.append((60, rows[30][1].rpartition(" ")[0] + " other"))
+    moved, dealt = [], ngramjoin._dealt
+
+    def seen(left, held, block):
+        moved.append((set(held.columns), left.select("x").distinct().count()))
+        return dealt(left, held, block)
+
+    monkeypatch.setattr(ngramjoin, "_dealt", seen)
+    assert join(spark, rows, block=block) == brute(rows, 4, 85)
+    (first, tried), (second, left) = moved
+    assert not {"p1", "p2", "p3"} & first and {"p2", "p3"} <= second
+    assert tried > 40 and left <= 2
+
+
 def test_tokens_are_those_of_the_shingler():
     rng = random.Random(20)
     texts = ["", " ", "One", "one TWO", "A b\xa0c d\x1ce f", "Ünï ÉÉ ßs a b", *(" ".join(words(rng, n)) for n in (3, 4, 5, 300)), "  lead\t\n\x0btail  a b c "]
