@@ -12,7 +12,7 @@ share a passage as many others do then seldom meet, and if they do, seldom in al
 Sets of like sizes must share more than one: of the prefix that ends first in an order, all
 tokens but those that the other set may lack are in the other prefix too.
 
-Before prefixes move, sets are told apart by parity sketches of about a bit a token: a bit is
+Before prefixes move, sets are told apart by parity sketches of a bit or less a token: a bit is
 set where an odd number of tokens falls. Two sketches differ in no more bits than their sets in
 tokens, so that pairs whose sketches differ in more than near sets may are none.
 
@@ -172,8 +172,8 @@ def _short(tokens: np.ndarray) -> bytes:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bit for each of at least as many places as there are tokens, 64 at least: whether an odd number falls there."""
-    places = 1 << max(6, (len(tokens) - 1).bit_length())
+    """A bit for each of at least half as many places as there are tokens, 64 at least: whether an odd number falls there."""
+    places = 1 << max(6, ((len(tokens) - 1) // 2).bit_length())
     odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -353,7 +353,10 @@ def _beside(percent: int):
 def _candidates(classes: DataFrame, signed: DataFrame, percent: int, block: int) -> DataFrame:
     """near(x, h, nx, nh): pairs of classes that pass all filters, such that each two classes
     which do are one of the pairs or both with one h."""
-    head = filter_ids(signed, "row", classes.select("cid"), keep=True)
+    # Copies are fewer than classes as a rule, so that the rows of those stay where they are.
+    full = signed.where("n > 0 and id is not null")
+    copies = full.select("row", "digest").join(classes.where("copies > 1").select("digest", "cid"), "digest").where("row <> cid").select("row")
+    head = filter_ids(full, "row", stash(copies), keep=False)
     banded = head.select(F.col("row").alias("cid"), F.explode("p1").alias("key"))
     # The class of the smallest number is the hub; a token of one class makes no bucket.
     buckets = stash(banded.groupBy("key").agg(F.min("cid").alias("h"), F.max("cid").alias("m")).where("h < m").select("key", "h"))
